@@ -16,6 +16,7 @@ from tillwise.functions.rolling import (
     with_ewm,
 )
 from tillwise.functions.scalars import calendar_columns
+from tillwise.operators.rollup import last_known
 
 # Feature lists of the two daily pipelines, in model order.
 DENSE_FEATURES = ["items", "rating", "day_of_week", "month", "quarter", "is_weekend", "ma7", "ma30"]
@@ -99,3 +100,17 @@ def last_sequence(
     seed = F.transform(F.sort_array(F.collect_list(F.struct(order, "_x"))), lambda s: s["_x"])
     out = tail.groupBy(*keys).agg(F.max(order).alias(order), seed.alias("x"))
     return out.where(F.size("x") == steps)
+
+
+def future_rows(df: DataFrame, horizon: int = 7, keys=KEYS) -> DataFrame:
+    """Regressors for the next days: calendar recomputed, all else carried from the last row.
+
+    Values are carried unscaled, so scaling is applied to them once.
+    """
+    carried = [c for c in SPARSE_FEATURES if c not in SPARSE_CALENDAR]
+    last = last_known(df, carried, keys)
+    days = F.explode(F.sequence(F.date_add("day", 1), F.date_add("day", horizon))).alias("_next")
+    out = last.select(*keys, days, *carried).withColumnRenamed("_next", "day")
+    return out.select(*keys, "day", *carried, *calendar_columns("day", SPARSE_CALENDAR)).select(
+        *keys, "day", *SPARSE_FEATURES
+    )
