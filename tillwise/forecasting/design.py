@@ -58,27 +58,29 @@ def shape_of(specs: list[Spec], n_exog: int) -> Shape:
     )
 
 
-def _minus(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda u, v: u - v)
-
-
-def differenced(series: DataFrame, blocks: list[tuple[int, int, int]]) -> DataFrame:
+def differenced(series: DataFrame, blocks: list[tuple[int, int, int]], n_exog: int) -> DataFrame:
     """Long table: one row per row and block with the differenced target and regressors.
 
     Target and regressors travel as one vector, so both get the same regular
-    (d) and seasonal (D, s) differences.
+    (d) and seasonal (D, s) differences from one lag window each. Elements are
+    subtracted one by one, which stays in generated code.
     """
     w = ordered()
+
+    def step(name: str, k: int) -> Column:
+        now, before = F.col(name), F.lag(name, k).over(w)
+        return F.when(before.isNotNull(), F.array(*[F.get(now, F.lit(i)) - F.get(before, F.lit(i)) for i in range(n_exog + 1)]))
+
     out = series.withColumn("_z_0_0_0", F.concat(F.array("y"), F.col("x")))
     for _, D, s in blocks:
         name = f"_z_0_{D}_{s}"
         if D and name not in out.columns:
-            out = out.withColumn(name, _minus(F.col("_z_0_0_0"), F.lag("_z_0_0_0", s).over(w)))
+            out = out.withColumn(name, step("_z_0_0_0", s))
     for level in range(1, max(d for d, _, _ in blocks) + 1):
         for d, D, s in blocks:
             name, before = f"_z_{level}_{D}_{s}", f"_z_{level - 1}_{D}_{s}"
             if d >= level and name not in out.columns:
-                out = out.withColumn(name, _minus(F.col(before), F.lag(before, 1).over(w)))
+                out = out.withColumn(name, step(before, 1))
     cells = F.array(
         *[F.struct(F.lit(i).alias("block"), F.col(f"_z_{d}_{D}_{s}").alias("z")) for i, (d, D, s) in enumerate(blocks)]
     )
@@ -87,7 +89,7 @@ def differenced(series: DataFrame, blocks: list[tuple[int, int, int]]) -> DataFr
         *series.columns,
         "block",
         F.col("z")[0].alias("dy"),
-        F.when(F.col("z").isNotNull(), F.slice("z", 2, F.size("x"))).alias("dx"),
+        F.when(F.col("z").isNotNull(), F.slice("z", 2, n_exog)).alias("dx"),
     )
 
 
@@ -110,23 +112,32 @@ def lagged(series: DataFrame, shape: Shape) -> DataFrame:
             "to_end": F.count_if(~F.col("ahead")).over(Window.partitionBy("series_id")) - F.row_number().over(w),
         }
     )
-    return differenced(placed, shape.blocks).withColumn("lags", _past("dy", shape.history))
-
-
-def first_stage_vector() -> Column:
-    return F.concat(F.array(F.lit(1.0)), F.col("lags"), F.col("dx"))
+    return differenced(placed, shape.blocks, shape.n_exog).withColumn("lags", _past("dy", shape.history))
 
 
 def dot(a: Column, b: Column) -> Column:
+    """Product sum of two arrays of any length (a fold)."""
     return F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
 
 
+def dot_n(a: Column, b: Column, n: int, skip: int = 0) -> Column:
+    """Product sum of a[skip:] and the n-element b, spelled out for generated code."""
+    total = F.lit(0.0)
+    for i in range(n):
+        total = total + F.get(a, F.lit(i + skip)) * F.get(b, F.lit(i))
+    return total
+
+
 def with_residuals(rows: DataFrame, first_stage: DataFrame, shape: Shape) -> DataFrame:
     """Residuals of the first-stage autoregression and their lags."""
     joined = rows.join(first_stage, ["series_id", "block"], "left")
-    residual = F.when(
-        F.col("position") > shape.first_stage_after, F.col("dy") - dot(F.col("first_coef"), first_stage_vector())
+    coef = F.col("first_coef")
+    fitted = (
+        coef[0]
+        + dot_n(coef, F.col("lags"), shape.history, 1)
+        + dot_n(coef, F.col("dx"), shape.n_exog, 1 + shape.history)
     )
+    residual = F.when(F.col("position") > shape.first_stage_after, F.col("dy") - fitted)
     return joined.withColumn("residual", residual).drop("first_coef").withColumn(
         "residual_lags", _past("residual", shape.ma)
     )

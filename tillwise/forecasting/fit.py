@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from tillwise.forecasting.design import (
     Shape,
-    first_stage_vector,
     lagged,
     shape_of,
     with_residuals,
@@ -229,7 +228,6 @@ def spec_text(specs: list[Spec], fallback: Spec | None = None, order: str = "ord
 __all__ = [
     "best_by_aic",
     "design_rows",
-    "first_stage_vector",
     "fit_candidates",
     "spec_text",
     "with_fallback",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.forecasting.design import Shape, dot
+from tillwise.forecasting.design import Shape, dot, dot_n
 from tillwise.operators.decompose import Z95
 
 
@@ -69,7 +69,7 @@ def forecast(rows: DataFrame, models: DataFrame, shape: Shape, horizon: str = "t
     )
     columns = ["series_id", "block", "const", "beta", "theta", "level_ar", "sse", "n"]
     joined = chosen.join(models.select(*columns), ["series_id", "block"])
-    driver = F.col("const") + dot(F.col("beta"), F.col("dx"))
+    driver = F.col("const") + dot_n(F.col("beta"), F.col("dx"), shape.n_exog)
     past_row = F.when(~F.col("ahead"), F.struct("to_origin", "y", F.coalesce("residual", F.lit(0.0)).alias("e")))
     ahead_row = F.when(F.col("ahead"), F.struct("day", driver.alias("driver")))
     gathered = joined.groupBy("series_id").agg(

@@ -29,7 +29,7 @@ def fit_linear(train: DataFrame, loss: str = "huber", max_iter: int = 50) -> Lin
     return LinearRegression(loss=loss, maxIter=max_iter, regParam=1e-6, standardization=True).fit(data)
 
 
-def fit_boosted(sequences: DataFrame, max_iter: int = 20, tolerance: float = 0.01) -> Model:
+def fit_boosted(sequences: DataFrame, max_iter: int = 10, tolerance: float = 0.01) -> Model:
     """Boosted trees that stop when the held-out rows stop improving."""
     data = sequences.select(
         as_vector(F.col("x")).alias("features"),
@@ -48,11 +48,23 @@ def predict(model: Model, sequences: DataFrame) -> DataFrame:
     return out.withColumnRenamed("prediction", "predicted").drop("features")
 
 
-def _next_state(state: Column, value: Column) -> Column:
-    """Drop the oldest row, append a copy of the newest with only the target replaced."""
-    newest = F.element_at(state, -1)
-    row = F.concat(F.array(value), F.slice(newest, 2, F.size(newest) - 1))
-    return F.concat(F.slice(state, 2, F.size(state) - 1), F.array(row))
+def _window(seed: Column, values: Column) -> Column:
+    """The input after some recursive steps.
+
+    Every step drops the oldest row and appends a copy of the newest with only
+    the target replaced, so the appended rows are the last seed row with the
+    predicted values as targets.
+    """
+    newest = F.element_at(seed, -1)
+    others = F.slice(newest, 2, F.size(newest) - 1)
+    appended = F.transform(values, lambda v: F.concat(F.array(v), others))
+    return F.slice(F.concat(seed, appended), F.size(values) + 1, F.size(seed))
+
+
+def _as_forecast(df: DataFrame, values: Column) -> DataFrame:
+    out = df.select("series_id", "day", F.posexplode(values).alias("_i", "predicted"))
+    step = (F.col("_i") + 1).cast("int")
+    return out.select("series_id", F.date_add("day", step).alias("day"), step.alias("step"), "predicted")
 
 
 def recurse_linear(model: LinearRegressionModel, seeds: DataFrame, steps: int = 7) -> DataFrame:
@@ -60,36 +72,25 @@ def recurse_linear(model: LinearRegressionModel, seeds: DataFrame, steps: int =
     weights = F.array(*[F.lit(float(v)) for v in model.coefficients.toArray()])
     level = F.lit(float(model.intercept))
 
-    def value(state: Column) -> Column:
-        products = F.zip_with(F.flatten(state), weights, lambda a, b: a * b)
+    def value(window: Column) -> Column:
+        products = F.zip_with(F.flatten(window), weights, lambda a, b: a * b)
         return F.aggregate(products, level, lambda s, v: s + v)
 
-    # The newest target of each state is the value just predicted.
-    def advance(states: Column) -> Column:
-        state = F.element_at(states, -1)
-        return F.concat(states, F.array(_next_state(state, value(state))))
-
-    states = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.array("x"), lambda s, _: advance(s))
-    values = F.transform(F.slice(states, 2, steps), lambda s: F.element_at(s, -1)[0])
-    out = seeds.select("series_id", "day", F.posexplode(values).alias("_i", "predicted"))
-    step = (F.col("_i") + 1).cast("int")
-    return out.select("series_id", F.date_add("day", step).alias("day"), step.alias("step"), "predicted")
+    values = F.aggregate(
+        F.sequence(F.lit(1), F.lit(steps)),
+        F.array().cast("array<double>"),
+        lambda out, _: F.concat(out, F.array(value(_window(F.col("x"), out)))),
+    )
+    return _as_forecast(seeds, values)
 
 
 def recurse_model(model: Model, seeds: DataFrame, steps: int = 7) -> DataFrame:
     """Recursive forecast of any Spark ML regressor: a fixed chain of transforms over all series."""
-    state = seeds.select("series_id", "day", F.col("x").alias("_s"), F.array().cast("array<double>").alias("_out"))
+    state = seeds.select("series_id", "day", "x", F.array().cast("array<double>").alias("_out"))
     for _ in range(steps):
-        scored = model.transform(state.withColumn("features", as_vector(F.col("_s"))))
-        state = scored.select(
-            "series_id",
-            "day",
-            _next_state(F.col("_s"), F.col("prediction")).alias("_s"),
-            F.concat("_out", F.array("prediction")).alias("_out"),
-        )
-    out = state.select("series_id", "day", F.posexplode("_out").alias("_i", "predicted"))
-    step = (F.col("_i") + 1).cast("int")
-    return out.select("series_id", F.date_add("day", step).alias("day"), step.alias("step"), "predicted")
+        scored = model.transform(state.withColumn("features", as_vector(_window(F.col("x"), F.col("_out")))))
+        state = scored.select("series_id", "day", "x", F.concat("_out", F.array("prediction")).alias("_out"))
+    return _as_forecast(state, F.col("_out"))
 
 
 def tabular_features(sales: DataFrame) -> DataFrame:

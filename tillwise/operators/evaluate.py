@@ -14,8 +14,8 @@ HIGHER_IS_BETTER = ["R2"]
 EPSILON = 2.220446049250313e-16
 
 
-def score(predictions: DataFrame, by=("series_id", "model")) -> DataFrame:
-    """RMSE, MAE, MAPE (percent) and R2 per group, one row per group, one pass."""
+def score(predictions: DataFrame, by=("series_id", "model"), extra: list[Column] = ()) -> DataFrame:
+    """RMSE, MAE, MAPE (percent), R2 and any extra aggregates per group, in one pass."""
     a, p = F.col("actual"), F.col("predicted")
     error = a - p
     sse = F.sum(error * error)
@@ -31,6 +31,7 @@ def score(predictions: DataFrame, by=("series_id", "model")) -> DataFrame:
             F.when(sst == 0, F.when(sse == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
             .otherwise(F.lit(1.0) - F.try_divide(sse, sst))
             .alias("R2"),
+            *extra,
         )
     )
 
@@ -123,7 +124,10 @@ def ensemble(predictions: DataFrame, keys=("series_id", "day")) -> DataFrame:
 
 def overlap(predictions: DataFrame, models: list[str], keys=KEYS) -> DataFrame:
     """Rows of the given models inside the days all of them cover."""
-    wanted = predictions.where(F.col("model").isin(models))
-    per_model = wanted.groupBy(*keys, "model").agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    window = per_model.groupBy(*keys).agg(F.max("lo").alias("common_start"), F.min("hi").alias("common_end"))
-    return wanted.join(window, list(keys)).where(F.col("day").between(F.col("common_start"), F.col("common_end")))
+    per_model, per_series = Window.partitionBy(*keys, "model"), Window.partitionBy(*keys)
+    wanted = predictions.where(F.col("model").isin(models)).withColumns(
+        {"_lo": F.min("day").over(per_model), "_hi": F.max("day").over(per_model)}
+    )
+    bounds = {"common_start": F.max("_lo").over(per_series), "common_end": F.min("_hi").over(per_series)}
+    out = wanted.withColumns(bounds).drop("_lo", "_hi")
+    return out.where(F.col("day").between(F.col("common_start"), F.col("common_end")))

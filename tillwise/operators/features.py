@@ -15,8 +15,7 @@ from tillwise.functions.rolling import (
     row_lag,
     with_ewm,
 )
-from tillwise.functions.scalars import calendar_columns
-from tillwise.operators.rollup import last_known
+from tillwise.functions.scalars import CALENDAR, calendar_columns
 
 # Feature lists of the two daily pipelines, in model order.
 DENSE_FEATURES = ["items", "rating", "day_of_week", "month", "quarter", "is_weekend", "ma7", "ma30"]
@@ -102,15 +101,32 @@ def last_sequence(
     return out.where(F.size("x") == steps)
 
 
-def future_rows(df: DataFrame, horizon: int = 7, keys=KEYS) -> DataFrame:
-    """Regressors for the next days: calendar recomputed, all else carried from the last row.
+def with_future_rows(df: DataFrame, horizon: int = 7, keys=KEYS) -> DataFrame:
+    """Append the next days to every series, with ``step`` 0 on observed rows and 1.. on new ones.
 
-    Values are carried unscaled, so scaling is applied to them once.
+    Regressors of the new days: calendar recomputed, all else carried from the
+    last row, unscaled (so scaling is applied to them once). Columns outside
+    the feature list are null there. The last row emits them itself, so there
+    is no second branch and no join.
     """
-    carried = [c for c in SPARSE_FEATURES if c not in SPARSE_CALENDAR]
-    last = last_known(df, carried, keys)
-    days = F.explode(F.sequence(F.date_add("day", 1), F.date_add("day", horizon))).alias("_next")
-    out = last.select(*keys, days, *carried).withColumnRenamed("_next", "day")
-    return out.select(*keys, "day", *carried, *calendar_columns("day", SPARSE_CALENDAR)).select(
-        *keys, "day", *SPARSE_FEATURES
-    )
+    is_last = F.lead("day").over(ordered(keys)).isNull()
+    steps = F.sequence(F.lit(0), F.when(is_last, F.lit(horizon)).otherwise(F.lit(0)))
+    spread = df.withColumn("_steps", steps).select(*df.columns, F.explode("_steps").alias("step"))
+    new, day = F.col("step") > 0, F.date_add("day", F.col("step"))
+    out = []
+    for c in df.columns:
+        if c == "day":
+            out.append(day.alias("day"))
+        elif c in SPARSE_CALENDAR:
+            out.append(CALENDAR[c](day).alias(c))
+        elif c in SPARSE_FEATURES or c in keys:
+            out.append(F.col(c))
+        else:
+            out.append(F.when(~new, F.col(c)).alias(c))
+    return spread.select(*out, "step")
+
+
+def future_rows(df: DataFrame, horizon: int = 7, keys=KEYS) -> DataFrame:
+    """Only the next days of every series, with their regressors."""
+    out = with_future_rows(df, horizon, keys).where(F.col("step") > 0)
+    return out.select(*keys, "day", *SPARSE_FEATURES)

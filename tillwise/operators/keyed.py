@@ -46,9 +46,18 @@ def attach_by_key(
     )
 
 
-def range_of(value: Column, cuts: Column) -> Column:
-    """How many of the sorted cut points lie below the value."""
-    return F.aggregate(cuts, F.lit(0), lambda s, x: s + (x < value).cast("int"))
+def range_of(value: Column, cuts: Column, most: int) -> Column:
+    """How many of the sorted cut points (at most ``most``) lie below the value.
+
+    A binary search written as a fold over halving step sizes: log2(most)
+    comparisons per row. Reading past the end gives null, which stops a step.
+    """
+    halving = [1 << k for k in reversed(range(most.bit_length()))]
+    return F.aggregate(
+        F.array(*[F.lit(step) for step in halving]),
+        F.lit(0),
+        lambda at, step: F.when(F.get(cuts, at + step - 1) < value, at + step).otherwise(at),
+    )
 
 
 def exact_quantiles(
@@ -70,7 +79,7 @@ def exact_quantiles(
     )
     marks = [i / buckets for i in range(1, buckets)]
     cuts = counted.agg(F.percentile_approx("_v", marks, 10 * buckets)).scalar()
-    placed = counted.withColumn("_cuts", cuts).withColumn("_b", range_of(F.col("_v"), F.col("_cuts"))).drop("_cuts")
+    placed = counted.withColumn("_cuts", cuts).withColumn("_b", range_of(F.col("_v"), F.col("_cuts"), buckets)).drop("_cuts")
 
     totals = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_size"))
     per_key = Window.partitionBy(*keys)
@@ -124,7 +133,7 @@ def dense_codes(entries: DataFrame, key: str, order: Column, code: str) -> DataF
     keyed = entries.withColumn("_order", order)
     sample = keyed.orderBy(F.xxhash64(key)).limit(255)
     cuts = sample.agg(F.sort_array(F.collect_list("_order"))).scalar()
-    placed = keyed.withColumn("_cuts", cuts).withColumn("_b", range_of(F.col("_order"), F.col("_cuts"))).drop("_cuts")
+    placed = keyed.withColumn("_cuts", cuts).withColumn("_b", range_of(F.col("_order"), F.col("_cuts"), 255)).drop("_cuts")
     sizes = placed.groupBy("_b").agg(F.count(F.lit(1)).alias("_size"))
     # At most 256 rows: a window without a key is safe here.
     shifted = sizes.select("_b", (F.sum("_size").over(Window.orderBy("_b")) - F.col("_size")).alias("_before"))

@@ -37,7 +37,7 @@ def differencing(spark, sf_dir):
     """Regular and seasonal differences of the daily mean and a regressor."""
     series = pipelines.plain_series(_sparse(spark, sf_dir), exog=["rating"])
     blocks = [(0, 0, 0), (1, 0, 0), (2, 0, 0), (0, 1, 7), (1, 1, 7), (1, 1, 14)]
-    out = differenced(series, blocks).where(F.col("dy").isNotNull())
+    out = differenced(series, blocks, 1).where(F.col("dy").isNotNull())
     out = out.select("series_id", "day", "block", "dy", F.col("dx")[0].alias("dx"))
     return report(out, {"dy": 3, "dx": 6})
 

@@ -705,3 +705,92 @@ twin(
     SELECT series_id, day, {cal("day_of_week", "day_of_month", "week_of_year", "month", "quarter", "year", "is_weekend", "is_month_end")}
     FROM f""",
 )
+
+# ---- models with a closed form ---------------------------------------------
+
+
+def differenced(d: int, D: int, s: int) -> str:
+    table = "SELECT series_id, day, amount AS y, rating AS x FROM sparse"
+    for step in [s] * D + [1] * d:
+        table = (
+            f"SELECT series_id, day, y - lag(y, {step}) OVER ({FULL}) AS y, x - lag(x, {step}) OVER ({FULL}) AS x "
+            f"FROM ({table})"
+        )
+    return table
+
+
+twin(
+    "differencing",
+    ["sparse"],
+    " UNION ALL ".join(
+        f"SELECT series_id, day, CAST({i} AS INTEGER) AS block, {t('y', 3, 'dy')}, {t('x', 6, 'dx')} "
+        f"FROM ({differenced(*b)}) WHERE y IS NOT NULL"
+        for i, b in enumerate([(0, 0, 0), (1, 0, 0), (2, 0, 0), (0, 1, 7), (1, 1, 7), (1, 1, 14)])
+    ),
+)
+_ROWS = f"""
+    rw AS (SELECT series_id, day, amount AS y, lag(amount) OVER ({FULL}) AS l, rating AS x,
+                  amount - lag(amount) OVER ({FULL}) AS dy, row_number() OVER ({FULL}) AS i, {SPLIT} FROM sparse)"""
+_AR1 = f"""{_ROWS},
+    ab AS (SELECT series_id, count(*) AS n, regr_slope(y, l) AS phi, regr_intercept(y, l) AS c
+           FROM rw WHERE split = 'train' AND i > 1 GROUP BY 1),
+    ar AS (SELECT series_id, any_value(n) AS n, any_value(phi) AS phi, any_value(c) AS c, sum((y - c - phi * l) ** 2) AS sse
+           FROM rw JOIN ab USING (series_id) WHERE split = 'train' AND i > 1 GROUP BY 1)"""
+twin(
+    "ar1_fit",
+    ["sparse"],
+    f"""+{_AR1} SELECT series_id, n, CAST(2 AS INTEGER) AS k, {t("phi", 5)}, {t("c", 1, "const")},
+        {t("sqrt(sse / n)", 2, "sigma")}, {t("(n * ln(sse / n) + 4)", 3, "aic")} FROM ar""",
+)
+twin(
+    "ar1_forecast",
+    ["sparse"],
+    f"""+{_AR1},
+    o AS (SELECT series_id, max_by(y, day) AS last FROM rw WHERE split = 'train' GROUP BY 1),
+    h AS (SELECT series_id, day, row_number() OVER ({FULL}) AS step FROM rw WHERE split = 'test'),
+    f AS (SELECT series_id, day, step, c / (1 - phi) + pow(phi, step) * (last - c / (1 - phi)) AS p,
+                 1.959963984540054 * sqrt(sse / n * (1 - pow(phi * phi, step)) / (1 - phi * phi)) AS w
+          FROM h JOIN o USING (series_id) JOIN ar USING (series_id))
+    SELECT series_id, day, CAST(step AS INTEGER) AS step, {t("p", 1, "predicted")}, {t("(p - w)", 1, "lower")},
+           {t("(p + w)", 1, "upper")} FROM f""",
+)
+twin(
+    "arx_fit",
+    ["sparse"],
+    f"""+{_ROWS},
+    m AS (SELECT series_id, count(*) AS n, avg(y) AS my, avg(l) AS ml, avg(x) AS mx, covar_pop(y, l) AS yl,
+                 covar_pop(y, x) AS yx, covar_pop(l, x) AS lx, var_pop(l) AS ll, var_pop(x) AS xx
+          FROM rw WHERE split = 'train' AND i > 1 GROUP BY 1),
+    b AS (SELECT *, (yl * xx - yx * lx) / (ll * xx - lx * lx) AS phi, (yx * ll - yl * lx) / (ll * xx - lx * lx) AS beta FROM m)
+    SELECT series_id, n, {t("phi", 5)}, {t("beta", 1)}, {t("(my - phi * ml - beta * mx)", 0, "const")} FROM b""",
+)
+twin(
+    "ar_grid_best",
+    ["sparse"],
+    f"""+{_ROWS},
+    dd AS (SELECT *, lag(dy) OVER ({FULL}) AS dl FROM rw),
+    s AS (SELECT * FROM dd WHERE split = 'train' AND i > 2),
+    g AS (SELECT series_id, count(*) AS n, var_pop(y) * count(*) AS s0, regr_slope(y, l) AS phi, regr_intercept(y, l) AS c,
+                 sum(dy * dy) AS s2, sum(dy * dl) / sum(dl * dl) AS psi FROM s GROUP BY 1),
+    e AS (SELECT series_id, any_value(n) AS n, any_value(s0) AS s0, sum((y - c - phi * l) ** 2) AS s1,
+                 any_value(s2) AS s2, sum((dy - psi * dl) ** 2) AS s3 FROM s JOIN g USING (series_id) GROUP BY 1),
+    a AS (SELECT series_id, n, 0 AS ord, '(0,0,0)(0,0,0,0)+c' AS spec, n * ln(s0 / n) + 2 AS aic FROM e
+          UNION ALL SELECT series_id, n, 1, '(1,0,0)(0,0,0,0)+c', n * ln(s1 / n) + 4 FROM e
+          UNION ALL SELECT series_id, n, 2, '(0,1,0)(0,0,0,0)', n * ln(s2 / n) FROM e
+          UNION ALL SELECT series_id, n, 3, '(1,1,0)(0,0,0,0)', n * ln(s3 / n) + 2 FROM e)
+    SELECT series_id, spec, n, {t("aic", 2)} FROM (
+        SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY aic, ord) AS r FROM a) WHERE r = 1""",
+)
+twin(
+    "future_exog",
+    ["sparse"],
+    f"""+{sparse_features("sparse")},
+    z AS (SELECT * EXCLUDE (day_of_week, day_of_month, week_of_year, month, quarter, is_weekend, is_month_end),
+                 row_number() OVER (PARTITION BY series_id ORDER BY day DESC) AS r FROM features_s),
+    u AS (SELECT * EXCLUDE (day), day + CAST(k AS INTEGER) AS day FROM z, (SELECT unnest(range(1, 8)) AS k) WHERE r = 1)
+    SELECT series_id, day, """
+    + ", ".join(
+        f"{CAL[c]} AS {c}" if c in CAL else c if c == "items" else t(c, _PLACES.get(c, 3)) for c in SPARSE_NAMES
+    )
+    + " FROM u",
+)

@@ -49,6 +49,8 @@ def fit_models(series: DataFrame, specs: list[Spec], fallback: Spec, n_exog: int
     if fallback.block not in {s.block for s in specs}:
         wanted.append(fallback)
     rows, shape = design_rows(series, wanted, n_exog)
+    # Read by the fit and by both forecasts.
+    rows = materialise(rows.drop("x"))
     fits = materialise(fit_candidates(rows, shape, wanted).where(F.col("ord") < len(specs)))
     return Fitted(rows, shape, fits, with_fallback(best_by_aic(fits), series, shape, fallback))
 
@@ -70,8 +72,8 @@ def scaled_series(sales: DataFrame, fit_on: str = "all", horizon: int = 7) -> Da
     names = features.SPARSE_FEATURES
     daily = clean.drop_any_null(features.sparse_features(rollup.daily_sparse(sales, impute="median")))
     observed = split.time_split(daily).withColumn("amount_log", F.log1p("amount"))
-    table = observed.unionByName(
-        features.future_rows(daily, horizon).withColumn("split", F.lit("future")), allowMissingColumns=True
+    table = features.with_future_rows(observed, horizon).withColumn(
+        "split", F.when(F.col("step") > 0, F.lit("future")).otherwise(F.col("split"))
     )
     seen = F.col("split") != "future" if fit_on == "all" else F.col("split") == "train"
     table = scale.with_scaler(table, ["amount_log", *names], scale.STANDARD, where=seen)

@@ -55,11 +55,12 @@ def weekly_naive_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         scalars.is_weekend("day").alias("is_weekend"),
     )
     test = split.time_split(shaped).where((F.col("split") == "test") & F.col("predicted").isNotNull())
-    scores = evaluate.score(test, by=("series_id",)).drop("MAPE")
-    shape = test.groupBy("series_id").agg(
-        F.avg("ma7").alias("mean_ma7"), F.sum("is_weekend").alias("weekend_days"), F.min("day").alias("test_start")
-    )
-    out = scores.join(shape, "series_id")
+    shape = [
+        F.avg("ma7").alias("mean_ma7"),
+        F.sum("is_weekend").alias("weekend_days"),
+        F.min("day").alias("test_start"),
+    ]
+    out = evaluate.score(test, by=("series_id",), extra=shape).drop("MAPE")
     return report(out, {"RMSE": 2, "MAE": 2, "R2": 6, "mean_ma7": 2})
 
 

@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Daily rows are few but heavy with window columns: allow small reduce tasks.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "32k",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
