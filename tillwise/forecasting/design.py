@@ -115,9 +115,10 @@ def lagged(series: DataFrame, shape: Shape) -> DataFrame:
     return differenced(placed, shape.blocks, shape.n_exog).withColumn("lags", _past("dy", shape.history))
 
 
-def dot(a: Column, b: Column) -> Column:
-    """Product sum of two arrays of any length (a fold)."""
-    return F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
+def dot(weights: Column, values: Column) -> Column:
+    """Product sum of two arrays of any length (a fold); a zero weight needs no value."""
+    product = F.zip_with(weights, values, lambda u, v: F.when(u == 0, F.lit(0.0)).otherwise(u * v))
+    return F.aggregate(product, F.lit(0.0), lambda s, v: s + v)
 
 
 def dot_n(a: Column, b: Column, n: int, skip: int = 0) -> Column:
