@@ -136,22 +136,23 @@ def brand_grid_best(spark, sf_dir):
 @query
 def seq_regressor(spark, sf_dir):
     """Pooled Huber regressor on 14-day sequences: test scores."""
-    test, _ = pipelines.sequence_pipeline(sales(spark, sf_dir), "huber")
+    windows = pipelines.sequence_table(sales(spark, sf_dir))
+    test = windows.test(windows.fit("huber"))
     return report(evaluate.score(test, by=("series_id",)), {"RMSE": 1, "MAE": 1, "MAPE": 3, "R2": 4})
 
 
 @query
 def seq_recursive_7d(spark, sf_dir):
     """Recursive seven-day forecast of the pooled regressor."""
-    _, future = pipelines.sequence_pipeline(sales(spark, sf_dir), "huber")
-    return report(future, {"predicted": 1})
+    windows = pipelines.sequence_table(sales(spark, sf_dir))
+    return report(windows.future(windows.fit("huber")), {"predicted": 1})
 
 
 @query
 def seq_boosted(spark, sf_dir):
     """Boosted trees with validation-based stop: test error and tree count."""
-    rows, seeds = pipelines.sequence_table(sales(spark, sf_dir))
-    rows = materialise(rows)
+    windows = pipelines.sequence_table(sales(spark, sf_dir))
+    rows, seeds = windows.rows, windows.seeds
     model = sequence.fit_boosted(rows)
     out = sequence.predict(model, rows.where(F.col("split") == "test")).groupBy("series_id").agg(
         F.avg(F.abs(F.col("y") - F.col("predicted"))).alias("mae")
@@ -186,7 +187,8 @@ def tabular_regression(spark, sf_dir):
 def two_model_comparison(spark, sf_dir):
     """Sequence and regression pipelines side by side for seven days, with the ensemble."""
     base = sales(spark, sf_dir)
-    _, seq = pipelines.sequence_pipeline(base)
+    windows = pipelines.sequence_table(base)
+    seq = windows.future(windows.fit())
     reg = pipelines.regression_pipeline(base).future
     out = evaluate.compare_forecasts(seq, reg.select("series_id", "day", "step", "predicted"))
     return report(out, {"first": 1, "second": 1, "ensemble": 1, "difference": 1, "percent_difference": 3})
@@ -200,3 +202,17 @@ def six_model_ranking(spark, sf_dir):
     return report(evaluate.average_rank(ranks, pipelines.SIX_MODELS), {"avg_rank": 4})
 
 
+
+
+@query
+def two_model_metrics(spark, sf_dir):
+    """Both pipelines scored on their test spans: metric rows by model columns, better by R2."""
+    base = sales(spark, sf_dir)
+    windows = pipelines.sequence_table(base)
+    a = windows.test(windows.fit()).select("series_id", "day", "actual", "predicted", F.lit("SEQ").alias("model"))
+    b = pipelines.regression_pipeline(base).test
+    b = b.select("series_id", "day", "actual", "predicted", F.lit("REG").alias("model"))
+    scores = materialise(evaluate.score(a.unionByName(b)))
+    table = evaluate.metrics_table(evaluate.metrics_long(scores), ["SEQ", "REG"])
+    out = table.join(evaluate.better_of_two(scores, "SEQ", "REG").select("series_id", "better"), "series_id")
+    return report(out, {"SEQ": 2, "REG": 2})

@@ -794,3 +794,12 @@ twin(
     )
     + " FROM u",
 )
+
+# ---- sources and sinks -----------------------------------------------------
+
+twin("csv_source", ["sales"], "SELECT * FROM sales")
+twin(
+    "predictions_sink",
+    ["preds"],
+    f"SELECT series_id, split, day, {t('actual', 3)}, {t('predicted', 3)}, model FROM preds WHERE model = 'naive'",
+)

@@ -119,8 +119,34 @@ def regression_pipeline(
     return Outcome(test, in_dollars(fitted.predict("future"), series), fitted)
 
 
-def sequence_table(sales: DataFrame, fit_on: str = "all") -> tuple[DataFrame, DataFrame]:
-    """Min-max scaled dense features as (sequences with split, seeds of the recursion)."""
+@dataclass
+class Sequences:
+    """Scaled training sequences of every series and the seeds of the recursion."""
+
+    rows: DataFrame
+    seeds: DataFrame
+
+    def fit(self, loss: str = "huber"):
+        """Pooled linear regressor; Spark ML keeps its own cached copy of the training rows."""
+        return sequence.fit_linear(self.rows.where(F.col("split") == "train"), loss)
+
+    def test(self, model) -> DataFrame:
+        """Test predictions in amounts."""
+        return sequence.predict(model, self.rows.where(F.col("split") == "test")).select(
+            "series_id",
+            "day",
+            scale.unscaled("y", "amount").alias("actual"),
+            scale.unscaled("predicted", "amount").alias("predicted"),
+        )
+
+    def future(self, model) -> DataFrame:
+        """Recursive seven-day forecast in amounts."""
+        out = sequence.recurse_linear(model, self.seeds).join(self.seeds.select("series_id", "scaler"), "series_id")
+        return out.select("series_id", "day", "step", scale.unscaled("predicted", "amount").alias("predicted"))
+
+
+def sequence_table(sales: DataFrame, fit_on: str = "all") -> Sequences:
+    """Min-max scaled dense features as sequences with their split, and the seeds."""
     columns = ["amount", *features.DENSE_FEATURES]
     dense = features.dense_features(rollup.daily_dense(sales))
     seen = None
@@ -133,24 +159,7 @@ def sequence_table(sales: DataFrame, fit_on: str = "all") -> tuple[DataFrame, Da
     scalers = table.groupBy("series_id").agg(F.first("scaler").alias("scaler"))
     rows = split.time_split(features.sequences(table, "amount", features.DENSE_FEATURES)).join(scalers, "series_id")
     seeds = features.last_sequence(table, "amount", features.DENSE_FEATURES).join(scalers, "series_id")
-    return rows, seeds
-
-
-def sequence_pipeline(sales: DataFrame, loss: str = "huber", fit_on: str = "all") -> tuple[DataFrame, DataFrame]:
-    """Pooled linear sequence regressor: (test predictions, recursive 7-day forecast), in amounts."""
-    rows, seeds = sequence_table(sales, fit_on)
-    rows = materialise(rows)
-    model = sequence.fit_linear(rows.where(F.col("split") == "train"), loss)
-    test = sequence.predict(model, rows.where(F.col("split") == "test")).select(
-        "series_id",
-        "day",
-        scale.unscaled("y", "amount").alias("actual"),
-        scale.unscaled("predicted", "amount").alias("predicted"),
-    )
-    future = sequence.recurse_linear(model, seeds).join(seeds.select("series_id", "scaler"), "series_id")
-    return test, future.select(
-        "series_id", "day", "step", scale.unscaled("predicted", "amount").alias("predicted")
-    )
+    return Sequences(rows, seeds)
 
 
 # Fixed value: order of the compared models (ties in ranks go to the earlier one).
@@ -191,7 +200,7 @@ def six_model_predictions(sales: DataFrame) -> DataFrame:
         one = rows.select("series_id", F.lit(name).alias("model"), "day", "predicted")
         stacked = one if stacked is None else stacked.unionByName(one)
     out = stacked.join(actual, ["series_id", "day"])
+    windows = sequence_table(sales)
     for name, loss in (("SEQ_SQUARED", "squaredError"), ("SEQ_HUBER", "huber")):
-        test, _ = sequence_pipeline(sales, loss)
-        out = out.unionByName(test.withColumn("model", F.lit(name)))
+        out = out.unionByName(windows.test(windows.fit(loss)).withColumn("model", F.lit(name)))
     return out.select("series_id", "model", F.lit("test").alias("split"), "day", "actual", "predicted")

@@ -6,6 +6,8 @@ comparison only in its last projection.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,9 @@ from tillwise.functions.rolling import ordered
 from tillwise.functions.scalars import MONTHS, tidy
 from tillwise.operators import clean, decompose, encode, evaluate, features, profile, rollup, scale, split
 from tillwise.plans.contestants import BASELINES, baseline_predictions, recent_mean, repeat_last_week
-from tillwise.sources.transactions import event_sales, parse_day, read_table, sales
+from tillwise.session import shared_folder
+from tillwise.sources import sinks
+from tillwise.sources.transactions import CSV_SCHEMA, event_sales, parse_day, read_table, read_transactions_csv, sales
 
 QUERIES: dict = {}
 
@@ -585,3 +589,38 @@ def future_spine(spark, sf_dir):
     days = F.sequence(F.date_add("last_day", 1), F.date_add("last_day", 7))
     out = ends.select("series_id", F.explode(days).alias("day"))
     return out.select("*", *scalars.calendar_columns("day", ["day_of_week", "day_of_month", "week_of_year", "month", "quarter", "year", "is_weekend", "is_month_end"]))
+
+
+# ---- sources and sinks -----------------------------------------------------
+
+
+def _scratch(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def csv_source(spark, sf_dir):
+    """Sales written as a header CSV and read back through the CSV source."""
+    path = _scratch(spark, "csv")
+    item, amount, rating, date, payment = CSV_SCHEMA.fieldNames()
+    text = sales(spark, sf_dir).select(
+        F.col("item").alias(item),
+        F.col("amount").alias(amount),
+        F.col("rating").alias(rating),
+        F.date_format("day", "dd-MM-yyyy").alias(date),
+        F.col("payment").alias(payment),
+        F.col("sale_id").alias("Sale"),
+        F.col("series_id").alias("Segment"),
+    )
+    text.write.option("header", True).csv(path)
+    back = read_transactions_csv(spark, path, text.schema, series_column="Segment", id_column="Sale")
+    return back.select("sale_id", "series_id", "amount", "item", "rating", "day", "payment")
+
+
+@query
+def predictions_sink(spark, sf_dir):
+    """Predictions written by model, one model read back (one directory scanned)."""
+    path = _scratch(spark, "predictions")
+    sinks.write_predictions(baseline_predictions(_sparse(spark, sf_dir)), path)
+    out = sinks.read_predictions(spark, path).where((F.col("model") == "naive") & (F.col("split") == "test"))
+    return report(out, {"actual": 3, "predicted": 3})
