@@ -161,6 +161,13 @@ def seq_boosted(spark, sf_dir):
     return report(out.join(ahead, "series_id").withColumn("trees", F.lit(model.getNumTrees)), {"mae": 4, "mean_ahead": 4})
 
 
+@query
+def tabular_matrix(spark, sf_dir):
+    """Feature matrix of the transaction-level regression."""
+    base = clean.impute(clean.drop_null(sales(spark, sf_dir), ["amount"]), "rating", "mean", ["series_id"], ["sale_id"])
+    return report(sequence.tabular_features(base), {"rating": 6})
+
+
 @query
 def tabular_regression(spark, sf_dir):
     """Linear regression on transactions: hash split, min-max scaled on train, scores on test."""

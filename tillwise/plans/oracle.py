@@ -794,6 +794,15 @@ twin(
     )
     + " FROM u",
 )
+twin(
+    "tabular_matrix",
+    ["filled"],
+    f"""+f AS (SELECT item, row_number() OVER (ORDER BY min(o)) - 1 AS code
+               FROM (SELECT item, strftime(day, '%Y%m%d') || lpad(CAST(sale_id AS VARCHAR), 20, '0') AS o FROM kept) GROUP BY 1)
+    SELECT sale_id, amount, CAST(code AS INTEGER) AS item_code, {t("r", 6, "rating")},
+           CAST(CASE payment WHEN 'Cash' THEN 0 WHEN 'Credit Card' THEN 1 END AS INTEGER) AS payment_code,
+           {cal("year", "month", "day_of_month", "day_of_week")} FROM filled JOIN f USING (item)""",
+)
 
 # ---- sources and sinks -----------------------------------------------------
 
