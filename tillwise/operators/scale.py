@@ -5,7 +5,7 @@ Both methods reduce to (x - center) / scale with scale 1 for a constant column.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions.rolling import KEYS
@@ -14,16 +14,12 @@ from tillwise.functions.scalars import at_least_zero
 MINMAX, STANDARD = "minmax", "standard"
 
 
-def _center_scale(c: Column, method: str, over=None) -> tuple[Column, Column]:
-    """The two fitted numbers as aggregates, or as window aggregates with ``over``."""
-
-    def run(f):
-        return f.over(over) if over is not None else f
-
+def _center_scale(c: Column, method: str) -> tuple[Column, Column]:
+    """The two fitted numbers as aggregates."""
     if method == MINMAX:
-        center, spread = run(F.min(c)), run(F.max(c)) - run(F.min(c))
+        center, spread = F.min(c), F.max(c) - F.min(c)
     elif method == STANDARD:
-        center, spread = run(F.avg(c)), run(F.stddev_pop(c))
+        center, spread = F.avg(c), F.stddev_pop(c)
     else:
         raise ValueError(f"unknown scaling {method!r}")
     return center.cast("double"), F.when(spread == 0, F.lit(1.0)).otherwise(spread.cast("double"))
@@ -47,17 +43,17 @@ def fit_scaler(
 def with_scaler(
     df: DataFrame, columns: list[str], method: str, keys=KEYS, where: Column | None = None, name: str = "scaler"
 ) -> DataFrame:
-    """Fit in place: a struct column of parameters on every row.
+    """Fit and attach in one step: a struct column of parameters on every row.
 
-    Uses the exchange the feature windows already made, so fitting and applying
-    need neither a second pass nor a join.
+    Grouping and join both use the series partitioning the feature windows
+    left behind, so neither shuffles the rows again. Window aggregates would
+    save the join but cost several times more with many columns.
     """
-    over = Window.partitionBy(*keys)
     fields = []
     for c in columns:
-        center, scale = _center_scale(_fitted_on(c, where), method, over)
+        center, scale = _center_scale(_fitted_on(c, where), method)
         fields.append(F.struct(center.alias("center"), scale.alias("scale")).alias(c))
-    return df.withColumn(name, F.struct(*fields))
+    return df.join(df.groupBy(*keys).agg(F.struct(*fields).alias(name)), list(keys))
 
 
 def attach_scaler(df: DataFrame, params: DataFrame, columns: list[str], keys=KEYS, name: str = "scaler") -> DataFrame:

@@ -75,6 +75,7 @@ def scaled_series(sales: DataFrame, fit_on: str = "all", horizon: int = 7) -> Da
     table = features.with_future_rows(observed, horizon).withColumn(
         "split", F.when(F.col("step") > 0, F.lit("future")).otherwise(F.col("split"))
     )
+    table = materialise(table)  # read by the scaler fit and by its application
     seen = F.col("split") != "future" if fit_on == "all" else F.col("split") == "train"
     table = scale.with_scaler(table, ["amount_log", *names], scale.STANDARD, where=seen)
     return table.select(
@@ -112,7 +113,7 @@ def regression_pipeline(
     sales: DataFrame, specs: list[Spec] = SARIMAX_MAIN, fit_on: str = "all", horizon: int = 7
 ) -> Outcome:
     """Sparse daily series, nineteen regressors, candidates by AIC, test and 7-day forecasts."""
-    series = materialise(scaled_series(sales, fit_on, horizon))
+    series = scaled_series(sales, fit_on, horizon)
     fitted = fit_models(series, specs, SARIMAX_FALLBACK, len(features.SPARSE_FEATURES))
     actual = series.select("series_id", "day", F.col("amount").alias("actual"))
     test = in_dollars(fitted.predict("test"), series).join(actual, ["series_id", "day"])
@@ -153,9 +154,10 @@ def sequence_table(sales: DataFrame, fit_on: str = "all") -> Sequences:
     if fit_on == "train":
         dense = split.time_split(dense)
         seen = F.col("split") == "train"
+    dense = materialise(dense)  # read by the scaler fit and by its application
     table = scale.with_scaler(dense, columns, scale.MINMAX, where=seen)
     keep = F.struct("scaler.amount").alias("scaler")
-    table = materialise(scale.scale_columns(table, columns).select("series_id", "day", *columns, keep))
+    table = scale.scale_columns(table, columns).select("series_id", "day", *columns, keep)
     scalers = table.groupBy("series_id").agg(F.first("scaler").alias("scaler"))
     rows = split.time_split(features.sequences(table, "amount", features.DENSE_FEATURES)).join(scalers, "series_id")
     seeds = features.last_sequence(table, "amount", features.DENSE_FEATURES).join(scalers, "series_id")
