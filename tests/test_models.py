@@ -254,3 +254,21 @@ def test_future_rows(spark):
     assert all(r[c] == v for r in got for c, v in values.items())
     full = features.with_future_rows(df)
     assert full.count() == 9 and full.where(F.col("amount").isNotNull()).count() == 2
+
+
+def test_task_functions_need_no_package_on_executors(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from tillwise.forecasting import fit
+
+    blob = tmp_path / "f.pkl"
+    blob.write_bytes(cloudpickle.dumps((fit.least_squares, fit.level_polynomial, Spec(1, 0, 0))))
+    code = (
+        "import pickle, numpy as np; f, p, s = pickle.load(open('f.pkl', 'rb'));"
+        "print(s.ar_lags(), list(f(np.arange(9.0)[:, None], np.arange(9.0) * 2 + 1 + np.arange(9) % 2, [[0]], [True]))[0][1])"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={}, capture_output=True, text=True, check=True)
+    assert done.stdout.startswith("[1] [2.")

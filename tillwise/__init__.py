@@ -1 +1,8 @@
 """tillwise: keyed retail time-series analytics as Spark DataFrame operators."""
+
+import sys
+
+from pyspark.cloudpickle import cloudpickle
+
+# Task functions travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
