@@ -34,11 +34,18 @@ FIT_SCHEMA = (
 
 
 def solve(gram: np.ndarray, cross: np.ndarray) -> np.ndarray:
-    """Ridge-guarded solution of gram @ b = cross after scaling to unit diagonal."""
+    """Ridge-guarded solution of gram @ b = cross after scaling to unit diagonal.
+
+    Two refinement steps take the ridge's bias out of well-determined directions.
+    """
     scale = np.sqrt(np.diag(gram))
     scale[scale == 0] = 1.0
-    unit = gram / np.outer(scale, scale)
-    return np.linalg.solve(unit + RIDGE * np.eye(len(scale)), cross / scale) / scale
+    unit, target = gram / np.outer(scale, scale), cross / scale
+    guarded = unit + RIDGE * np.eye(len(scale))
+    b = np.linalg.solve(guarded, target)
+    for _ in range(2):
+        b = b + np.linalg.solve(guarded, target - unit @ b)
+    return b / scale
 
 
 def least_squares(x: np.ndarray, y: np.ndarray, chosen: list[list[int]], constant: list[bool]):

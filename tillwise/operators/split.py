@@ -38,7 +38,7 @@ def calendar_split(
 
 
 def hash_split(df: DataFrame, id_column: str, seed: int = 42, test_share: float = 0.2) -> DataFrame:
-    """Random split of the whole table with exactly ceil(test_share * n) test rows.
+    """Random split of the whole table with exactly ceil(test_share * n) test rows (ids unique).
 
     Rows are ordered by (md5 of id and seed, id), the first ones being test.
     Only the cut-off is searched: counts per 4-digit hash prefix name the one
