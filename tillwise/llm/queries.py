@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillwise.llm import idstore, mixing, packing
+from tillwise.llm import caps, idstore, mixing, packing, simhash
 from tillwise.llm.tokens import vocabulary
 
 QUERIES = {}
@@ -36,3 +36,15 @@ def op8_pack_windows(spark, sf_dir):
 def op10_token_files(spark, sf_dir):
     """Token files with Elias-Fano boundaries, written and read back."""
     return idstore.read(idstore.write(table(spark, sf_dir, "documents"), vocabulary()))
+
+
+@query
+def op5_embedding_caps(spark, sf_dir):
+    """Links, components and kept flags of all embeddings at cosine 0.95."""
+    return caps.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op6_simhash_golay(spark, sf_dir):
+    """Fingerprints of whole texts and their groups within four bits."""
+    return simhash.groups(table(spark, sf_dir, "documents"))
