@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillwise.llm import caps, idstore, mixing, packing, simhash
+from tillwise.llm import caps, declist, idstore, mixing, packing, rulefit, simhash, toxicity
 from tillwise.llm.tokens import vocabulary
 
 QUERIES = {}
@@ -48,3 +48,25 @@ def op5_embedding_caps(spark, sf_dir):
 def op6_simhash_golay(spark, sf_dir):
     """Fingerprints of whole texts and their groups within four bits."""
     return simhash.groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_toxicity_nnpu(spark, sf_dir):
+    """Toxicity scores of all documents from a positive-unlabelled classifier."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op7_decision_list(spark, sf_dir):
+    """Base counts of all documents and the verdict of a learned decision list."""
+    docs = table(spark, sf_dir, "documents")
+    return declist.judge(docs, declist.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op9_rule_ensemble(spark, sf_dir):
+    """Quality scores of all documents from a sparse rule ensemble."""
+    docs = table(spark, sf_dir, "documents")
+    learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
+    return rulefit.score(docs, rulefit.fit(docs, table(spark, sf_dir, "labels"), where=learn))
