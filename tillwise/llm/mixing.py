@@ -142,3 +142,22 @@ def mix(docs: DataFrame, cycle=CYCLE, most: int = MOST_REPEATS, block_words: int
     taken = taken.select("position", "doc_id", "size", "taken").unionByName(empty)
     taken = taken.join(plan.select("position", "source", "source_size", "target"), "position")
     return slots, cut, taken.select("doc_id", "size", "source", "source_size", "target", "taken")
+
+
+def repeated(docs: DataFrame, cycle=CYCLE, most: int = MOST_REPEATS, block_words: int = BLOCK_WORDS, seed: int = 0) -> DataFrame:
+    """The documents with all their columns, each as often as the mix takes its words.
+
+    The part of a copy that is left over is rounded along the ids' hash, up or down with its
+    own share as the chance, so sources still come near their targets and reruns agree.
+    Rows without words are never taken by a mix of words; they stay once.
+    """
+    rows = stage_table(docs.withColumn("_row", F.monotonically_increasing_id()))
+    numbered = rows.select(F.col("_row").alias("doc_id"), "text", "source")
+    _, _, taken = mix(numbered, cycle, most, block_words, seed)
+    chance = F.pmod(F.xxhash64(F.lit(f"{seed}:copy"), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    whole = F.expr("taken div size")
+    part = (F.col("taken") % F.col("size")) / F.col("size")
+    copies = F.when(F.col("size") == 0, F.lit(1).cast("long")).otherwise(whole + (part > chance).cast("long"))
+    counted = taken.select(F.col("doc_id").alias("_row"), copies.alias("_copies")).where("_copies > 0")
+    again = rows.join(counted, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return again.select(*docs.columns)

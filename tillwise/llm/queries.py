@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillwise.llm import caps, declist, idstore, mixing, packing, rulefit, simhash, toxicity
+from tillwise.llm import caps, declist, fuzzylines, idstore, mixing, packing, rulefit, secrets, simhash, toxicity
 from tillwise.llm.tokens import vocabulary
 
 QUERIES = {}
@@ -70,3 +70,15 @@ def op9_rule_ensemble(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
     return rulefit.score(docs, rulefit.fit(docs, table(spark, sf_dir, "labels"), where=learn))
+
+
+@query
+def op3_secret_ledger(spark, sf_dir):
+    """Secrets of all documents by way of a ledger of scanned blobs."""
+    return secrets.report(secrets.findings(table(spark, sf_dir, "documents")))
+
+
+@query
+def op4_fuzzy_lines(spark, sf_dir):
+    """All documents with one line kept of every component of near-equal lines."""
+    return fuzzylines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")

@@ -252,3 +252,19 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) ->
     out = prints.join(named, "fingerprint")
     text = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
     return out.select("doc_id", text.alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, row: str, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """One row of each group with all its columns: the smallest doc_id's (rows without one come last), then the smallest ``row``.
+
+    ``row`` names a column that numbers the rows of a written table. Texts are fingerprinted where
+    they lie; only fingerprints and numbers are shuffled, until the chosen rows are fetched.
+    """
+    slim = docs.select(F.col(row).alias("doc_id"), "text")
+    prints = fingerprints(slim, shingle).withColumnRenamed("doc_id", row)
+    named = stage_table(prints.join(docs.select(row, F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", F.col(row).alias("row")).alias("place")), row))
+    distinct = stage_table(named.groupBy("fingerprint").agg(F.min("place").alias("place")))
+    found = components(links(distinct, distance)).withColumnRenamed("node", "fingerprint")
+    grouped = distinct.join(found, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
+    chosen = grouped.groupBy("component").agg(F.min("place").alias("place")).select(F.col("place.row").alias(row))
+    return docs.join(chosen, row, "left_semi")

@@ -20,6 +20,7 @@ POSITIVES = 2000  # most confirmed toxic texts to train on, by hash of their id
 UNLABELLED = 6000  # most unlabelled texts, likewise
 VOCABULARY = 2048
 LEAST_POSITIVES = 3  # texts that a word must occur in
+LEAST_LIFT = 5.0  # standard errors by which its share must exceed the mixture's: chance words stay out
 CLASSIFIERS = 3
 CUT = 0.3
 TOKEN = re.compile(r"\w+")
@@ -87,8 +88,8 @@ def choose_words(positive: list[set], unlabelled: list[set], most: int = VOCABUL
         pooled = (a + b) / (n + m)
         return (a / n - b / m) / np.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m) + 1e-12)
 
-    common = [w for w, (a, _) in count.items() if a >= min(LEAST_POSITIVES, n)]
-    return sorted(common, key=lambda w: (-abs(lift(w)), w))[:most]
+    lifts = {w: lift(w) for w, (a, _) in count.items() if a >= min(LEAST_POSITIVES, n)}
+    return sorted((w for w, x in lifts.items() if x >= LEAST_LIFT), key=lambda w: (-lifts[w], w))[:most]
 
 
 def train(positive: list[set], unlabelled: list[set], prior: float, classifiers: int = CLASSIFIERS) -> Model:
