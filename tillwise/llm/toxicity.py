@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillwise.llm.shared import stage_table
+
 POSITIVES = 2000  # most confirmed toxic texts to train on, by hash of their id
 UNLABELLED = 6000  # most unlabelled texts, likewise
 VOCABULARY = 2048
@@ -74,34 +76,29 @@ def fit_classifier(positive: np.ndarray, unlabelled: np.ndarray, prior: float, s
     return theta[:-1], float(theta[-1])
 
 
-def choose_words(positive: list[set], unlabelled: list[set], most: int = VOCABULARY) -> list[str]:
-    """Words whose share among the positives exceeds that of the mixture most clearly."""
-    count: dict[str, list[int]] = {}
-    for k, texts in enumerate((positive, unlabelled)):
-        for found in texts:
-            for w in found:
-                count.setdefault(w, [0, 0])[k] += 1
-    n, m = len(positive), len(unlabelled)
-
-    def lift(word):
-        a, b = count[word]
-        pooled = (a + b) / (n + m)
-        return (a / n - b / m) / np.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m) + 1e-12)
-
-    lifts = {w: lift(w) for w, (a, _) in count.items() if a >= min(LEAST_POSITIVES, n)}
-    return sorted((w for w, x in lifts.items() if x >= LEAST_LIFT), key=lambda w: (-lifts[w], w))[:most]
+def chosen_words(sample: DataFrame, n: int, m: int, most: int = VOCABULARY) -> list[str]:
+    """Words whose share among the n positives exceeds that among the m unlabelled texts most clearly."""
+    one = F.explode("words").alias("word")
+    counts = sample.select(one, "positive").groupBy("word").agg(
+        F.count_if("positive").alias("a"), F.count_if(~F.col("positive")).alias("b")
+    )
+    pooled = (F.col("a") + F.col("b")) / (n + m)
+    error = F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m) + F.lit(1e-12))
+    lifted = counts.select("word", "a", ((F.col("a") / n - F.col("b") / m) / error).alias("lift"))
+    clear = lifted.where((F.col("a") >= min(LEAST_POSITIVES, n)) & (F.col("lift") >= LEAST_LIFT))
+    return [r["word"] for r in clear.orderBy(F.desc("lift"), "word").limit(most).collect()]
 
 
-def train(positive: list[set], unlabelled: list[set], prior: float, classifiers: int = CLASSIFIERS) -> Model:
+def train(positive: list, unlabelled: list, chosen: list[str], prior: float, classifiers: int = CLASSIFIERS) -> Model:
+    """Fits on the chosen words of every text; without positives or a prior there is no classifier."""
     if not positive or not unlabelled or not 0 < prior < 1:
         return Model((), ())
-    chosen = choose_words(positive, unlabelled)
     place = {w: i for i, w in enumerate(chosen)}
 
     def matrix(texts):
         out = np.zeros((len(texts), len(chosen)), np.float32)
         for i, found in enumerate(texts):
-            out[i, [place[w] for w in place.keys() & found]] = 1
+            out[i, [place[w] for w in found]] = 1
         return out
 
     p, u = matrix(positive), matrix(unlabelled)
@@ -109,17 +106,17 @@ def train(positive: list[set], unlabelled: list[set], prior: float, classifiers:
     return Model(tuple({w: float(x) for w, x in zip(chosen, theta) if x} for theta, _ in fits), tuple(b for _, b in fits))
 
 
-def _word_sets(docs: DataFrame, ids: DataFrame) -> list[set]:
-    """Word sets of the texts with these ids (a bounded list); of repeated ids the first set in order."""
+def _word_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, words) of the texts with these ids (a bounded list); of repeated ids the first set in order."""
 
     def run(batches):
         for batch in batches:
             found = [sorted(words(t.as_py())) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "words"])
 
-    slim = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id", "left_semi")
-    found = slim.mapInArrow(run, "doc_id long, words array<string>").groupBy("doc_id").agg(F.min("words").alias("words"))
-    return [set(r["words"]) for r in sorted(found.collect(), key=lambda r: r["doc_id"])]
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = slim.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(run, "doc_id long, words array<string>")
+    return found.groupBy("doc_id").agg(F.min("words").alias("words"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, divisor: int = 4, held: int = 2) -> Model:
@@ -134,7 +131,18 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
     toxic = known.where("toxic = 1").select(F.col("doc_id").cast("long")).distinct().orderBy(*order).limit(positives)
     mixed = docs.where(learn).select(F.col("doc_id").cast("long")).distinct().orderBy(*order).limit(unlabelled)
-    return train(_word_sets(docs, toxic), _word_sets(docs, mixed), float(prior))
+    sample = _word_sets(docs, toxic).withColumn("positive", F.lit(True))
+    sample = stage_table(sample.unionByName(_word_sets(docs, mixed).withColumn("positive", F.lit(False))))
+    size = {r["positive"]: r["n"] for r in sample.groupBy("positive").agg(F.count("*").alias("n")).collect()}
+    if len(size) < 2:
+        return Model((), ())
+    chosen = chosen_words(sample, size[True], size[False])
+    known = F.array(*[F.lit(w) for w in chosen]).cast("array<string>")
+    # Only chosen words reach the driver: at most VOCABULARY for each text of the bounded sample.
+    rows = sample.select("doc_id", "positive", F.array_intersect("words", known).alias("found")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
+    sides = [[r["found"] for r in rows if r["positive"] == side] for side in (True, False)]
+    return train(*sides, chosen, float(prior))
 
 
 def score(docs: DataFrame, model: Model, divisor: int = 4, held: int = 2, cut: float = CUT) -> DataFrame:
