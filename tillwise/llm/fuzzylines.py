@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.llm.shared import WORD, components, stage_table
+from tillwise.llm.statistics import let
 
 CHARS = 8
 JACCARD = 0.8
@@ -67,7 +68,9 @@ def distinct_lines(rows: DataFrame, chars: int = CHARS, bands: int = BANDS, per_
     after = [F.get("_h", ((F.array_position("_s", F.lit(p)) - 1 - i) % F.size("_h")).cast("int")) for i, p in enumerate(points)]
     dealt = _dealt(len(points))
     keys = [F.xxhash64(F.lit(b), *[after[i] for i in dealt[b * per_band : (b + 1) * per_band]]) for b in range(bands)]
-    return stage_table(placed.select("id", "line", "first", F.array(*keys).alias("bands")))
+    # A lambda, here on the id, keeps this projection out of whole-stage code: there all values would make up
+    # one method, too large for the JVM to compile; outside it they are split into small ones.
+    return stage_table(placed.select(let(F.col("id"), lambda x: x).alias("id"), "line", "first", F.array(*keys).alias("bands")))
 
 
 def verified(pairs: DataFrame, lines: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> DataFrame:
