@@ -174,3 +174,13 @@ def test_caps(spark):
     np.fill_diagonal(near, False)
     found, true = sum(r["n_links"] for r in rows), near.sum()
     assert all(r["n_links"] <= n for r, n in zip(rows, near.sum(axis=1))) and found >= 0.9 * true
+
+
+def test_rare_pairs_hold_every_link(spark):
+    words = [hashlib.md5(str(i).encode()).hexdigest()[:5] for i in range(60)]
+    texts = [" ".join(words[(i * k) % 59] if k % (4 + i % 9) == 0 else words[k] for k in range(14)) for i in range(80)]
+    lines = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
+    found = {tuple(r) for r in fuzzylines.rare_pairs(lines.selectExpr("id", "id component"), lines).collect()}
+    sets = [plain_shingles(t) for t in texts]
+    near = {(a, b) for a in range(80) for b in range(a + 1, 80) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert near and near <= found and len(found) < 80 * 79 / 2

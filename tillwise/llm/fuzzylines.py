@@ -87,8 +87,8 @@ def links(lines: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> Dat
     """(node, component) over all lines that share a band and reach the similarity.
 
     First every line of a bucket meets the bucket's smallest line only, which settles buckets of
-    near copies in linear work. What is still in different components of one bucket is then
-    compared pair by pair, so no link is lost.
+    near copies in linear work. Lines still in different components of one bucket then meet where they
+    share a rare shingle, which loses no link and does not pair up the bucket.
     """
     placed = lines.select("id", F.explode("bands").alias("key"))
     shared = placed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("n > 1")
@@ -104,12 +104,34 @@ def links(lines: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> Dat
     open_ = stage_table(member.join(mixed.where(F.col("_a") != F.col("_b")).select("key"), "key", "left_semi"))
     if open_.isEmpty():
         return found
-    other = open_.select("key", F.col("id").alias("b"), F.col("component").alias("_other"))
-    across = open_.withColumnRenamed("id", "a").join(other, "key").where(F.col("component") < F.col("_other"))
-    more = verified(across.select("a", "b").distinct(), lines, jaccard, chars)
+    more = verified(rare_pairs(open_.select("id", "component").distinct(), lines, jaccard, chars), lines, jaccard, chars)
     return components(near.unionByName(more))
 
 
+def rare_pairs(members: DataFrame, lines: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> DataFrame:
+    """Pairs (a, b) of members in different components that may reach the similarity; none that does is missing.
+
+    Two sets that similar share one of the rarest n - ceil(jaccard * n) + 1 shingles of each. Shingles
+    that one member alone has use up these places and match nothing, so lines with much text
+    of their own meet no other line, however many share their bucket.
+    """
+    texts = members.join(lines.select("id", "line"), "id")
+    hashes = F.array_distinct(F.transform(shingles(F.col("line"), chars), lambda x: F.xxhash64(x)))
+    sets = texts.select("id", "component", hashes.alias("_h")).select("id", "component", F.size("_h").alias("n"), "_h")
+    held = stage_table(sets.select("id", "component", "n", F.explode("_h").alias("shingle")))
+    often = held.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1")
+    common = held.join(often, "shingle").groupBy("id", "component", "n")
+    common = common.agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("_c"))
+    places = F.col("n") - F.ceil(F.col("n") * jaccard - 1e-9) + 1 - (F.col("n") - F.size("_c"))
+    rare = common.where(places > 0).select("id", "component", "n", F.explode(F.slice("_c", F.lit(1), places.cast("int"))).alias("_r"))
+    rare = stage_table(rare.select("id", "component", "n", F.col("_r.shingle").alias("shingle")))
+    mixed = rare.groupBy("shingle").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b")
+    met = rare.join(mixed.select("shingle"), "shingle", "left_semi")
+    other = met.select("shingle", F.col("id").alias("b"), F.col("component").alias("_other"), F.col("n").alias("_n"))
+    across = met.withColumnRenamed("id", "a").join(other, "shingle").where(F.col("component") < F.col("_other"))
+    return across.where(F.least("n", "_n") >= F.greatest("n", "_n") * jaccard - 1e-9).select("a", "b").distinct()
+
+
 def dedup(docs: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> DataFrame:
     """The documents with all their columns; of every component of lines only the first line stays.
 
