@@ -86,7 +86,8 @@ def verified(pairs: DataFrame, lines: DataFrame, jaccard: float = JACCARD, chars
 def links(lines: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> DataFrame:
     """(node, component) over all lines that share a band and reach the similarity.
 
-    First every line of a bucket meets the bucket's smallest line only, which settles buckets of
+    First every line of a bucket meets one line of it only, the one that shares most buckets with others
+    (of variants of one line, most likely the original), which settles buckets of
     near copies in linear work. Lines still in different components of one bucket then meet where they
     share a rare shingle, which loses no link and does not pair up the bucket.
     """
@@ -94,9 +95,12 @@ def links(lines: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> Dat
     shared = placed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("n > 1")
     shared = stage_table(shared)
     twos = shared.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    crowd = stage_table(placed.join(shared.where("n > 2").select("key", "low"), "key"))
-    to_low = crowd.where(F.col("id") != F.col("low")).select(F.col("low").alias("a"), F.col("id").alias("b"))
-    near = stage_table(verified(twos.unionByName(to_low).distinct(), lines, jaccard, chars))
+    many = stage_table(placed.join(shared.where("n > 2").select("key", "n"), "key"))
+    met = many.join(many.groupBy("id").agg(F.sum("n").alias("_met")), "id")
+    middle = met.groupBy("key").agg(F.max(F.struct("_met", "id"))["id"].alias("middle"))
+    crowd = stage_table(many.select("key", "id").join(middle, "key"))
+    star = crowd.where(F.col("id") != F.col("middle")).select(F.least("id", "middle").alias("a"), F.greatest("id", "middle").alias("b"))
+    near = stage_table(verified(twos.unionByName(star).distinct(), lines, jaccard, chars))
     found = components(near)
     member = crowd.join(found.withColumnRenamed("node", "id"), "id", "left")
     member = member.select("key", "id", F.coalesce("component", "id").alias("component"))
