@@ -176,6 +176,38 @@ def test_caps(spark):
     assert all(r["n_links"] <= n for r, n in zip(rows, near.sum(axis=1))) and found >= 0.9 * true
 
 
+def planted(vectors, cosine, seed):
+    """A unit vector at this cosine from each of the given unit vectors."""
+    side = np.random.default_rng(seed).standard_normal(vectors.shape)
+    side -= (side * vectors).sum(axis=1, keepdims=True) * vectors
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    return cosine * vectors + np.sqrt(1 - cosine * cosine) * side
+
+
+@pytest.mark.parametrize("rows", [800, 100_000])
+def test_caps_decode_every_vector(rows):
+    unit = caps._unit(np.random.default_rng(5).standard_normal((300, 64)))
+    codes = [caps.ProductCode(64, caps.code_size(rows), turn=k) for k in range(caps.CODES)]
+    lists = [[set(x.tolist()) for x in code.decode(unit)] for code in codes]
+    assert all(all(row) for row in lists)
+    for k, cosine in enumerate((0.951, 0.97, 0.99, 0.999)):
+        near = [list(code.decode(planted(unit, cosine, k))) for code in codes]
+        met = [any(lists[c][i] & set(near[c][i].tolist()) for c in range(caps.CODES)) for i in range(300)]
+        assert np.mean(met) >= 0.99, cosine
+
+
+def test_caps_links_planted_pairs(spark):
+    unit = caps._unit(np.random.default_rng(4).standard_normal((100, 64)))
+    x = np.concatenate([unit] + [planted(unit, c, k) for k, c in enumerate((0.951, 0.97, 0.99, 0.999))])
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    rows = {r["vec_id"]: r for r in caps.near_duplicates(vectors).collect()}
+    assert all(rows[i]["n_links"] <= n for i, n in enumerate(near.sum(axis=1)))
+    assert sum(r["n_links"] for r in rows.values()) >= 0.99 * near.sum()
+    assert np.mean([rows[i]["component_id"] == i % 100 for i in range(500)]) >= 0.99
+
+
 def test_rare_pairs_hold_every_link(spark):
     words = [hashlib.md5(str(i).encode()).hexdigest()[:5] for i in range(60)]
     texts = [" ".join(words[(i * k) % 59] if k % (4 + i % 9) == 0 else words[k] for k in range(14)) for i in range(80)]

@@ -1,10 +1,11 @@
 """Near-duplicate embeddings through spherical-cap filters.
 
-Filter directions form a random product code: after a random rotation a vector is cut
-into four blocks, each with its own small set of random unit vectors, and a direction
-is one vector of every set. A vector is list-decoded to all directions whose cap holds
-it; vectors that share a direction are compared exactly. The code grows with the table
-so that a direction holds about as many vectors at any size.
+Filter directions form random product codes: after a random rotation a vector is cut
+into two blocks, each with its own set of random unit vectors, and a direction
+is one vector of either set. A vector is list-decoded to all directions whose cap holds
+it, or to the nearest one if none does; vectors that share a direction of any code are
+compared exactly. Directions of more and shorter blocks would lie unevenly, so that many vectors
+were in no cap. The codes grow with the table so that a direction holds about as many vectors at any size.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 from tillwise.llm.shared import components, stage_table
 
 COSINE = 0.95
-LIST = 40  # directions a vector is decoded to, on average
-BLOCKS = 4
+LIST = 40  # directions of a code that a vector is decoded to, on average
+BLOCKS = 2
+CODES = 3  # independently rotated codes; a pair that one misses meets in another
 LEAST_DIMENSION = 16
 SEED = 7
 
@@ -37,9 +39,9 @@ def cap_height(dimension: int, share: float) -> float:
 
 
 class ProductCode:
-    def __init__(self, dimension: int, size: int, wanted: int = LIST, seed: int = SEED):
+    def __init__(self, dimension: int, size: int, wanted: int = LIST, seed: int = SEED, turn: int = 0):
         self.dimension = max(dimension, LEAST_DIMENSION)
-        rng = np.random.default_rng((seed, dimension, size))
+        rng = np.random.default_rng((seed, dimension, size, turn))
         self.rotation = np.linalg.qr(rng.standard_normal((self.dimension, self.dimension)))[0]
         self.cuts = [self.dimension * i // BLOCKS for i in range(BLOCKS + 1)]
         self.words = []
@@ -54,19 +56,17 @@ class ProductCode:
         wide = np.zeros((len(vectors), self.dimension))
         wide[:, : vectors.shape[1]] = vectors
         turned = wide @ self.rotation
-        dots = [turned[:, a:b] @ w.T for a, b, w in zip(self.cuts, self.cuts[1:], self.words)]
-        first = (dots[0][:, :, None] + dots[1][:, None, :]).reshape(len(wide), -1)
-        second = (dots[2][:, :, None] + dots[3][:, None, :]).reshape(len(wide), -1)
+        first, second = (turned[:, a:b] @ w.T for a, b, w in zip(self.cuts, self.cuts[1:], self.words))
         best_first, best_second = first.max(axis=1), second.max(axis=1)
         for i in range(len(wide)):
+            height = min(self.height, best_first[i] + best_second[i] - 1e-9)  # at least the nearest direction
             # Halves that no other half can lift over the cap's height are cut off before sorting.
-            a = np.flatnonzero(first[i] >= self.height - best_second[i])
-            b = np.flatnonzero(second[i] >= self.height - best_first[i])
+            a = np.flatnonzero(first[i] >= height - best_second[i])
+            b = np.flatnonzero(second[i] >= height - best_first[i])
             b = b[np.argsort(second[i][b])]
-            at = np.searchsorted(second[i][b], self.height - first[i][a])
+            at = np.searchsorted(second[i][b], height - first[i][a])
             counts = len(b) - at
-            tails = [b[x:] for x in at[counts > 0]]
-            yield np.repeat(a, counts) * len(second[i]) + (np.concatenate(tails) if tails else b[:0])
+            yield np.repeat(a, counts) * self.size + np.concatenate([b[x:] for x in at])
 
 
 def usable(vector: Column) -> Column:
@@ -86,19 +86,21 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
 
 
 def filters(classes: DataFrame, size: int, wanted: int = LIST, seed: int = SEED) -> DataFrame:
-    """(dimension, filter, cid) for every direction whose cap holds a class's vector."""
+    """(dimension, filter, cid) for every direction of every code whose cap holds a class's vector."""
 
     def run(batches):
-        codes: dict[int, ProductCode] = {}
+        codes: dict[int, list[ProductCode]] = {}
         for batch in batches:
             widths = np.asarray(batch.column(1).value_lengths())
             for width in np.unique(widths).tolist():
                 rows = np.flatnonzero(widths == width)
-                code = codes.setdefault(width, None) or ProductCode(width, size, wanted, seed)
-                codes[width] = code
+                if width not in codes:
+                    codes[width] = [ProductCode(width, size, wanted, seed, turn) for turn in range(CODES)]
                 for at in range(0, len(rows), 500):
                     part = batch.take(pa.array(rows[at : at + 500]))
-                    lists = list(code.decode(_unit(_matrix(part.column(1)))))
+                    unit = _unit(_matrix(part.column(1)))
+                    found = [code.decode(unit) for code in codes[width]]
+                    lists = [np.concatenate([x + turn * size**BLOCKS for turn, x in enumerate(row)]) for row in zip(*found)]
                     cid = np.repeat(np.asarray(part.column(0)), [len(x) for x in lists])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(cid), width), pa.int32()), pa.array(np.concatenate(lists), pa.int64()), pa.array(cid, pa.int64())],
