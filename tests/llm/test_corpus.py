@@ -133,6 +133,26 @@ def test_held_out_accuracy(spark):
     assert np.mean([r["kept"] for r in judged if r["n_words"] >= 50 and truth.get(r["doc_id"], {"quality": 0})["quality"]]) > 0.95
 
 
+def test_toxic_recall(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.score(docs, toxicity.fit(docs, labels)).where("held_out").join(labels, "doc_id").where("toxic is not null").collect()
+    truth, given = (np.array([r[c] for r in rows]) == 1 for c in ("toxic", "predicted"))
+    recall, precision = (truth & given).sum() / truth.sum(), (truth & given).sum() / given.sum()
+    print(f"recall {recall:.3f} precision {precision:.3f} of {truth.sum()} toxic")
+    assert recall >= 0.75 and precision >= 0.9
+
+
+def test_rare_toxic_words_count(spark):
+    texts = [(["rare"] if i < 4 else []) + ["all", f"own{i}"] for i in range(40)] + [["all", f"own{i}"] for i in range(40, 800)]
+    sample = spark.createDataFrame([(t, i < 40) for i, t in enumerate(texts)], "words array<string>, positive boolean")
+    lifted = toxicity.chosen_words(sample, 40, 760)
+    assert 0.8 < lifted["rare"] < 1 and "all" not in lifted
+    mixed = [["rare"]] + [["often"]] * 30 + [[]] * 729
+    sample = spark.createDataFrame([(t, i < 40) for i, t in enumerate([["often"]] * 3 + [[]] * 37 + mixed)], "words array<string>, positive boolean")
+    assert toxicity.chosen_words(sample, 40, 760)["often"] < 0.4  # 3 of 40 against 30 of 760 may be chance
+
+
 def test_models_without_labels(spark, frame):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in toxicity.score(frame, toxicity.fit(frame, labels)).collect()} == {0.0}

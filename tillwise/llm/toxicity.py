@@ -22,7 +22,7 @@ POSITIVES = 2000  # most confirmed toxic texts to train on, by hash of their id
 UNLABELLED = 6000  # most unlabelled texts, likewise
 VOCABULARY = 2048
 LEAST_POSITIVES = 3  # texts that a word must occur in
-LEAST_LIFT = 5.0  # standard errors by which its share must exceed the mixture's: chance words stay out
+DOUBT = 4.0  # a word lifted by x standard errors counts x^2 / (x^2 + DOUBT): chance words weigh little, rare evidence stays
 CLASSIFIERS = 3
 CUT = 0.3
 TOKEN = re.compile(r"\w+")
@@ -51,7 +51,7 @@ class Model:
         return float(np.mean([1 / (1 + np.exp(-np.clip(m, -30, 30))) for m in margins]))
 
 
-def fit_classifier(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int, epochs: int = 60, batch: int = 512, decay: float = 1e-3, rate: float = 0.02):
+def fit_classifier(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int, epochs: int = 60, batch: int = 512, decay: float = 3e-4, rate: float = 0.02):
     """Weights and bias that minimise the non-negative risk with logistic loss, by Adam on batches."""
     rng = np.random.default_rng(seed)
     theta = np.zeros(positive.shape[1] + 1)
@@ -76,8 +76,12 @@ def fit_classifier(positive: np.ndarray, unlabelled: np.ndarray, prior: float, s
     return theta[:-1], float(theta[-1])
 
 
-def chosen_words(sample: DataFrame, n: int, m: int, most: int = VOCABULARY) -> list[str]:
-    """Words whose share among the n positives exceeds that among the m unlabelled texts most clearly."""
+def chosen_words(sample: DataFrame, n: int, m: int, most: int = VOCABULARY) -> dict[str, float]:
+    """Words whose share among the n positives exceeds that among the m unlabelled texts most clearly, each with its trust.
+
+    Trust grows from 0 to 1 with the lift in standard errors. It is the value of the word's feature, so a word
+    that may be lifted by chance needs a larger weight, which decay holds back, to count as much.
+    """
     one = F.explode("words").alias("word")
     counts = sample.select(one, "positive").groupBy("word").agg(
         F.count_if("positive").alias("a"), F.count_if(~F.col("positive")).alias("b")
@@ -85,11 +89,12 @@ def chosen_words(sample: DataFrame, n: int, m: int, most: int = VOCABULARY) -> l
     pooled = (F.col("a") + F.col("b")) / (n + m)
     error = F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m) + F.lit(1e-12))
     lifted = counts.select("word", "a", ((F.col("a") / n - F.col("b") / m) / error).alias("lift"))
-    clear = lifted.where((F.col("a") >= min(LEAST_POSITIVES, n)) & (F.col("lift") >= LEAST_LIFT))
-    return [r["word"] for r in clear.orderBy(F.desc("lift"), "word").limit(most).collect()]
+    clear = lifted.where((F.col("a") >= min(LEAST_POSITIVES, n)) & (F.col("lift") > 0))
+    best = clear.orderBy(F.desc("lift"), "word").limit(most).collect()
+    return {r["word"]: r["lift"] ** 2 / (r["lift"] ** 2 + DOUBT) for r in best}
 
 
-def train(positive: list, unlabelled: list, chosen: list[str], prior: float, classifiers: int = CLASSIFIERS) -> Model:
+def train(positive: list, unlabelled: list, chosen: dict[str, float], prior: float, classifiers: int = CLASSIFIERS) -> Model:
     """Fits on the chosen words of every text; without positives or a prior there is no classifier."""
     if not positive or not unlabelled or not 0 < prior < 1:
         return Model((), ())
@@ -97,13 +102,15 @@ def train(positive: list, unlabelled: list, chosen: list[str], prior: float, cla
 
     def matrix(texts):
         out = np.zeros((len(texts), len(chosen)), np.float32)
+        trust = np.array(list(chosen.values()), np.float32)
         for i, found in enumerate(texts):
-            out[i, [place[w] for w in found]] = 1
+            at = [place[w] for w in found]
+            out[i, at] = trust[at]
         return out
 
     p, u = matrix(positive), matrix(unlabelled)
     fits = [fit_classifier(p, u, prior, seed) for seed in range(classifiers)]
-    return Model(tuple({w: float(x) for w, x in zip(chosen, theta) if x} for theta, _ in fits), tuple(b for _, b in fits))
+    return Model(tuple({w: float(x) * t for (w, t), x in zip(chosen.items(), theta) if x} for theta, _ in fits), tuple(b for _, b in fits))
 
 
 def _word_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
