@@ -1,6 +1,7 @@
 """Toxicity, secrets, fuzzy lines, rules and near copies against plain versions and edge cases."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -113,6 +114,20 @@ def test_fuzzy_lines(spark):
     assert fuzzylines.dedup(docs.limit(0)).count() == 0
 
 
+def test_fuzzy_short_lines(spark):
+    draw = random.Random(3)
+    text = lambda n: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    pairs = []
+    for n in range(4, 21):
+        for _ in range(40):
+            x, more = text(n + 7), text(n // 4)  # n of n + n // 4 shingles are shared
+            pairs.append((x, x + more if draw.random() < 0.5 else more + x))
+    assert all(len(plain_shingles(x)) / len(plain_shingles(y)) >= fuzzylines.JACCARD for x, y in pairs)
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(x for pair in pairs for x in pair)], "doc_id long, text string")
+    out = fuzzylines.dedup(docs).where("n_dropped > 0").collect()
+    assert sorted(r["doc_id"] for r in out) == list(range(1, 2 * len(pairs), 2))
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))

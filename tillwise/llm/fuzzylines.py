@@ -3,7 +3,8 @@
 Distinct lines are hashed to character shingles, seen as places on a circle of 64-bit numbers. A
 signature value is the first hash at or after a fixed point of the circle: the least hash after a turn
 by that point, which agrees for two lines as often as their Jaccard similarity says. One sort of a line's
-hashes gives all its values. Bands of values are the join keys, candidates are verified by exact
+hashes gives all its values. Bands of values are the join keys; lines of few shingles, whose values fail
+together, have their first hashes as keys too, which miss no pair. Candidates are verified by exact
 Jaccard, and components come from distributed union-find. All of it is DataFrame functions.
 """
 
@@ -23,6 +24,8 @@ ROWS = 4
 # 1 - (1 - 0.8^4)^12 = 99.8 % of pairs at the least similarity would meet if values were independent. Simulated
 # with shared hashes: 96 to 98.7 % for 10 to 20 shingles, 99.3 % for 50, 99.6 % for 200, more above 0.8.
 BANDS = 12
+# Lines of up to so many shingles have exact keys too. At 0.8 a line of 20 can match one of 25, so no pair whose shorter line has up to 20 is lost.
+SHORT = 25
 
 
 def shingles(line: Column, chars: int = CHARS) -> Column:
@@ -51,7 +54,17 @@ def split_lines(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("text").isNotNull()).select(*head, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
-def distinct_lines(rows: DataFrame, chars: int = CHARS, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
+def exact_keys(hashes: Column, jaccard: float = JACCARD) -> Column:
+    """The first n - ceil(jaccard * n) + 1 of n different sorted hashes: two sets that similar share one of them.
+
+    None for more than SHORT hashes.
+    """
+    n = F.size(hashes)
+    first = F.slice(hashes, F.lit(1), (n - F.ceil(n * jaccard - 1e-9) + 1).cast("int"))
+    return F.when(n <= SHORT, F.transform(first, lambda x: F.xxhash64(F.lit(-1), x))).otherwise(F.array().cast("array<bigint>"))
+
+
+def distinct_lines(rows: DataFrame, chars: int = CHARS, bands: int = BANDS, per_band: int = ROWS, jaccard: float = JACCARD) -> DataFrame:
     """(id, line, first, bands): every different line with a word, its first place and its band keys.
 
     Equal lines are combined before the shuffle. A line's hashes are computed and sorted once; sorting
@@ -63,6 +76,7 @@ def distinct_lines(rows: DataFrame, chars: int = CHARS, bands: int = BANDS, per_
     points = _points(bands * per_band)
     hashes = F.sort_array(F.transform(shingles(F.col("line"), chars), lambda x: F.xxhash64(x)))
     hashed = once.select(F.monotonically_increasing_id().alias("id"), "line", "first", hashes.alias("_h"))
+    hashed = hashed.withColumn("_d", F.array_distinct("_h"))
     placed = hashed.withColumn("_s", F.sort_array(F.concat("_h", F.array(*[F.lit(p) for p in points]))))
     # Before point i in the common order lie i points; the other entries are hashes. Past the last one the circle starts again.
     after = [F.get("_h", ((F.array_position("_s", F.lit(p)) - 1 - i) % F.size("_h")).cast("int")) for i, p in enumerate(points)]
@@ -70,7 +84,7 @@ def distinct_lines(rows: DataFrame, chars: int = CHARS, bands: int = BANDS, per_
     keys = [F.xxhash64(F.lit(b), *[after[i] for i in dealt[b * per_band : (b + 1) * per_band]]) for b in range(bands)]
     # A lambda, here on the id, keeps this projection out of whole-stage code: there all values would make up
     # one method, too large for the JVM to compile; outside it they are split into small ones.
-    return stage_table(placed.select(let(F.col("id"), lambda x: x).alias("id"), "line", "first", F.array(*keys).alias("bands")))
+    return stage_table(placed.select(let(F.col("id"), lambda x: x).alias("id"), "line", "first", F.concat(F.array(*keys), exact_keys(F.col("_d"), jaccard)).alias("bands")))
 
 
 def verified(pairs: DataFrame, lines: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> DataFrame:
@@ -147,7 +161,7 @@ def dedup(docs: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> Data
     """
     names = docs.columns
     rows = numbered(docs)
-    lines = distinct_lines(rows, chars)
+    lines = distinct_lines(rows, chars, jaccard=jaccard)
     member = lines.select("id", "first").join(links(lines, jaccard, chars), F.col("id") == F.col("node"))
     least = member.groupBy("component").agg(F.min("first").alias("least"))
     lost = member.join(least, "component").where(F.col("first") != F.col("least")).select("id")
