@@ -54,3 +54,40 @@ words AS (
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, coalesce(taken, 0) AS taken
 FROM sized s JOIN quotas q ON s.source IS NOT DISTINCT FROM q.source LEFT JOIN words USING (rid)
 """
+
+
+def _centroid_rounds(clusters: int = 8, rounds: int = 10, dimension: int = 64) -> str:
+    """Rounds of assignment and exact mean, one named step each; distance and cluster ride in one number."""
+    steps = [
+        f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = {dimension} AND len(list_filter(embedding, lambda x: isfinite(CAST(x AS DOUBLE)))) = {dimension}),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)) NULLS LAST, v) - 1 AS cluster, v FROM kept
+  QUALIFY cluster < {clusters})"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""a{r} AS MATERIALIZED (
+  SELECT rid, vec_id, k.v, min(list_sum(list_transform(list_zip(k.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * {clusters} + c.cluster) AS near
+  FROM kept k CROSS JOIN c{r} c GROUP BY rid, vec_id, k.v)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""c{r + 1} AS MATERIALIZED (
+  WITH sums AS (
+    SELECT near % {clusters} AS cluster, i, sum(v[i]) AS s, count(*) AS n
+    FROM a{r}, range(1, {dimension + 1}) AS t(i) GROUP BY 1, 2),
+  means AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM sums GROUP BY cluster)
+  SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN means m ON c.cluster = m.cluster)"""
+            )
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, CAST(c.cluster AS INTEGER) AS cluster, CAST(near // {clusters} AS BIGINT) AS distance,
+       CAST(sum(near // {clusters}) OVER (PARTITION BY c.cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(near // {clusters}) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.near % {clusters} = c.cluster"""
+
+
+ORACLE["op12_centroid_clusters"] = _centroid_rounds()

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillwise.llm import caps, declist, fuzzylines, idstore, mixing, packing, rulefit, secrets, simhash, toxicity
+from tillwise.llm import (
+    alignment, caps, centroids, declist, fuzzylines, idstore, licenses, mixing, packing, rulefit, secrets, simhash, toxicity,
+)
 from tillwise.llm.tokens import vocabulary
 
 QUERIES = {}
@@ -82,3 +84,21 @@ def op3_secret_ledger(spark, sf_dir):
 def op4_fuzzy_lines(spark, sf_dir):
     """All documents with one line kept of every component of near-equal lines."""
     return fuzzylines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+@query
+def op11_token_alignment(spark, sf_dir):
+    """Alignment of two tokenizers over all documents, identical ids by vectors and other links by pair counts."""
+    return alignment.alignment(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+@query
+def op12_centroid_clusters(spark, sf_dir):
+    """Ten rounds of centroid clustering over all embeddings in whole numbers."""
+    return centroids.summed_up(*centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+@query
+def op13_license_rules(spark, sf_dir):
+    """Licenses in all documents by ordered signature rules."""
+    return licenses.report(licenses.scan(table(spark, sf_dir, "documents")))
