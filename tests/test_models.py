@@ -268,7 +268,8 @@ def test_task_functions_need_no_package_on_executors(tmp_path):
     blob.write_bytes(cloudpickle.dumps((fit.least_squares, fit.level_polynomial, Spec(1, 0, 0))))
     code = (
         "import pickle, numpy as np; f, p, s = pickle.load(open('f.pkl', 'rb'));"
-        "print(s.ar_lags(), list(f(np.arange(9.0)[:, None], np.arange(9.0) * 2 + 1 + np.arange(9) % 2, [[0]], [True]))[0][1])"
+        "x = np.arange(9.0); m = np.column_stack([np.ones(9), x, 2 * x + 1 + x % 2]);"
+        "print(s.ar_lags(), f(m.T @ m, [0], True)[1])"
     )
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={}, capture_output=True, text=True, check=True)
     lags, slope = done.stdout.strip().split("] [")

@@ -35,6 +35,7 @@ def rows_of(columns, rows):
 
 KINDS = {
     "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "DATE": "date", "HUGEINT": "hugeint",
+    "BOOLEAN": "boolean",
 }
 
 

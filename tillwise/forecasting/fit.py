@@ -3,8 +3,9 @@
 Moving-average terms use two-stage least squares (Hannan and Rissanen 1982): a
 long autoregression gives residuals, whose lags then enter the regression.
 Seasonal lags are additive. Coefficients therefore differ from exact maximum
-likelihood. Spark shapes, partitions and joins the designs; the only Python is
-the small solve per (series, block), over rows bounded by the calendar.
+likelihood. Spark shapes the designs and sums them to one Gram matrix per (series,
+block); the only Python is the solve of its sub-matrices, and no design row reaches it.
+Which candidates a series tries is a table as well.
 """
 
 from __future__ import annotations
@@ -23,13 +24,17 @@ from tillwise.forecasting.design import (
     with_residuals,
     without_residuals,
 )
-from tillwise.forecasting.specs import Spec
+from tillwise.forecasting.specs import Spec, spec_table
+from tillwise.operators.gram import gram
 
 RIDGE = 1e-8  # on the unit-diagonal normal equations: near-collinear regressors stay solvable
 
+# Squared errors below this share of the target's raw squares are rounding, not a fit.
+LEAST_ERROR = 1e-12
+
 FIT_SCHEMA = (
     "series_id string, block int, ord int, n long, k int, sse double, aic double, const double, "
-    "phi array<double>, beta array<double>, theta array<double>, level_ar array<double>"
+    "phi array<double>, beta array<double>, theta array<double>, level_ar array<double>, fitted boolean"
 )
 
 
@@ -48,27 +53,29 @@ def solve(gram: np.ndarray, cross: np.ndarray) -> np.ndarray:
     return b / scale
 
 
-def least_squares(x: np.ndarray, y: np.ndarray, chosen: list[list[int]], constant: list[bool]):
-    """One Gram matrix over all columns; each candidate solves its own sub-block.
+def full_matrix(cells) -> np.ndarray:
+    """The symmetric matrix behind an upper triangle."""
+    cells = np.asarray(cells, float)
+    size = int(math.isqrt(8 * len(cells) + 1) - 1) // 2
+    out = np.zeros((size, size))
+    out[np.triu_indices(size)] = cells
+    return out + np.triu(out, 1).T
+
 
-    Yields (const, coefficients, sse) or None where the candidate cannot be fitted.
+def least_squares(full: np.ndarray, columns: list[int], constant: bool):
+    """(const, coefficients, sse) of one candidate, or None where it cannot be fitted.
+
+    ``full`` is the Gram matrix of (1, regressors..., target); ``columns`` counts the regressors from 0.
     """
-    n = len(y)
-    both = np.column_stack([x, y])
-    mean = both.mean(axis=0)
-    centred = both - mean
-    grams = {False: both.T @ both, True: centred.T @ centred}
-    for columns, with_const in zip(chosen, constant):
-        k = len(columns) + with_const
-        if n <= k + 1:
-            yield None
-            continue
-        gram = grams[with_const]
-        b = solve(gram[np.ix_(columns, columns)], gram[columns, -1]) if columns else np.zeros(0)
-        residual = (centred if with_const else both)[:, -1] - (centred if with_const else both)[:, columns] @ b
-        const = float(mean[-1] - mean[columns] @ b) if with_const else 0.0
-        sse = float(residual @ residual)
-        yield (const, b, sse) if math.isfinite(sse) and sse > 0 else None
+    n, sums = full[0, 0], full[0, 1:]
+    if n <= len(columns) + constant + 1:
+        return None
+    products = full[1:, 1:] - np.outer(sums, sums) / n if constant else full[1:, 1:]
+    inner, cross = products[np.ix_(columns, columns)], products[columns, -1]
+    b = solve(inner, cross) if columns else np.zeros(0)
+    sse = float(products[-1, -1] - 2 * b @ cross + b @ inner @ b)
+    const = float((sums[-1] - sums[columns] @ b) / n) if constant else 0.0
+    return (const, b, sse) if math.isfinite(sse) and sse > LEAST_ERROR * full[-1, -1] else None
 
 
 def level_polynomial(phi: np.ndarray, block: tuple[int, int, int], length: int) -> np.ndarray:
@@ -85,31 +92,20 @@ def level_polynomial(phi: np.ndarray, block: tuple[int, int, int], length: int)
     return weights
 
 
-def _matrix(table: pa.Table, name: str) -> np.ndarray:
-    column = table.column(name).combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
-
 def _first_stage(rows: DataFrame, shape: Shape) -> DataFrame:
     """Long autoregression per (series, block): coefficients over (1, lags, exog)."""
-    sample = rows.where(F.col("in_fit") & (F.col("position") > shape.first_stage_after)).select(
-        "series_id", "block", F.col("dy").alias("y"), F.concat("lags", "dx").alias("v")
-    )
+    sample = rows.where(F.col("in_fit") & (F.col("position") > shape.first_stage_after) & F.col("lags").isNotNull())
+    sums = gram(sample, ["series_id", "block"], F.concat(F.array(F.lit(1.0)), "lags", "dx", F.array("dy")))
+    columns = list(range(shape.history + shape.n_exog))
+
+    def run(batches):
+        for batch in batches:
+            found = [(r["series_id"], r["block"], least_squares(full_matrix(r["cells"]), columns, True)) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_pylist(
+                [{"series_id": s, "block": i, "first_coef": [f[0], *f[1].tolist()]} for s, i, f in found if f], schema=ARROW_FIRST_SCHEMA
+            )
 
-    def run(key, table):
-        x, y = _matrix(table, "v"), table.column("y").to_numpy()
-        fits = [f for f in least_squares(x, y, [list(range(x.shape[1]))], [True]) if f]
-        return pa.table(
-            {
-                "series_id": pa.array([key[0].as_py()] * len(fits), pa.string()),
-                "block": pa.array([key[1].as_py()] * len(fits), pa.int32()),
-                "first_coef": pa.array([[c, *b.tolist()] for c, b, _ in fits], pa.list_(pa.float64())),
-            }
-        )
-
-    return sample.groupBy("series_id", "block").applyInArrow(
-        run, "series_id string, block int, first_coef array<double>"
-    )
+    return sums.mapInArrow(run, "series_id string, block int, first_coef array<double>")
 
 
 def design_rows(series: DataFrame, specs: list[Spec], n_exog: int) -> tuple[DataFrame, Shape]:
@@ -121,60 +117,71 @@ def design_rows(series: DataFrame, specs: list[Spec], n_exog: int) -> tuple[Data
     return without_residuals(rows), shape
 
 
-def fit_candidates(rows: DataFrame, shape: Shape, specs: list[Spec]) -> DataFrame:
-    """Coefficients, SSE and AIC per (series, candidate); candidates that fail give no row.
+def candidate_lists(rows: DataFrame, shape: Shape, specs: list[Spec], chosen: DataFrame | None = None) -> DataFrame:
+    """(series_id, block, tries): what every series tries, grouped by the block that its fit needs.
+
+    ``chosen`` (series_id, ord) names candidates series by series; without it every series tries all.
+    The candidate table is as long as the list of specifications, so it is broadcast.
+    """
+    block = F.create_map(*[F.lit(x) for i, s in enumerate(specs) for x in (i, shape.blocks.index(s.block))])
+    table = spec_table(rows.sparkSession, specs).withColumn("block", block[F.col("ord")])
+    listed = F.sort_array(F.collect_list(F.struct("ord", "p", "q", "seasonal_p", "seasonal_q", "s", "trend"))).alias("tries")
+    if chosen is not None:
+        return chosen.select("series_id", "ord").distinct().join(F.broadcast(table), "ord").groupBy("series_id", "block").agg(listed)
+    every = rows.groupBy("series_id", "block").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    return every.join(F.broadcast(table.groupBy("block").agg(listed)), "block")
+
+
+def fit_candidates(rows: DataFrame, shape: Shape, specs: list[Spec], chosen: DataFrame | None = None) -> DataFrame:
+    """Coefficients, SSE and AIC of every candidate that a series tries; one that fails has ``fitted`` false and no SSE.
 
     AIC = n ln(SSE/n) + 2k, with all candidates of a series on the same rows.
     """
+    tries = candidate_lists(rows, shape, specs, chosen)
+    if chosen is not None:
+        rows = rows.join(tries.select("series_id", "block"), ["series_id", "block"], "left_semi")
     vector = F.concat("lags", "dx", "residual_lags")
     sample = rows.where(
         F.col("in_fit") & (F.col("position") > shape.sample_after) & F.col("dy").isNotNull() & vector.isNotNull()
-    ).select("series_id", "block", F.col("dy").alias("y"), vector.alias("v"))
+    )
+    sums = gram(sample, ["series_id", "block"], F.concat(F.array(F.lit(1.0)), vector, F.array("dy")))
     h, k = shape.history, shape.n_exog
     exog = list(range(h, h + k))
 
-    def columns_of(spec: Spec) -> list[int]:
-        return [lag - 1 for lag in spec.ar_lags()] + exog + [h + k + lag - 1 for lag in spec.ma_lags()]
-
-    by_block = {
-        i: [(o, s, columns_of(s)) for o, s in enumerate(specs) if s.block == b] for i, b in enumerate(shape.blocks)
-    }
-
-    def run(key, table):
-        series_id, block = key[0].as_py(), key[1].as_py()
-        x, y = _matrix(table, "v"), table.column("y").to_numpy()
-        candidates = by_block[block]
-        found = []
-        fits = least_squares(x, y, [c for _, _, c in candidates], [s.trend for _, s, _ in candidates])
-        for (order, spec, columns), fit in zip(candidates, fits):
-            if fit is None:
-                continue
-            const, b, sse = fit
-            full = np.zeros(h + k + shape.ma)
-            full[columns] = b
-            size = len(columns) + spec.trend
-            found.append(
-                {
-                    "series_id": series_id,
-                    "block": block,
-                    "ord": order,
-                    "n": len(y),
-                    "k": size,
-                    "sse": sse,
-                    "aic": len(y) * math.log(sse / len(y)) + 2 * size,
-                    "const": const,
-                    "phi": full[: shape.ar].tolist(),
-                    "beta": full[h : h + k].tolist(),
-                    "theta": full[h + k :].tolist(),
-                    "level_ar": level_polynomial(full[: shape.ar], shape.blocks[block], shape.level_lags).tolist(),
-                }
-            )
-        return pa.Table.from_pylist(found, schema=ARROW_FIT_SCHEMA)
+    def one(row: dict, full: np.ndarray | None, t: dict) -> dict:
+        spec = Spec(t["p"], 0, t["q"], t["seasonal_p"], 0, t["seasonal_q"], t["s"], t["trend"])
+        columns = [lag - 1 for lag in spec.ar_lags()] + exog + [h + k + lag - 1 for lag in spec.ma_lags()]
+        size = len(columns) + spec.trend
+        n = 0 if full is None else round(full[0, 0])
+        out = {"series_id": row["series_id"], "block": row["block"], "ord": t["ord"], "n": n, "k": size, "fitted": False}
+        fit = None if full is None else least_squares(full, columns, spec.trend)
+        if fit is None:
+            return out
+        const, b, sse = fit
+        spread = np.zeros(h + k + shape.ma)
+        spread[columns] = b
+        return out | {
+            "fitted": True,
+            "sse": sse,
+            "aic": n * math.log(sse / n) + 2 * size,
+            "const": const,
+            "phi": spread[: shape.ar].tolist(),
+            "beta": spread[h : h + k].tolist(),
+            "theta": spread[h + k :].tolist(),
+            "level_ar": level_polynomial(spread[: shape.ar], shape.blocks[row["block"]], shape.level_lags).tolist(),
+        }
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                full = None if row["cells"] is None else full_matrix(row["cells"])
+                yield pa.RecordBatch.from_pylist([one(row, full, t) for t in row["tries"]], schema=ARROW_FIT_SCHEMA)
 
-    return sample.groupBy("series_id", "block").applyInArrow(run, FIT_SCHEMA)
+    return tries.join(sums, ["series_id", "block"], "left").mapInArrow(run, FIT_SCHEMA)
 
 
 _LIST = pa.list_(pa.float64())
+ARROW_FIRST_SCHEMA = pa.schema([("series_id", pa.string()), ("block", pa.int32()), ("first_coef", _LIST)])
 ARROW_FIT_SCHEMA = pa.schema(
     [
         ("series_id", pa.string()),
@@ -189,9 +196,10 @@ ARROW_FIT_SCHEMA = pa.schema(
         ("beta", _LIST),
         ("theta", _LIST),
         ("level_ar", _LIST),
+        ("fitted", pa.bool_()),
     ]
 )
-FIT_COLUMNS = ARROW_FIT_SCHEMA.names
+FIT_COLUMNS = ARROW_FIT_SCHEMA.names[:-1]
 
 
 def best_by_aic(fits: DataFrame) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillwise.forecasting import sequence
+from tillwise.forecasting import sequence, store
 from tillwise.forecasting.design import differenced
-from tillwise.forecasting.fit import spec_text
+from tillwise.forecasting.fit import design_rows, spec_text
 from tillwise.forecasting.specs import (
     ARIMA_FALLBACK,
     SARIMA_FALLBACK,
@@ -19,10 +19,11 @@ from tillwise.forecasting.specs import (
 )
 from tillwise.functions.scalars import tidy
 from tillwise.operators import clean, evaluate, features, rollup, split
+from tillwise.operators.gram import gram_cells
 from tillwise.plans import pipelines
-from tillwise.plans.queries import _sparse, query, report
+from tillwise.plans.queries import _scratch, _sparse, query, report
 from tillwise.session import materialise
-from tillwise.sources.transactions import line_sales, sales
+from tillwise.sources.transactions import event_sales, line_sales, sales
 
 AR1 = [Spec(1, 0, 0, trend=True)]
 SMALL_GRID = [Spec(p, d, 0, trend=d == 0) for d in (0, 1) for p in (0, 1)]
@@ -72,6 +73,58 @@ def ar_grid_best(spark, sf_dir):
     return report(best.select("series_id", spec_text(SMALL_GRID).alias("spec"), "n", "aic"), {"aic": 2})
 
 
+@query
+def gram_matrix(spark, sf_dir):
+    """Sums of squares and cross products of (1, two lags, a regressor, the target) on the train rows, as digits and exponent."""
+    rows, shape = design_rows(pipelines.plain_series(_sparse(spark, sf_dir), exog=["rating"]), [Spec(2, 0, 0, trend=True)], 1)
+    sample = rows.where(F.col("in_fit") & (F.col("position") > shape.sample_after))
+    cells = gram_cells(sample, ["series_id"], F.concat(F.array(F.lit(1.0)), "lags", "dx", F.array("dy")))
+    power = F.floor(F.log10("product"))
+    out = cells.select("series_id", "i", "j", power.cast("int").alias("power"), (F.col("product") / F.pow(F.lit(10.0), power)).alias("digits"))
+    return report(out, {"digits": 8})
+
+
+# A series tries the orders that are at most a third of its rows; on short series the longest cannot be fitted.
+TRIED = [Spec(p, 0, 0, trend=True) for p in (1, 2, 10, 12)]
+
+
+@query
+def candidates_by_series(spark, sf_dir):
+    """Every series tries candidates of its own; those that cannot be fitted are shown as such."""
+    daily = _sparse(spark, sf_dir).unionByName(rollup.daily_sparse(event_sales(spark, sf_dir)))
+    series = materialise(pipelines.plain_series(daily))
+    sizes = series.groupBy("series_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    orders = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(s.p).alias("p")) for i, s in enumerate(TRIED)])
+    chosen = sizes.select("series_id", "n_rows", F.inline(orders)).where(F.col("p") * 3 <= F.col("n_rows")).select("series_id", "ord")
+    tried = pipelines.fit_models(series, TRIED, TRIED[0], chosen=chosen).tried
+    return tried.select("series_id", spec_text(TRIED).alias("spec"), "n", "k", "fitted")
+
+
+@query
+def stored_ar1_forecast(spark, sf_dir):
+    """AR(1) models written as version 1, a newer version beside them, version 1 read in a new plan: forecast without a fit."""
+    path = _scratch(spark, "models")
+    series = _plain(spark, sf_dir)
+    for version, spec in ((1, AR1[0]), (2, Spec(2, 0, 0, trend=True))):
+        fitted = pipelines.fit_models(series, [spec], spec)
+        store.write_models(store.model_rows(fitted, series, [spec], spec, origin="train"), path, "AR", version)
+    ahead = series.where(~F.col("in_fit")).select("series_id", "day", "x")
+    return report(store.forecast_from(store.read_models(spark, path, "AR", 1), ahead), {"predicted": 1, "lower": 1, "upper": 1})
+
+
+@query
+def stored_sarimax_7d(spark, sf_dir):
+    """The nineteen-regressor models stored with their scalers, read back, and fed raw regressors of the next seven days."""
+    path = _scratch(spark, "models")
+    base = sales(spark, sf_dir)
+    store.write_models(pipelines.regression_pipeline(base).model_rows(), path, "SARIMAX", 1)
+    models = store.read_models(spark, path, "SARIMAX")
+    daily = clean.drop_any_null(features.sparse_features(rollup.daily_sparse(base, impute="median")))
+    ahead = store.inputs(models, features.future_rows(daily), features.SPARSE_FEATURES)
+    out = store.in_amounts(store.forecast_from(models, ahead), models)
+    return report(out, {"predicted": 2, "lower": 2, "upper": 2})
+
+
 @query
 def future_exog(spark, sf_dir):
     """Regressors of the next seven days."""

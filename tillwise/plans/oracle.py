@@ -754,6 +754,25 @@ twin(
     SELECT series_id, day, CAST(step AS INTEGER) AS step, {t("p", 1, "predicted")}, {t("(p - w)", 1, "lower")},
            {t("(p + w)", 1, "upper")} FROM f""",
 )
+ORACLE["stored_ar1_forecast"] = ORACLE["ar1_forecast"]
+twin(
+    "gram_matrix",
+    ["sparse"],
+    f"""+rw AS (SELECT series_id, lag(amount, 1) OVER ({FULL}) AS a, lag(amount, 2) OVER ({FULL}) AS b, rating AS x, amount AS y, {SPLIT} FROM sparse),
+    v AS (SELECT series_id, [1e0, a, b, x, y] AS v FROM rw WHERE split = 'train' AND b IS NOT NULL),
+    p AS (SELECT series_id, i, j, sum(v[i + 1] * v[j + 1]) AS p FROM v, range(5) AS l(i), range(5) AS r(j) WHERE i <= j GROUP BY 1, 2, 3)
+    SELECT series_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(floor(log10(p)) AS INTEGER) AS power,
+           {t("(p / pow(10e0, floor(log10(p))))", 8, "digits")} FROM p""",
+)
+twin(
+    "candidates_by_series",
+    ["sparse"],
+    """+e AS (SELECT event_type AS series_id, CAST(ts AS DATE) AS day FROM events WHERE value IS NOT NULL GROUP BY 1, 2),
+    n AS (SELECT series_id, count(*) AS n_rows FROM (SELECT series_id, day FROM sparse UNION ALL SELECT series_id, day FROM e) GROUP BY 1),
+    f AS (SELECT series_id, p, CAST(floor(n_rows * 0.8) AS BIGINT) - 12 AS n, CAST(p + 1 AS INTEGER) AS k
+          FROM n, (SELECT unnest([1, 2, 10, 12]) AS p) WHERE p * 3 <= n_rows)
+    SELECT series_id, '(' || p || ',0,0)(0,0,0,0)+c' AS spec, n, k, n > k + 1 AS fitted FROM f""",
+)
 twin(
     "arx_fit",
     ["sparse"],
@@ -812,3 +831,8 @@ twin(
     ["preds"],
     f"SELECT series_id, split, day, {t('actual', 3)}, {t('predicted', 3)}, model FROM preds WHERE model = 'naive'",
 )
+twin(
+    "predictions_by_model",
+    ["preds"],
+    f"SELECT series_id, split, day, {t('actual', 3)}, {t('predicted', 3)}, model FROM preds WHERE model IN ('naive', 'seasonal_naive')",
+)

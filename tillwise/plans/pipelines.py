@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.forecasting import sequence
+from tillwise.forecasting import sequence, store
 from tillwise.forecasting.design import Shape
 from tillwise.forecasting.fit import best_by_aic, design_rows, fit_candidates, with_fallback
 from tillwise.forecasting.forecast import forecast
@@ -32,10 +32,11 @@ from tillwise.session import materialise
 
 @dataclass
 class Fitted:
-    """Candidates fitted on a series table, with the best one per series."""
+    """Candidates tried on a series table, those that could be fitted, and the best one per series."""
 
     rows: DataFrame
     shape: Shape
+    tried: DataFrame
     fits: DataFrame
     best: DataFrame
 
@@ -43,16 +44,20 @@ class Fitted:
         return forecast(self.rows, self.best, self.shape, horizon)
 
 
-def fit_models(series: DataFrame, specs: list[Spec], fallback: Spec, n_exog: int = 0) -> Fitted:
-    """Fit all candidates, keep the best by AIC, cover unfitted series by the fallback."""
+def fit_models(series: DataFrame, specs: list[Spec], fallback: Spec, n_exog: int = 0, chosen: DataFrame | None = None) -> Fitted:
+    """Fit all candidates, keep the best by AIC, cover unfitted series by the fallback.
+
+    ``chosen`` (series_id, ord) lets every series try candidates of its own.
+    """
     wanted = list(specs)
     if fallback.block not in {s.block for s in specs}:
         wanted.append(fallback)
     rows, shape = design_rows(series, wanted, n_exog)
     # Read by the fit and by both forecasts.
     rows = materialise(rows.drop("x"))
-    fits = materialise(fit_candidates(rows, shape, wanted).where(F.col("ord") < len(specs)))
-    return Fitted(rows, shape, fits, with_fallback(best_by_aic(fits), series, shape, fallback))
+    tried = materialise(fit_candidates(rows, shape, specs, chosen))
+    fits = tried.where("fitted").drop("fitted")
+    return Fitted(rows, shape, tried, fits, with_fallback(best_by_aic(fits), series, shape, fallback))
 
 
 def plain_series(daily: DataFrame, y: str = "amount", exog: list[str] = ()) -> DataFrame:
@@ -87,13 +92,12 @@ def scaled_series(sales: DataFrame, fit_on: str = "all", horizon: int = 7) -> Da
         F.array(*[scale.scaled(c) for c in names]).alias("x"),
         (F.col("split") == "train").alias("in_fit"),
         (F.col("split") == "future").alias("ahead"),
-        F.struct("scaler.amount_log").alias("scaler"),
+        "scaler",
     )
 
 
-def in_dollars(predicted: DataFrame, series: DataFrame) -> DataFrame:
+def in_dollars(predicted: DataFrame, scalers: DataFrame) -> DataFrame:
     """Scaled predictions back to amounts: inverse standardise, expm1, clip at zero."""
-    scalers = series.groupBy("series_id").agg(F.first("scaler").alias("scaler"))
     out = predicted.join(scalers, "series_id")
     return out.withColumns(
         {c: scale.amount_back(F.col(c), "amount_log") for c in ("predicted", "lower", "upper")}
@@ -102,22 +106,33 @@ def in_dollars(predicted: DataFrame, series: DataFrame) -> DataFrame:
 
 @dataclass
 class Outcome:
-    """Test predictions (with actuals), future forecast, chosen models of one pipeline."""
+    """Test predictions (with actuals), future forecast, chosen models of one pipeline, and what they were fitted on."""
 
     test: DataFrame
     future: DataFrame
     fitted: Fitted
+    series: DataFrame
+    scalers: DataFrame
+
+    def model_rows(self, specs: list[Spec] = SARIMAX_MAIN) -> DataFrame:
+        """The chosen models with their scalers, ready to be stored."""
+        names = ["amount_log", *features.SPARSE_FEATURES]
+        cells = [x for c in names for x in (F.lit(store.TARGET if c == "amount_log" else c), F.col("scaler")[c])]
+        scaler = self.scalers.select("series_id", F.create_map(*cells).alias("scaler"))
+        return store.model_rows(self.fitted, self.series, specs, SARIMAX_FALLBACK, "last", tuple(features.SPARSE_FEATURES), scaler)
 
 
 def regression_pipeline(
     sales: DataFrame, specs: list[Spec] = SARIMAX_MAIN, fit_on: str = "all", horizon: int = 7
 ) -> Outcome:
     """Sparse daily series, nineteen regressors, candidates by AIC, test and 7-day forecasts."""
-    series = scaled_series(sales, fit_on, horizon)
+    table = scaled_series(sales, fit_on, horizon)
+    scalers = materialise(table.groupBy("series_id").agg(F.first("scaler").alias("scaler")))
+    series = table.drop("scaler")
     fitted = fit_models(series, specs, SARIMAX_FALLBACK, len(features.SPARSE_FEATURES))
     actual = series.select("series_id", "day", F.col("amount").alias("actual"))
-    test = in_dollars(fitted.predict("test"), series).join(actual, ["series_id", "day"])
-    return Outcome(test, in_dollars(fitted.predict("future"), series), fitted)
+    test = in_dollars(fitted.predict("test"), scalers).join(actual, ["series_id", "day"])
+    return Outcome(test, in_dollars(fitted.predict("future"), scalers), fitted, series, scalers)
 
 
 @dataclass
@@ -174,7 +189,7 @@ def six_model_predictions(sales: DataFrame) -> DataFrame:
     ARIMAX refits ARIMA's chosen orders with regressors and falls back to
     ARIMA's forecast where that fails.
     """
-    daily = features.small_exog(rollup.daily_sparse(sales))
+    daily = materialise(features.small_exog(rollup.daily_sparse(sales)))
     plain = materialise(plain_series(daily))
     exog = materialise(plain_series(daily, exog=features.SMALL_EXOG))
     k = len(features.SMALL_EXOG)
@@ -182,9 +197,8 @@ def six_model_predictions(sales: DataFrame) -> DataFrame:
     arima = fit_models(plain, arima_grid(), ARIMA_FALLBACK)
     sarima = fit_models(plain, sarima_grid(), SARIMA_FALLBACK)
     sarimax = fit_models(exog, SARIMAX_COMPARED, SARIMA_FALLBACK, k)
-    arimax = fit_models(exog, arima_grid(), ARIMA_FALLBACK, k)
-    chosen = arimax.fits.join(arima.best.select("series_id", "ord"), ["series_id", "ord"])
-    arimax_rows = forecast(arimax.rows, chosen, arimax.shape, "test")
+    arimax = fit_models(exog, arima_grid(), ARIMA_FALLBACK, k, chosen=arima.best.where(F.col("ord").isNotNull()))
+    arimax_rows = forecast(arimax.rows, arimax.fits, arimax.shape, "test")
 
     arima_rows = arima.predict("test")
     arimax_rows = arima_rows.select("series_id", "day", F.col("predicted").alias("_plain")).join(

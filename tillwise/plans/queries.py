@@ -624,3 +624,13 @@ def predictions_sink(spark, sf_dir):
     sinks.write_predictions(baseline_predictions(_sparse(spark, sf_dir)), path)
     out = sinks.read_predictions(spark, path).where((F.col("model") == "naive") & (F.col("split") == "test"))
     return report(out, {"actual": 3, "predicted": 3})
+
+
+@query
+def predictions_by_model(spark, sf_dir):
+    """Two models written one after the other to one table, the first written again with other rows; both read back."""
+    path = _scratch(spark, "predictions")
+    rows = baseline_predictions(_sparse(spark, sf_dir))
+    for model, part in (("naive", "train"), ("seasonal_naive", "test"), ("naive", "test")):
+        sinks.write_predictions(rows.where((F.col("model") == model) & (F.col("split") == part)), path)
+    return report(sinks.read_predictions(spark, path), {"actual": 3, "predicted": 3})

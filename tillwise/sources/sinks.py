@@ -1,4 +1,9 @@
-"""Result tables: predictions partitioned by model, metrics, parameters, scalers."""
+"""Result tables: predictions and metrics by model, scalers.
+
+A write replaces the partitions (models) that it holds and leaves all others alone. Spark writes the new
+files beside the table and puts them in place when the whole job has ended, so a run that breaks off
+before leaves the table as it was.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +14,26 @@ from pyspark.sql import types as T
 PREDICTION_COLUMNS = ["series_id", "model", "split", "day", "actual", "predicted"]
 METRIC_COLUMNS = ["series_id", "model", "metric", "value"]
 SCALER_COLUMNS = ["series_id", "column_name", "center", "scale"]
-PARAM_COLUMNS = ["series_id", "model", "spec", "aic", "features"]
+
+
+def write_partitions(df: DataFrame, path: str, *by: str) -> None:
+    """Replace only the partitions that occur in the rows."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def write_predictions(df: DataFrame, path: str) -> None:
     """Test predictions, actuals and forecasts, one directory per model."""
-    df.select(*PREDICTION_COLUMNS).write.mode("overwrite").partitionBy("model").parquet(path)
+    write_partitions(df.select(*PREDICTION_COLUMNS), path, "model")
 
 
 def write_metrics(df: DataFrame, path: str) -> None:
-    df.select(*METRIC_COLUMNS).write.mode("overwrite").parquet(path)
+    write_partitions(df.select(*METRIC_COLUMNS), path, "model")
 
 
 def write_scaler_params(df: DataFrame, path: str) -> None:
     df.select(*SCALER_COLUMNS).write.mode("overwrite").parquet(path)
 
 
-def write_model_params(df: DataFrame, path: str) -> None:
-    """Chosen specification, its AIC and the feature list used."""
-    df.select(*PARAM_COLUMNS).write.mode("overwrite").parquet(path)
-
-
 PREDICTION_SCHEMA = T.StructType(
     [
         T.StructField("series_id", T.StringType()),
