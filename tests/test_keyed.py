@@ -57,3 +57,39 @@ def test_range_of(spark):
     df = spark.createDataFrame([(v, cuts) for v in values], "v double, cuts array<double>")
     got = [r[0] for r in df.select(keyed.range_of(F.col("v"), F.col("cuts"), 5)).collect()]
     assert got == [sum(c < v for c in cuts) for v in values]
+
+
+@pytest.mark.parametrize("most_rows", [50, 700])
+def test_exact_quantiles_cut_large_buckets_again(spark, skewed, most_rows, monkeypatch):
+    """However coarse the first cuts, no group that is ranked value by value exceeds the bound, and nothing changes."""
+    seen = []
+    whole = keyed._refined
+
+    def watched(*args):
+        out = whole(*args)
+        seen.append(out.groupBy("key", "_start").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(keyed, "_refined", watched)
+    probs = {"lo": 0.0, "q25": 0.25, "mid": 0.5, "q9": 0.9, "hi": 1.0}
+    got = {r["key"]: r for r in keyed.exact_quantiles(skewed, ["key"], "v", probs, 4, most_rows).collect()}
+    assert len(seen) == 1 and seen[0] <= most_rows
+    for key, part in skewed.toPandas().groupby("key"):
+        assert np.allclose([got[key][p] for p in probs], np.quantile(part.v, list(probs.values())), rtol=1e-12), key
+
+
+def test_dense_codes_of_a_million_keys(spark):
+    """Ranges follow the count, so no task sorts more than the bound; codes are the places in the whole order."""
+    bound, n = 50_000, 1_000_000
+    entries = spark.range(n).select((F.col("id") * 7919 % n).alias("key")).withColumn("h", F.when(F.col("key") < 300_000, F.lit(0)).otherwise(F.hash("key")))
+    out = keyed.dense_codes(entries, "key", F.struct("h", "key"), "code", most_rows=bound)
+    ordered = out.orderBy("code").select("h", "key", "code").toPandas()
+    assert (ordered.code == np.arange(n)).all()
+    assert ordered[["h", "key"]].equals(ordered[["h", "key"]].sort_values(["h", "key"]).reset_index(drop=True))
+    ranges = entries.repartitionByRange(-(-2 * n // bound), F.struct("h", "key")).groupBy(F.spark_partition_id()).count()
+    assert ranges.agg(F.max("count")).first()[0] <= bound
+
+
+def test_dense_codes_of_nothing(spark):
+    empty = spark.createDataFrame([], "key string")
+    assert keyed.dense_codes(empty, "key", F.col("key"), "code").count() == 0

@@ -44,7 +44,7 @@ class Shape:
         return self.ar + self.differencing
 
 
-def shape_of(specs: list[Spec], n_exog: int) -> Shape:
+def shape_of(specs: list[Spec], n_exog: int, long_ar: int = LONG_AR) -> Shape:
     ar = max((lag for s in specs for lag in s.ar_lags()), default=0)
     ma = max((lag for s in specs for lag in s.ma_lags()), default=0)
     blocks = sorted({s.block for s in specs})
@@ -52,7 +52,7 @@ def shape_of(specs: list[Spec], n_exog: int) -> Shape:
         blocks=blocks,
         ar=ar,
         ma=ma,
-        history=max(ar, ma, LONG_AR) if ma else ar,
+        history=max(ar, ma, long_ar) if ma else ar,
         differencing=max(d + D * s for d, D, s in blocks),
         n_exog=n_exog,
     )

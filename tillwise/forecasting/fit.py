@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.forecasting.design import (
+    LONG_AR,
     Shape,
     lagged,
     shape_of,
@@ -108,9 +109,9 @@ def _first_stage(rows: DataFrame, shape: Shape) -> DataFrame:
     return sums.mapInArrow(run, "series_id string, block int, first_coef array<double>")
 
 
-def design_rows(series: DataFrame, specs: list[Spec], n_exog: int) -> tuple[DataFrame, Shape]:
+def design_rows(series: DataFrame, specs: list[Spec], n_exog: int, long_ar: int = LONG_AR) -> tuple[DataFrame, Shape]:
     """All lag and residual-lag columns the candidates need."""
-    shape = shape_of(specs, n_exog)
+    shape = shape_of(specs, n_exog, long_ar)
     rows = lagged(series, shape)
     if shape.ma:
         return with_residuals(rows, _first_stage(rows, shape), shape), shape

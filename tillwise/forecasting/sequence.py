@@ -30,11 +30,11 @@ def fit_linear(train: DataFrame, loss: str = "huber", max_iter: int = 50) -> Lin
 
 
 def fit_boosted(sequences: DataFrame, max_iter: int = 10, tolerance: float = 0.01) -> Model:
-    """Boosted trees that stop when the held-out rows stop improving."""
-    data = sequences.select(
+    """Boosted trees on the train rows that stop when the valid rows stop improving; test rows are not touched."""
+    data = sequences.where(F.col("split").isin("train", "valid")).select(
         as_vector(F.col("x")).alias("features"),
         F.col("y").alias("label"),
-        (F.col("split") == "test").alias("held_out"),
+        (F.col("split") == "valid").alias("held_out"),
     )
     trees = GBTRegressor(
         maxIter=max_iter, maxDepth=3, maxBins=16, seed=42, validationIndicatorCol="held_out", validationTol=tolerance
@@ -69,12 +69,16 @@ def _as_forecast(df: DataFrame, values: Column) -> DataFrame:
 
 def recurse_linear(model: LinearRegressionModel, seeds: DataFrame, steps: int = 7) -> DataFrame:
     """Recursive forecast of a linear model as one fold: (series_id, day, step, predicted)."""
-    weights = F.array(*[F.lit(float(v)) for v in model.coefficients.toArray()])
-    level = F.lit(float(model.intercept))
+    return recurse_weights([float(v) for v in model.coefficients.toArray()], float(model.intercept), seeds, steps)
+
+
+def recurse_weights(weights: list[float], level: float, seeds: DataFrame, steps: int = 7) -> DataFrame:
+    """The same from a weight for every cell of the window, oldest row first."""
+    listed, start = F.array(*[F.lit(w) for w in weights]), F.lit(level)
 
     def value(window: Column) -> Column:
-        products = F.zip_with(F.flatten(window), weights, lambda a, b: a * b)
-        return F.aggregate(products, level, lambda s, v: s + v)
+        products = F.zip_with(F.flatten(window), listed, lambda a, b: a * b)
+        return F.aggregate(products, start, lambda s, v: s + v)
 
     values = F.aggregate(
         F.sequence(F.lit(1), F.lit(steps)),

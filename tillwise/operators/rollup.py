@@ -43,15 +43,17 @@ def fill_gaps(df: DataFrame, zero: list[str], keys=KEYS, order: str = "day") ->
     )
 
 
-def daily_totals(sales: DataFrame, keys=KEYS, impute: str | None = "mean") -> DataFrame:
+def daily_totals(sales: DataFrame, keys=KEYS, impute: str | None = "mean", order: str = "day") -> DataFrame:
     """One row per series and day with a non-null amount: sums, counts, rating mean.
 
+    ``order`` may be any other column that can be sorted, such as a timestamp, which is then not cut to its day.
+
     Imputing ratings row by row and then averaging per day equals
     (rating sum + fill * missing) / rows, so the fill value meets day rows
     instead of transactions and no transaction-level join is needed.
     """
     kept = sales.where(F.col("amount").isNotNull())
-    daily = kept.groupBy(*keys, "day").agg(
+    daily = kept.groupBy(*keys, order).agg(
         F.sum("amount").alias("amount_sum"),
         F.count(F.lit(1)).alias("n_rows"),
         F.count("item").alias("items"),
@@ -84,11 +86,11 @@ def daily_dense(sales: DataFrame, keys=KEYS, impute: str | None = "mean") -> Dat
     return fill_gaps(daily, ["amount", "items", "rating"], keys)
 
 
-def daily_sparse(sales: DataFrame, keys=KEYS, impute: str | None = "mean") -> DataFrame:
-    """Mean amount, item count, mean rating, credit share for every day present."""
-    return daily_totals(sales, keys, impute).select(
+def daily_sparse(sales: DataFrame, keys=KEYS, impute: str | None = "mean", order: str = "day") -> DataFrame:
+    """Mean amount, item count, mean rating, credit share for every day (or other ``order`` value) present."""
+    return daily_totals(sales, keys, impute, order).select(
         *keys,
-        "day",
+        order,
         (F.col("amount_sum") / F.col("n_rows")).alias("amount"),
         "items",
         "rating",

@@ -21,7 +21,7 @@ from tillwise.functions.scalars import tidy
 from tillwise.operators import clean, evaluate, features, rollup, split
 from tillwise.operators.gram import gram_cells
 from tillwise.plans import pipelines
-from tillwise.plans.queries import _scratch, _sparse, query, report
+from tillwise.plans.queries import _dense, _scratch, _sparse, query, report
 from tillwise.session import materialise
 from tillwise.sources.transactions import event_sales, line_sales, sales
 
@@ -66,6 +66,15 @@ def arx_fit(spark, sf_dir):
     return report(out, {"phi": 5, "beta": 1, "const": 0})
 
 
+@query
+def arma_fit(spark, sf_dir):
+    """ARMA(1,1) with constant in two stages: residuals of a second-order autoregression, then the regression on their lag."""
+    spec = Spec(1, 0, 1, trend=True)
+    fit = pipelines.fit_models(_plain(spark, sf_dir), [spec], spec, long_ar=2).best
+    out = fit.select("series_id", "n", F.col("phi")[0].alias("phi"), F.col("theta")[0].alias("theta"), (F.col("const") / 1e5).alias("const"))
+    return report(out, {"phi": 5, "theta": 5, "const": 5})
+
+
 @query
 def ar_grid_best(spark, sf_dir):
     """Least AIC over a small grid that SQL can fit as well: p in 0, 1 and d in 0, 1."""
@@ -201,10 +210,28 @@ def seq_recursive_7d(spark, sf_dir):
     return report(windows.future(windows.fit("huber")), {"predicted": 1})
 
 
+@query
+def seq_split_sizes(spark, sf_dir):
+    """Rows and last day of the train, validation and test parts of the sequences."""
+    rows = pipelines.sequence_table(sales(spark, sf_dir), valid=True).rows
+    return rows.groupBy("series_id", "split").agg(F.count(F.lit(1)).alias("n"), F.max("day").alias("last_day"))
+
+
+@query
+def seq_weighted_recursion(spark, sf_dir):
+    """Seven days from a given linear model: rising weights on fourteen targets, and one on the newest day's items."""
+    dense = features.dense_features(_dense(spark, sf_dir))
+    seeds = features.last_sequence(dense, "amount", features.DENSE_FEATURES)
+    width = 1 + len(features.DENSE_FEATURES)
+    weights = [(i + 1) / 120 if c == 0 else 0.0 for i in range(features.STEPS) for c in range(width)]
+    weights[-width + 1] = 10.0
+    return report(sequence.recurse_weights(weights, 5.0, seeds), {"predicted": 1})
+
+
 @query
 def seq_boosted(spark, sf_dir):
-    """Boosted trees with validation-based stop: test error and tree count."""
-    windows = pipelines.sequence_table(sales(spark, sf_dir))
+    """Boosted trees that stop on validation rows: error on the test rows, which the fit never saw, and tree count."""
+    windows = pipelines.sequence_table(sales(spark, sf_dir), valid=True)
     rows, seeds = windows.rows, windows.seeds
     model = sequence.fit_boosted(rows)
     out = sequence.predict(model, rows.where(F.col("split") == "test")).groupBy("series_id").agg(

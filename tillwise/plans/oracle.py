@@ -587,6 +587,26 @@ twin(
     "<= ceil(0.2 * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split FROM kept",
 )
 
+twin(
+    "split_hash_repeated",
+    [],
+    """WITH k AS (SELECT l_orderkey, count(*) AS m, md5(l_orderkey || '-42') AS h FROM lineitem GROUP BY 1),
+    r AS (SELECT *, sum(m) OVER (ORDER BY h, l_orderkey) - m AS before, ceil(0.2 * (SELECT count(*) FROM lineitem)) AS want FROM k),
+    t AS (SELECT l_orderkey, m, CAST(greatest(0, least(m, want - before)) AS BIGINT) AS test FROM r)
+    SELECT l_orderkey, 'test' AS split, test AS n FROM t WHERE test > 0
+    UNION ALL SELECT l_orderkey, 'train', m - test FROM t WHERE test < m""",
+)
+_TS = "PARTITION BY series_id ORDER BY ts"
+twin(
+    "events_by_timestamp",
+    [],
+    f"""WITH d AS (SELECT event_type AS series_id, ts, avg(value) AS amount, count(*) AS items FROM events WHERE value IS NOT NULL GROUP BY 1, 2)
+    SELECT series_id, epoch_us(ts) AS micros, {t("amount", 3)}, items,
+           {t(f"CASE WHEN count(*) OVER ({_TS} ROWS 2 PRECEDING) = 3 THEN avg(amount) OVER ({_TS} ROWS 2 PRECEDING) END", 3, "ma3")},
+           {t(f"CASE WHEN count(*) OVER ({_TS} ROWS 6 PRECEDING) = 7 THEN stddev_samp(amount) OVER ({_TS} ROWS 6 PRECEDING) END", 3, "volatility")},
+           {t(f"lag(amount, 7) OVER ({_TS})", 3, "lag7")} FROM d""",
+)
+
 # ---- decomposition ---------------------------------------------------------
 
 twin(
@@ -604,7 +624,12 @@ twin(
            {t("(observed - trend - seasonal)", 3, "resid")}
     FROM b JOIN c USING (series_id, phase) WHERE n >= 60""",
 )
-twin("decompose_30_events", [], "SELECT CAST(0 AS BIGINT) AS n")
+twin(
+    "decompose_30_events",
+    [],
+    """SELECT CAST(coalesce(sum(d), 0) AS BIGINT) AS n FROM (
+        SELECT count(DISTINCT CAST(ts AS DATE)) AS d FROM events WHERE value IS NOT NULL GROUP BY event_type) WHERE d >= 60""",
+)
 twin(
     "acf_30",
     ["sparse"],
@@ -783,6 +808,49 @@ twin(
     b AS (SELECT *, (yl * xx - yx * lx) / (ll * xx - lx * lx) AS phi, (yx * ll - yl * lx) / (ll * xx - lx * lx) AS beta FROM m)
     SELECT series_id, n, {t("phi", 5)}, {t("beta", 1)}, {t("(my - phi * ml - beta * mx)", 0, "const")} FROM b""",
 )
+def two_regressors(y: str, a: str, b: str, source: str, names: str) -> str:
+    """Constant and slopes of y on (a, b) per series."""
+    c, p, q = names.split()
+    return f"""SELECT series_id, n, {p}, {q}, my - {p} * ma - {q} * mb AS {c} FROM (
+        SELECT *, (ya * bb - yb * ab) / (aa * bb - ab * ab) AS {p}, (yb * aa - ya * ab) / (aa * bb - ab * ab) AS {q} FROM (
+            SELECT series_id, count(*) AS n, avg({y}) AS my, avg({a}) AS ma, avg({b}) AS mb, covar_pop({y}, {a}) AS ya, covar_pop({y}, {b}) AS yb,
+                   covar_pop({a}, {b}) AS ab, var_pop({a}) AS aa, var_pop({b}) AS bb FROM {source} GROUP BY 1))"""
+
+
+twin(
+    "arma_fit",
+    ["sparse"],
+    f"""+rw AS (SELECT series_id, day, amount AS y, lag(amount, 1) OVER ({FULL}) AS l, lag(amount, 2) OVER ({FULL}) AS l2,
+                   row_number() OVER ({FULL}) AS i, {SPLIT} FROM sparse),
+    one AS ({two_regressors("y", "l", "l2", "(SELECT * FROM rw WHERE split = 'train' AND i > 2)", "c1 p1 p2")}),
+    e AS (SELECT series_id, day, y, l, i, split, y - c1 - p1 * l - p2 * l2 AS e FROM rw JOIN one USING (series_id)),
+    el AS (SELECT *, lag(e) OVER ({FULL}) AS e1 FROM e),
+    two AS ({two_regressors("y", "l", "e1", "(SELECT * FROM el WHERE split = 'train' AND i > 3)", "c phi theta")})
+    SELECT series_id, n, {t("phi", 5)}, {t("theta", 5)}, {t("(c / 1e5)", 5, "const")} FROM two""",
+)
+twin(
+    "seq_split_sizes",
+    ["dense"],
+    f"""+q AS (SELECT series_id, day, row_number() OVER ({FULL}) - 14 AS i, count(*) OVER (PARTITION BY series_id) - 14 AS n FROM dense),
+    p AS (SELECT series_id, day, CASE WHEN i <= floor(n * 0.7) THEN 'train' WHEN i <= floor(n * 0.8) THEN 'valid' ELSE 'test' END AS split
+          FROM q WHERE i > 0)
+    SELECT series_id, split, count(*) AS n, max(day) AS last_day FROM p GROUP BY 1, 2""",
+)
+# Every step drops the oldest of fourteen targets and appends the prediction; the newest day's items stay.
+twin(
+    "seq_weighted_recursion",
+    ["smooth"],
+    f"""+s AS (SELECT series_id, day, amount, items, row_number() OVER (PARTITION BY series_id ORDER BY day DESC) AS r FROM smooth),
+    seed AS (SELECT series_id, max(day) AS day, list(amount ORDER BY day) AS w, max_by(items, day) AS items FROM s WHERE r <= 14
+             GROUP BY 1 HAVING count(*) = 14),
+    walk AS (
+        SELECT series_id, day, 0 AS step, w, items, CAST(NULL AS DOUBLE) AS p FROM seed
+        UNION ALL
+        SELECT series_id, day, step + 1, list_append(w[2:], v), items, v FROM (
+            SELECT *, 5 + 10 * items + list_sum(list_transform(list_zip(w, range(1, 15)), lambda z: z[1] * z[2] / 120e0)) AS v FROM walk WHERE step < 7))
+    SELECT series_id, day + CAST(step AS INTEGER) AS day, CAST(step AS INTEGER) AS step, {t("p", 1, "predicted")} FROM walk WHERE step > 0""",
+    recursive=True,
+)
 twin(
     "ar_grid_best",
     ["sparse"],

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.forecasting import sequence, store
-from tillwise.forecasting.design import Shape
+from tillwise.forecasting.design import LONG_AR, Shape
 from tillwise.forecasting.fit import best_by_aic, design_rows, fit_candidates, with_fallback
 from tillwise.forecasting.forecast import forecast
 from tillwise.forecasting.specs import (
@@ -44,15 +44,16 @@ class Fitted:
         return forecast(self.rows, self.best, self.shape, horizon)
 
 
-def fit_models(series: DataFrame, specs: list[Spec], fallback: Spec, n_exog: int = 0, chosen: DataFrame | None = None) -> Fitted:
+def fit_models(series: DataFrame, specs: list[Spec], fallback: Spec, n_exog: int = 0, chosen: DataFrame | None = None, long_ar: int = LONG_AR) -> Fitted:
     """Fit all candidates, keep the best by AIC, cover unfitted series by the fallback.
 
-    ``chosen`` (series_id, ord) lets every series try candidates of its own.
+    ``chosen`` (series_id, ord) lets every series try candidates of its own; ``long_ar`` is the order of the
+    autoregression behind moving-average terms.
     """
     wanted = list(specs)
     if fallback.block not in {s.block for s in specs}:
         wanted.append(fallback)
-    rows, shape = design_rows(series, wanted, n_exog)
+    rows, shape = design_rows(series, wanted, n_exog, long_ar)
     # Read by the fit and by both forecasts.
     rows = materialise(rows.drop("x"))
     tried = materialise(fit_candidates(rows, shape, specs, chosen))
@@ -161,8 +162,11 @@ class Sequences:
         return out.select("series_id", "day", "step", scale.unscaled("predicted", "amount").alias("predicted"))
 
 
-def sequence_table(sales: DataFrame, fit_on: str = "all") -> Sequences:
-    """Min-max scaled dense features as sequences with their split, and the seeds."""
+def sequence_table(sales: DataFrame, fit_on: str = "all", valid: bool = False) -> Sequences:
+    """Min-max scaled dense features as sequences with their split, and the seeds.
+
+    With ``valid`` the last eighth of the train rows is set apart for validation; test rows are the same either way.
+    """
     columns = ["amount", *features.DENSE_FEATURES]
     dense = features.dense_features(rollup.daily_dense(sales))
     seen = None
@@ -174,7 +178,8 @@ def sequence_table(sales: DataFrame, fit_on: str = "all") -> Sequences:
     keep = F.struct("scaler.amount").alias("scaler")
     table = scale.scale_columns(table, columns).select("series_id", "day", *columns, keep)
     scalers = table.groupBy("series_id").agg(F.first("scaler").alias("scaler"))
-    rows = split.time_split(features.sequences(table, "amount", features.DENSE_FEATURES)).join(scalers, "series_id")
+    parted = split.three_way_split if valid else split.time_split
+    rows = parted(features.sequences(table, "amount", features.DENSE_FEATURES)).join(scalers, "series_id")
     seeds = features.last_sequence(table, "amount", features.DENSE_FEATURES).join(scalers, "series_id")
     return Sequences(rows, seeds)
 

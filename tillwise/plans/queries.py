@@ -461,6 +461,30 @@ def split_hash(spark, sf_dir):
     return split.hash_split(kept, "sale_id")
 
 
+@query
+def split_hash_repeated(spark, sf_dir):
+    """The split by an id that many rows share: test and train rows of every id."""
+    lines = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return split.hash_split(lines, "l_orderkey").groupBy("l_orderkey", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def events_by_timestamp(spark, sf_dir):
+    """Roll-up by exact timestamp, not by day: mean, count, trailing mean, deviation and lag over the timestamps present."""
+    w = ordered(order="ts")
+    rows = rollup.daily_sparse(event_sales(spark, sf_dir), impute=None, order="ts")
+    out = rows.select(
+        "series_id",
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"),
+        "amount",
+        "items",
+        rolling.rolling_mean("amount", 3, w).alias("ma3"),
+        rolling.rolling_std("amount", 7, w).alias("volatility"),
+        rolling.row_lag("amount", 7, w).alias("lag7"),
+    )
+    return report(out, {"amount": 3, "ma3": 3, "volatility": 3, "lag7": 3})
+
+
 # ---- decomposition ---------------------------------------------------------
 
 
