@@ -100,19 +100,45 @@ def check_packed(rows, expected):
 
 
 def test_pack_round_trip(frame, plain):
-    rows = [r.asDict() for r in packing.pack(frame, PATH, with_ids=True).collect()]
-    check_packed(rows, [(r["doc_id"], plain(r["text"]) + [1]) for r in frame.collect()])
-    assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] for r in rows)
+    packed = packing.pack(frame, PATH).cache()
+    check_packed([r.asDict() for r in packing.digest(packed).collect()], [(r["doc_id"], plain(r["text"]) + [1]) for r in frame.collect()])
+    rebuilt = rebuild(packed)
+    assert sorted(rebuilt, key=repr) == sorted(((r["doc_id"], plain(r["text"]) + [1]) for r in frame.collect()), key=repr)
+
+
+def rebuild(packed):
+    """(doc_id, ids) of every packed row, read from the sequences alone."""
+    bodies = {r["sequence_id"]: np.frombuffer(r["ids"], "<u2").tolist() for r in packing.sequences(packed).collect()}
+    out = {}
+    for r in sorted(packed.collect(), key=lambda r: r["start"]):
+        ids = out.setdefault((r["doc_id"], r["row_id"]), [])
+        assert len(ids) == r["start"]
+        ids += bodies[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]]
+        assert len(ids) <= r["doc_tokens"]
+    return [(doc, ids) for (doc, _), ids in out.items()]
 
 
 def test_pack_table(spark, plain):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    rows = [r.asDict() for r in packing.pack(docs, PATH).collect()]
+    rows = [r.asDict() for r in packing.digest(packing.pack(docs, PATH)).collect()]
     check_packed(rows, [(r["doc_id"], plain(r["text"]) + [1]) for r in docs.collect()])
     sequences = len({r["sequence_id"] for r in rows})
     assert sequences <= sum(r["length"] for r in rows) / 2048 * 1.02 + 2
 
 
+def test_one_id_on_most_rows_fills_several_shards(spark, plain):
+    rows = [(7, f"text number {i} " + "again " * (i % 50)) for i in range(600)] + [(3, "first"), (9, "last"), (None, "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the table is far below a task's usual size
+    manifest = idstore.write(docs, PATH)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert manifest.count() > 2 and manifest.agg({"n_docs": "max"}).first()[0] < 400
+    found = idstore.read(manifest).orderBy("start").collect()
+    assert [r["doc_id"] for r in found] == [None, 3, *[7] * 600, 9]
+    assert [r["start"] for r in found] == [sum(x["n_tokens"] for x in found[:i]) for i in range(len(found))]
+    assert sorted(r["ids_crc32"] for r in found) == sorted(zlib.crc32(np.array(plain(t) + [0], "<u4").tobytes()) for _, t in rows)
+
+
 def test_empty_tables(spark, frame):
     none = frame.limit(0)
     assert packing.pack(none, PATH).count() == 0

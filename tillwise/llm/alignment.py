@@ -24,14 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.llm.shared import stage_table, worker_state
+from tillwise.llm.tokens import byte_alphabet
 
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 250_000
 LONGEST_CACHED = 64
 RUN = re.compile(r"\s ")
 SPACE = "▁"
 # Irregular pairs with more than this share of all irregular links are looked up, so at most as many.
 HOT_PAIRS = 1024
-BATCH_DOCS = 500
+BATCH_DOCS = 100
 ALIGNED = "_row long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, same array<int>, pairs array<long>"
 SCORED = (
     "_row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, "
@@ -39,13 +40,6 @@ SCORED = (
 )
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The byte behind every character of byte-level vocabularies: printable ones stand for themselves, the rest count up from 256."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
-
 class Groups(NamedTuple):
     text: bytes  # a1,a2|b1;a3|b2,b3
     n_a: int
@@ -82,38 +76,41 @@ class Aligner:
         for i in sorted(range(self.size_b), key=lambda i: single[i]):  # whole pieces go before single bytes
             if not self.b.is_control(i) and not self.b.is_unknown(i):
                 by_bytes.setdefault(self.bytes_b[i], i)
+        self.bytes_a_length = [*map(len, self.bytes_a)]
         self.identity = [by_bytes.get(x, -1) for x in self.bytes_a]
+        self.mapped = np.array(self.identity)
         self.cache: dict[str, Groups] = {}
 
     def groups(self, a: list[int], b: list[int], expected: bytes) -> Groups | None:
         """The groups of two encodings, or None where either does not give back the expected bytes."""
-        of_a, of_b = list(map(self.bytes_a.__getitem__, a)), list(map(self.bytes_b.__getitem__, b))
+        of_a, of_b = [*map(self.bytes_a.__getitem__, a)], [*map(self.bytes_b.__getitem__, b)]
         if not a or b"".join(of_a) != expected or b"".join(of_b) != expected:
             return None
-        same, pairs, parts = array("i"), array("q"), []
-        i = j = first_a = first_b = 0
-        ahead = 0  # bytes that A has over B
-        while i < len(a):
-            if ahead <= 0:
-                ahead += len(of_a[i])
-                i += 1
-            while ahead > 0:
-                ahead -= len(of_b[j])
-                j += 1
-            if ahead == 0:
-                x, y = a[i - 1], b[j - 1]
-                if i - first_a == 1 and j - first_b == 1:
-                    parts.append(f"{x}|{y}")
-                    regular = self.identity[x] == y
-                else:
-                    parts.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-                    regular = False
-                if regular:
-                    same.append(x)
-                else:
-                    pairs.append(x * self.size_b + y)
-                first_a, first_b = i, j
-        return Groups(";".join(parts).encode(), len(a), len(b), len(parts), same.tobytes(), pairs.tobytes())
+        identity, parts, same, pairs = self.identity, [], [], []
+        ends_b, at = {}, 0  # byte offset to the number of B tokens that end there or before
+        for j, x in enumerate(of_b, 1):
+            at += len(x)
+            ends_b[at] = j
+        at = first_a = first_b = 0
+        for i, x in enumerate(of_a, 1):
+            at += len(x)
+            j = ends_b.get(at)
+            if j is None:
+                continue
+            if i - first_a == 1 and j - first_b == 1:
+                p, q = a[first_a], b[first_b]
+                parts.append(f"{p}|{q}")
+                regular = identity[p] == q
+            else:
+                p, q = a[i - 1], b[j - 1]
+                parts.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
+                regular = False
+            if regular:
+                same.append(p)
+            else:
+                pairs.append(p * self.size_b + q)
+            first_a, first_b = i, j
+        return Groups(";".join(parts).encode(), len(a), len(b), len(parts), array("i", same).tobytes(), array("q", pairs).tobytes() if pairs else b"")
 
     def whole(self, text: str) -> Groups:
         spaced = " " + text
@@ -121,29 +118,51 @@ class Aligner:
         return self.groups(a, self.b.encode(text, num_threads=1), spaced.encode()) or NOTHING
 
     def _fresh(self, pieces: list[str]) -> dict[str, Groups | None]:
-        a = self.a.encode_batch_fast(pieces, add_special_tokens=False)
-        b = self.b.encode([p[1:] for p in pieces], num_threads=1)
-        return {p: self.groups(x.ids, y, p.encode()) for p, x, y in zip(pieces, a, b)}
-
-    def align(self, text: str) -> list[Groups]:
-        """The groups of a text in order, as those of its pieces."""
-        if not text:
-            return [NOTHING]
-        if not self.cut_at_spaces or "\0" in text or RUN.search(" " + text):
-            return [self.whole(text)]
-        pieces = f" {text}".replace(" ", "\0 ").split("\0")[1:]
-        try:
-            return list(map(self.cache.__getitem__, pieces))
-        except KeyError:
-            pass
-        missing = list({p for p in pieces if p not in self.cache})
-        fresh = self._fresh(missing)
-        if None in fresh.values():  # such a piece has another meaning, or none, inside the whole text
-            return [self.whole(text)]
-        room = CACHE_ENTRIES - len(self.cache)
+        """The groups of pieces, each as if encoded alone; None where a piece does not come back."""
+        pieces = sorted(pieces, key=lambda p: p[-1].isspace())  # a piece that ends in white space would swallow the next one's space
+        alone = sum(p[-1].isspace() for p in pieces)
+        together = pieces[: len(pieces) - alone]
+        ids = self.a.encode_batch_fast(["".join(together), *pieces[len(together) :]], add_special_tokens=False)
+        first, raw = ids[0].ids, [p.encode() for p in pieces]
+        ends = np.cumsum([0, *map(len, raw[: len(together)])])
+        reach = np.cumsum([0, *map(self.bytes_a_length.__getitem__, first)])
+        bounds = np.searchsorted(reach, ends)
+        if (reach[np.minimum(bounds, len(first))] != ends).any():
+            each_a = [x.ids for x in self.a.encode_batch_fast(together, add_special_tokens=False)]
+        else:
+            bounds = bounds.tolist()
+            each_a = [first[i:j] for i, j in zip(bounds, bounds[1:])]
+        each_a += [x.ids for x in ids[1:]]
+        each_b = self.b.encode([p[1:] for p in pieces], num_threads=1)
+        return dict(zip(pieces, map(self.groups, each_a, each_b, raw)))
+
+    def align(self, texts: list[str]) -> list[list[Groups]]:
+        """For every text its groups in order, as those of its pieces; pieces new to the worker are encoded together."""
+        cut = [None if self._uncut(text) else f" {text}".replace(" ", "\0 ").split("\0")[1:] for text in texts]
+        cache = self.cache
+        missing = {p for pieces in cut if pieces for p in pieces if p not in cache}
+        odd = {p for p in missing if p == " " or SPACE in p}
+        fresh = dict.fromkeys(odd)
+        if missing - odd:
+            fresh |= self._fresh(list(missing - odd))
+        out = []
+        for text, pieces in zip(texts, cut):
+            if not text:
+                out.append([NOTHING])
+            elif pieces is None:
+                out.append([self.whole(text)])
+            else:
+                found = [cache[p] if p in cache else fresh[p] for p in pieces]
+                # A piece that does not come back has another meaning, or none, inside the whole text.
+                out.append([self.whole(text)] if None in found else found)
+        room = CACHE_ENTRIES - len(cache)
         if room > 0:
-            self.cache.update((p, fresh[p]) for p in [p for p in missing if len(p) <= LONGEST_CACHED][:room])
-        return [fresh[p] if p in fresh else self.cache[p] for p in pieces]
+            keep = [p for p in missing if fresh[p] is not None and len(p) <= LONGEST_CACHED][:room]
+            cache.update((p, fresh[p]) for p in keep)
+        return out
+
+    def _uncut(self, text: str) -> bool:
+        return not text or not self.cut_at_spaces or "\0" in text or RUN.search(" " + text) is not None
 
 
 def aligner(path_a: str, path_b: str) -> Aligner:
@@ -164,8 +183,8 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             for at in range(0, batch.num_rows, BATCH_DOCS):
                 part = batch.slice(at, BATCH_DOCS)
                 n_a, n_b, n_groups, digests, same, pairs = [], [], [], [], [], []
-                for text in part.column(2):
-                    texts, a, b, groups, regular, other = zip(*worker.align(text.as_py() or ""))
+                for found in worker.align([text or "" for text in part.column(2).to_pylist()]):
+                    texts, a, b, groups, regular, other = zip(*found)
                     n_a.append(sum(a))
                     n_b.append(sum(b))
                     n_groups.append(sum(groups))
@@ -227,7 +246,7 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
 def score(aligned: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """Adds n_links, n_best and count_sum to the rows of a table that ``align`` made and that lies in the shared folder."""
     worker = aligner(path_a, path_b)
-    size_b, identity = worker.size_b, np.array(worker.identity, np.int64)
+    size_b, identity = worker.size_b, worker.mapped
     span = len(worker.bytes_a) * size_b  # no pair's code reaches it
     same = same_counts(aligned, len(worker.bytes_a))
     counted = stage_table(pair_counts(aligned))

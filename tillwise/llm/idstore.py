@@ -118,7 +118,8 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 0, folder: str | None
 
     Each task writes one shard under a name of its own and then renames it, so a
     task that runs again replaces its files with the same bytes. Rows with a null doc_id
-    come first; null texts are empty; repeated rows are written each for itself.
+    come first; null texts are empty; repeated rows are written each for itself; rows of
+    one id are ordered by a hash of their text and may fill several shards.
     """
     folder = folder or new_folder(docs)
     _, inside = _files(folder)
@@ -155,8 +156,9 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 0, folder: str | None
             yield pa.RecordBatch.from_pydict({"shard": [number], "folder": [folder], "n_docs": [len(ids)], "n_ids": [total]})
 
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ordered = ordered.repartitionByRange(F.col("doc_id").asc_nulls_first())
-    ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # Rows of one id may lie in several shards: ranges cut them by a hash of the text, which needs no text in the sample.
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    ordered = ordered.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     return stage_table(ordered.mapInArrow(shard, MANIFEST))
 
 

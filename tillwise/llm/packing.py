@@ -26,7 +26,8 @@ WINDOW = 2048
 GRAIN = 32
 DEPTH = 4
 BUCKETS = 1024
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "doc_id long, row_id long, start long, length long, doc_tokens long, ids binary"
+PIECE_NAMES = [c.split()[0] for c in PIECES.split(", ")]
 
 
 def cuts(tokens: int, window: int = WINDOW, grain: int = GRAIN) -> list[tuple[int, int]]:
@@ -37,27 +38,33 @@ def cuts(tokens: int, window: int = WINDOW, grain: int = GRAIN) -> list[tuple[in
     return [(a, b - a) for a, b in zip([0, *ends], ends) if b > a]
 
 
-def pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, window: int = WINDOW, grain: int = GRAIN, with_ids: bool = False) -> DataFrame:
-    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, and the ids (little-endian 32 bit) if asked for."""
+def pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, window: int = WINDOW, grain: int = GRAIN) -> DataFrame:
+    """A row per piece: doc_id, row_id (a number of the document's row), start, length, doc_tokens and the ids.
+
+    Ids are little-endian whole numbers of two bytes where the vocabulary allows, else of four.
+    """
 
     def cut(batches):
-        encode = encoder(vocabulary).encode
+        worker = encoder(vocabulary)
+        width = 2 if worker.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py() or "") + end
-                view, n = memoryview(ids), len(ids) // 4
+            names, numbers = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            places, starts, lengths, totals, ids = [], [], [], [], []
+            for i, text in enumerate(batch.column(2)):
+                whole = np.frombuffer(worker.encode(text.as_py() or "") + end, "<u4").astype(f"<u{width}").tobytes()
+                n = len(whole) // width
                 for start, length in cuts(n, window, grain):
-                    part = view[4 * start : 4 * (start + length)]
-                    rows.append((doc, start, length, zlib.crc32(part), n, *([bytes(part)] if with_ids else [])))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[f"c{i}" for i in range(len(kinds))]
-            ).rename_columns(names)
+                    places.append(i)
+                    starts.append(start)
+                    lengths.append(length)
+                    totals.append(n)
+                    ids.append(whole[width * start : width * (start + length)])
+            columns = [[names[i] for i in places], [numbers[i] for i in places], starts, lengths, totals]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], pa.array(ids, pa.binary())], names=PIECE_NAMES)
 
-    kinds = [pa.int64()] * 5 + [pa.binary()] * with_ids
-    names = [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * with_ids
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECES + ", ids binary" * with_ids)
+    numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("row_id"), "text")
+    return numbered.mapInArrow(cut, PIECES)
 
 
 def combinations(units: int, depth: int = DEPTH) -> list[tuple[int, ...]]:
@@ -171,8 +178,8 @@ def place(cut: DataFrame, window: int = WINDOW, grain: int = GRAIN, depth: int =
     table = segments(plan(histogram, window, grain, depth))
     schema = "_length long, _low long, _high long, _each long, _first long, _offset long"
     lookup = F.broadcast(spark.createDataFrame(table, schema))
-    marked = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(BUCKETS))).withColumn("_one", F.lit(1))
-    order = [F.col("doc_id"), F.col("start"), F.col("ids_crc32")]
+    marked = cut.withColumn("_bucket", F.pmod(F.xxhash64("row_id", "start"), F.lit(BUCKETS))).withColumn("_one", F.lit(1))
+    order = [F.col("row_id"), F.col("start")]
     ranked = running_sum(marked, ["length"], "_bucket", order, "_one", "_rank")
     hit = ranked.join(lookup, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_low")) & (F.col("_rank") < F.col("_high")))
     turn = F.col("_rank") - F.col("_low")
@@ -181,10 +188,30 @@ def place(cut: DataFrame, window: int = WINDOW, grain: int = GRAIN, depth: int =
     return hit.select(*cut.columns, "sequence_id", "offset")
 
 
-def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, grain: int = GRAIN, depth: int = DEPTH, end_id: int = 1, with_ids: bool = False) -> DataFrame:
-    """Pieces of all documents with their sequence and offset.
+def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, grain: int = GRAIN, depth: int = DEPTH, end_id: int = 1) -> DataFrame:
+    """Pieces of all documents, ids included, with their sequence and offset.
 
-    A null text is empty and gives the end id alone; repeated rows are packed each for
-    itself; other columns are ignored; an empty table gives no rows.
+    A null text is empty and gives the end id alone; repeated rows are packed each for itself and told apart by
+    row_id; other columns are ignored; an empty table gives no rows.
     """
-    return place(stage_table(pieces(docs, vocabulary, end_id, window, grain, with_ids)), window, grain, depth)
+    return place(stage_table(pieces(docs, vocabulary, end_id, window, grain)), window, grain, depth)
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """(sequence_id, ids): the packed sequences themselves, without padding; a group holds one window at most."""
+    parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))
+    joined = F.aggregate(parts, F.lit(b""), lambda out, part: F.concat(out, part["ids"]))
+    return packed.groupBy("sequence_id").agg(joined.alias("ids"))
+
+
+def digest(packed: DataFrame) -> DataFrame:
+    """The packed pieces with the crc32 of their ids, as unsigned 32-bit numbers, in place of the ids."""
+    names = [c for c in packed.columns if c != "ids"]
+
+    def run(batches):
+        for batch in batches:
+            lengths = batch.column("length").to_pylist()
+            sums = [zlib.crc32(np.frombuffer(raw.as_buffer(), f"<u{raw.as_buffer().size // n}").astype("<u4")) for raw, n in zip(batch.column("ids"), lengths)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(sums, pa.int64())], names=[*names, "ids_crc32"])
+
+    return packed.mapInArrow(run, ", ".join([*[f"{c} long" for c in names], "ids_crc32 long"]))

@@ -31,7 +31,7 @@ def op2_source_mix(spark, sf_dir):
 @query
 def op8_pack_windows(spark, sf_dir):
     """Documents packed into windows of 2,048 tokens by non-negative least squares."""
-    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), vocabulary()))
 
 
 @query

@@ -6,10 +6,11 @@ import os
 import re
 from array import array
 from collections.abc import Iterable
+from itertools import accumulate
 
 from tillwise.llm.shared import worker_state
 
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 700_000
 LONGEST_CACHED = 64
 # A space that follows other white space belongs to a run the vocabulary's pattern treats as a whole.
 RUN = re.compile(r"\s ")
@@ -22,12 +23,20 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The byte behind every character of byte-level vocabularies: printable ones stand for themselves, the rest count up from 256."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
 class Encoder:
     """Little-endian 32-bit ids of texts.
 
     The byte-level pattern always starts a new piece at a space that follows a
     non-space, so a text is cut there and each distinct cut piece is encoded by
-    the library once while it is in the cache. Texts where a space follows other
+    the library once while it is in the cache. New pieces of a text are encoded
+    as one text and told apart by their bytes. Texts where a space follows other
     white space are encoded whole. The cache is bounded and only saves time.
     """
 
@@ -37,26 +46,49 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        alphabet = byte_alphabet()
+        self.lengths = [0] * self.tokenizer.get_vocab_size()
+        for token, i in self.tokenizer.get_vocab().items():
+            self.lengths[i] = len(token) if all(c in alphabet for c in token) else len(token.encode())
 
-    def _fresh(self, pieces: Iterable[str]) -> dict[str, bytes]:
-        pieces = list(pieces)
+    def _each(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return {p: array("I", e.ids).tobytes() for p, e in zip(pieces, found)}
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _fresh(self, pieces: Iterable[str]) -> dict[str, bytes]:
+        """The ids of pieces, each as if encoded alone."""
+        together, alone = [], []
+        for p in pieces:
+            (together if p[:1] == " " and not p[-1].isspace() else alone).append(p)
+        out = dict(zip(alone, self._each(alone)))
+        if together:
+            ids = self.tokenizer.encode_batch_fast(["".join(together)], add_special_tokens=False)[0].ids
+            starts = dict(zip(accumulate(map(self.lengths.__getitem__, ids), initial=0), range(len(ids) + 1)))
+            ends = [*map(starts.get, accumulate(len(p.encode()) for p in together))]
+            if None in ends:  # another kind of vocabulary: its tokens are not the text's bytes
+                return out | dict(zip(together, self._each(together)))
+            raw, at = array("I", ids).tobytes(), 0
+            for p, end in zip(together, ends):
+                out[p] = raw[at : 4 * end]
+                at = 4 * end
+        return out
 
     def encode(self, text: str) -> bytes:
         if "\0" in text or RUN.search(text):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         pieces = text.replace(" ", "\0 ").split("\0")
         cache = self.cache
-        missing = [p for p in set(pieces) if p not in cache]
-        if not missing:
+        try:
             return b"".join(map(cache.__getitem__, pieces))
-        fresh = self._fresh(missing)
+        except KeyError:
+            pass
+        fresh = self._fresh({p for p in pieces if p not in cache})
+        out = b"".join([fresh[p] if p in fresh else cache[p] for p in pieces])
         room = CACHE_ENTRIES - len(cache)
         if room > 0:
-            keep = [p for p in missing if len(p) <= LONGEST_CACHED][:room]
+            keep = [p for p in fresh if len(p) <= LONGEST_CACHED][:room]
             cache.update((p, fresh[p]) for p in keep)
-        return b"".join([fresh[p] if p in fresh else cache[p] for p in pieces])
+        return out
 
 
 def encoder(path: str) -> Encoder:
