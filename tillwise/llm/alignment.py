@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tillwise.llm.shared import stage_table, worker_state
 from tillwise.llm.tokens import byte_alphabet
 
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 180_000
 LONGEST_CACHED = 64
 RUN = re.compile(r"\s ")
 SPACE = "▁"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -10,10 +11,15 @@ from itertools import accumulate
 
 from tillwise.llm.shared import worker_state
 
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 500_000
 LONGEST_CACHED = 64
 # A space that follows other white space belongs to a run the vocabulary's pattern treats as a whole.
 RUN = re.compile(r"\s ")
+# So does a line end beside other white space.
+BREAK = re.compile(r"\s\n|\n\s")
+CLOSING = ".,;:!?"
+# Below this lie the Latin, Greek and Cyrillic letters, on which all versions of Unicode agree.
+BEYOND = "\u0530"
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -33,11 +39,12 @@ def byte_alphabet() -> dict[str, int]:
 class Encoder:
     """Little-endian 32-bit ids of texts.
 
-    The byte-level pattern always starts a new piece at a space that follows a
-    non-space, so a text is cut there and each distinct cut piece is encoded by
-    the library once while it is in the cache. New pieces of a text are encoded
-    as one text and told apart by their bytes. Texts where a space follows other
-    white space are encoded whole. The cache is bounded and only saves time.
+    The byte-level pattern always starts a new piece at a space that follows a non-space, and at
+    and after a line end between two other characters, so a text is cut there and each distinct cut piece is
+    encoded by the library once while it is in the cache. In a piece of letters and closing
+    punctuation the pattern parts the two, so its letters are looked up by themselves. Other new pieces of a
+    text are encoded as one text and told apart by their bytes. Texts where a space follows
+    other white space are encoded whole. The cache is bounded and only saves time.
     """
 
     def __init__(self, path: str):
@@ -45,22 +52,44 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.cache: dict[str, bytes] = {}
         alphabet = byte_alphabet()
+        self.shown = {b: c for c, b in alphabet.items()}
         self.lengths = [0] * self.tokenizer.get_vocab_size()
         for token, i in self.tokenizer.get_vocab().items():
             self.lengths[i] = len(token) if all(c in alphabet for c in token) else len(token.encode())
+        settings = json.loads(self.tokenizer.to_str())
+        first = settings.get("pre_tokenizer") or {}
+        self.letters_apart = settings.get("normalizer") is None and first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space")
 
     def _each(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _letters(self, stem: str) -> bytes:
+        """The ids of letters, with or without a space before them: one unit of the pattern."""
+        ids = self.cache.get(stem)
+        if ids is None:
+            unit = stem.encode().decode("latin-1").translate(self.shown)
+            ids = array("I", [t.id for t in self.model.tokenize(unit)]).tobytes()
+            if len(self.cache) < CACHE_ENTRIES and len(stem) <= LONGEST_CACHED:
+                self.cache[stem] = ids
+        return ids
+
     def _fresh(self, pieces: Iterable[str]) -> dict[str, bytes]:
         """The ids of pieces, each as if encoded alone."""
-        together, alone = [], []
+        together, alone, out = [], [], {}
         for p in pieces:
+            if self.letters_apart:
+                stem = p.rstrip(CLOSING)
+                if (stem.isalpha() or (stem[:1] == " " and stem[1:].isalpha())) and max(stem) < BEYOND:
+                    tail = p[len(stem) :]
+                    out[p] = self._letters(stem) + (self._closing(tail) if tail else b"")
+                    continue
             (together if p[:1] == " " and not p[-1].isspace() else alone).append(p)
-        out = dict(zip(alone, self._each(alone)))
+        if alone:
+            out.update(zip(alone, self._each(alone)))
         if together:
             ids = self.tokenizer.encode_batch_fast(["".join(together)], add_special_tokens=False)[0].ids
             starts = dict(zip(accumulate(map(self.lengths.__getitem__, ids), initial=0), range(len(ids) + 1)))
@@ -73,10 +102,21 @@ class Encoder:
                 at = 4 * end
         return out
 
+    def _closing(self, tail: str) -> bytes:
+        ids = self.cache.get(tail)
+        if ids is None:
+            ids = self._each([tail])[0]
+            if len(self.cache) < CACHE_ENTRIES and len(tail) <= LONGEST_CACHED:
+                self.cache[tail] = ids
+        return ids
+
     def encode(self, text: str) -> bytes:
         if "\0" in text or RUN.search(text):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        pieces = text.replace(" ", "\0 ").split("\0")
+        marked = text.replace(" ", "\0 ")
+        if self.letters_apart and "\n" in text and not BREAK.search(text):
+            marked = marked.replace("\n", "\0\n\0")
+        pieces = marked.split("\0")
         cache = self.cache
         try:
             return b"".join(map(cache.__getitem__, pieces))
