@@ -114,6 +114,16 @@ def test_fuzzy_lines(spark):
     assert fuzzylines.dedup(docs.limit(0)).count() == 0
 
 
+def test_fuzzy_lines_pass_any_column_name(spark):
+    names = "_row _late _n _none _text _kept _h pos line first n id row component lang".split()
+    rows = [(i, t, *[f"{c}{i}" for c in names], 7) for i, t in enumerate(["a line of text here\nanother line", "a line of text here", None, ""])]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, {', '.join(f'{c} string' for c in names)}, n_lines int")
+    found = {r["doc_id"]: r for r in fuzzylines.dedup(docs).collect()}
+    assert {i: r["text"] for i, r in found.items()} == {0: rows[0][1], 1: "", 2: None, 3: ""}
+    assert all(r[c] == f"{c}{i}" for i, r in found.items() for c in names)
+    assert found[0]["n_lines"] == 2 and found[1]["n_dropped"] == 1
+
+
 def test_fuzzy_short_lines(spark):
     draw = random.Random(3)
     text = lambda n: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=n))

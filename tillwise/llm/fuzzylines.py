@@ -29,6 +29,10 @@ ROWS = 4
 BANDS = 12
 # Lines of up to so many shingles have exact keys too. At 0.8 a line of 20 can match one of 25, so no pair whose shorter line has up to 20 is lost.
 SHORT = 25
+SIGMAS = 4
+# Hash buckets whose counts order the shingles, and the share of the lines (one in so many) they are counted on.
+ORDER_BUCKETS = 1 << 16
+SAMPLED = 16
 
 
 def shingles(line: Column, chars: int = CHARS) -> Column:
@@ -68,7 +72,8 @@ def exact_keys(hashes: Column, jaccard: float = JACCARD) -> Column:
 
 
 def distinct_lines(rows: DataFrame, chars: int = CHARS, bands: int = BANDS, per_band: int = ROWS, jaccard: float = JACCARD) -> DataFrame:
-    """(id, line, first, bands): every different line with a word, its first place and its band keys.
+    """(id, line, first, n, sketch, bands): every different line with a word, its first place, its number of
+    different shingles, a byte of each signature value (null up to SHORT shingles) and its band keys.
 
     Equal lines are combined before the shuffle. A line's hashes are computed and sorted once; sorting
     them again with the points among them tells how many hashes lie before each point, so the
@@ -83,18 +88,37 @@ def distinct_lines(rows: DataFrame, chars: int = CHARS, bands: int = BANDS, per_
     placed = hashed.withColumn("_s", F.sort_array(F.concat("_h", F.array(*[F.lit(p) for p in points]))))
     # Before point i in the common order lie i points; the other entries are hashes. Past the last one the circle starts again.
     after = [F.get("_h", ((F.array_position("_s", F.lit(p)) - 1 - i) % F.size("_h")).cast("int")) for i, p in enumerate(points)]
-    dealt = _dealt(len(points))
-    keys = [F.xxhash64(F.lit(b), *[after[i] for i in dealt[b * per_band : (b + 1) * per_band]]) for b in range(bands)]
     # A lambda, here on the id, keeps this projection out of whole-stage code: there all values would make up
     # one method, too large for the JVM to compile; outside it they are split into small ones.
-    return stage_table(placed.select(let(F.col("id"), lambda x: x).alias("id"), "line", "first", F.concat(F.array(*keys), exact_keys(F.col("_d"), jaccard)).alias("bands")))
+    signed = placed.select(let(F.col("id"), lambda x: x).alias("id"), "line", "first", F.size("_d").alias("n"), F.array(*after).alias("_v"), exact_keys(F.col("_d"), jaccard).alias("_e"))
+    dealt = _dealt(len(points))
+    keys = [F.xxhash64(F.lit(b), *[F.get("_v", F.lit(i)) for i in dealt[b * per_band : (b + 1) * per_band]]) for b in range(bands)]
+    sketch = F.when(F.col("n") > SHORT, F.transform("_v", lambda x: (x.bitwiseAND(F.lit(255)) - 128).cast("tinyint"))).alias("sketch")
+    return stage_table(signed.select("id", "line", "first", "n", sketch, F.concat(F.array(*keys), "_e").alias("bands")))
+
+
+def may_reach(jaccard: float) -> Column:
+    """Whether lines with sizes n, _n and sketches sketch, _sketch may be that similar.
+
+    Sizes rule pairs out for certain. Equal signature values of a pair at the least similarity are a binomial
+    count; pairs more than SIGMAS deviations below its mean are ruled out, less than one in 10,000 of such pairs. Lines
+    without a sketch are never ruled out by it.
+    """
+    sizes = F.least("n", "_n") >= F.greatest("n", "_n") * jaccard - 1e-9
+    equal = F.size(F.filter(F.zip_with("sketch", "_sketch", lambda x, y: x == y), lambda same: same))
+    of = F.size("sketch")
+    least = of * jaccard - SIGMAS * F.sqrt(of * (jaccard * (1 - jaccard)))
+    return sizes & (F.col("sketch").isNull() | F.col("_sketch").isNull() | (equal >= least))
 
 
 def verified(pairs: DataFrame, lines: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> DataFrame:
-    """The pairs (a, b) whose exact Jaccard similarity of shingle sets is high enough."""
-    left = lines.select(F.col("id").alias("a"), F.col("line").alias("_x"))
-    right = lines.select(F.col("id").alias("b"), F.col("line").alias("_y"))
-    met = pairs.join(left, "a").join(right, "b")
+    """The pairs (a, b) whose exact Jaccard similarity of shingle sets is high enough.
+
+    Shingles are taken of those pairs only that their sizes and sketches leave.
+    """
+    left = lines.select(F.col("id").alias("a"), F.col("line").alias("_x"), "n", "sketch")
+    right = lines.select(F.col("id").alias("b"), F.col("line").alias("_y"), F.col("n").alias("_n"), F.col("sketch").alias("_sketch"))
+    met = pairs.join(left, "a").join(right, "b").where(may_reach(jaccard))
     sets = met.select("a", "b", F.array_distinct(shingles(F.col("_x"), chars)).alias("_x"), F.array_distinct(shingles(F.col("_y"), chars)).alias("_y"))
     both = sets.withColumn("_both", F.size(F.array_intersect("_x", "_y")))
     return both.where(F.col("_both") >= jaccard * (F.size("_x") + F.size("_y") - F.col("_both"))).select("a", "b")
@@ -132,25 +156,34 @@ def links(lines: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> Dat
 def rare_pairs(members: DataFrame, lines: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> DataFrame:
     """Pairs (a, b) of members in different components that may reach the similarity; none that does is missing.
 
-    Two sets that similar share one of the rarest n - ceil(jaccard * n) + 1 shingles of each. Shingles
-    that one member alone has use up these places and match nothing, so lines with much text
-    of their own meet no other line, however many share their bucket.
+    In any fixed order of all shingles, two sets that similar share one of the first n - ceil(jaccard * n) + 1 of
+    each, and at the first that they share enough must be left after it in both. The order goes from shingles
+    whose hash bucket is rare in a repeatable sample of the lines to common ones, so lines with text of their own
+    meet few others; only the first shingles of a line ever leave its task.
     """
-    texts = members.join(lines.select("id", "line"), "id")
     hashes = F.array_distinct(F.transform(shingles(F.col("line"), chars), lambda x: F.xxhash64(x)))
-    sets = texts.select("id", "component", hashes.alias("_h")).select("id", "component", F.size("_h").alias("n"), "_h")
-    held = stage_table(sets.select("id", "component", "n", F.explode("_h").alias("shingle")))
-    often = held.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1")
-    common = held.join(often, "shingle").groupBy("id", "component", "n")
-    common = common.agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("_c"))
-    places = F.col("n") - F.ceil(F.col("n") * jaccard - 1e-9) + 1 - (F.col("n") - F.size("_c"))
-    rare = common.where(places > 0).select("id", "component", "n", F.explode(F.slice("_c", F.lit(1), places.cast("int"))).alias("_r"))
-    rare = stage_table(rare.select("id", "component", "n", F.col("_r.shingle").alias("shingle")))
+    texts = members.join(lines.select("id", "line"), "id")
+    often = _frequencies(texts.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).select(F.explode(hashes).alias("shingle")))
+    ranked = F.sort_array(F.transform("_h", lambda h: F.struct(F.get(F.col("_often"), F.pmod(h, F.lit(ORDER_BUCKETS)).cast("int")).alias("f"), h.alias("h"))))
+    sets = texts.select("id", "component", hashes.alias("_h"), often.alias("_often"))
+    first = F.slice(ranked, F.lit(1), (F.size("_h") - F.ceil(F.size("_h") * jaccard - 1e-9) + 1).cast("int"))
+    rare = sets.select("id", "component", F.size("_h").alias("n"), F.posexplode(first).alias("at", "_r"))
+    rare = stage_table(rare.select("id", "component", "n", "at", F.col("_r.h").alias("shingle")))
     mixed = rare.groupBy("shingle").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b")
     met = rare.join(mixed.select("shingle"), "shingle", "left_semi")
-    other = met.select("shingle", F.col("id").alias("b"), F.col("component").alias("_other"), F.col("n").alias("_n"))
-    across = met.withColumnRenamed("id", "a").join(other, "shingle").where(F.col("component") < F.col("_other"))
-    return across.where(F.least("n", "_n") >= F.greatest("n", "_n") * jaccard - 1e-9).select("a", "b").distinct()
+    other = met.select("shingle", F.col("id").alias("b"), F.col("component").alias("_other"), F.col("n").alias("_n"), F.col("at").alias("_at"))
+    needed = F.ceil((F.col("n") + F.col("_n")) * (jaccard / (1 + jaccard)) - 1e-9)
+    left = F.least(F.col("n") - F.col("at"), F.col("_n") - F.col("_at"))
+    fits = (F.col("component") < F.col("_other")) & (F.least("n", "_n") >= F.greatest("n", "_n") * jaccard - 1e-9) & (left >= needed)
+    return met.withColumnRenamed("id", "a").join(other, "shingle").where(fits).select("a", "b").distinct()
+
+
+def _frequencies(shingles_seen: DataFrame) -> Column:
+    """How often each of ORDER_BUCKETS hash buckets occurs, as one array that is worked out once."""
+    counts = shingles_seen.groupBy(F.pmod("shingle", F.lit(ORDER_BUCKETS)).alias("id")).agg(F.count("*").alias("times"))
+    every = shingles_seen.sparkSession.range(ORDER_BUCKETS).join(counts, "id", "left")
+    listed = F.sort_array(F.collect_list(F.struct("id", F.coalesce("times", F.lit(0)).alias("times"))))
+    return every.agg(F.transform(listed, lambda x: x["times"])).scalar()
 
 
 def dedup(docs: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> DataFrame:
@@ -159,22 +192,24 @@ def dedup(docs: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> Data
     First is the smallest doc_id (rows without one come last), then the first row and line.
     Lines without a word are kept as they are and never compared; a null text stays null; a text
     that loses all its lines becomes empty; repeated rows count as different documents,
-    so the later ones lose their lines; other columns pass through; an empty table gives no rows.
-    Adds n_lines and n_dropped.
+    so the later ones lose their lines; other columns pass through whatever their names; an empty table gives no rows.
+    Adds n_lines and n_dropped, in place of columns of these names.
     """
-    names = docs.columns
-    rows = numbered(docs)
+    # The caller's columns travel in one struct, so no name of theirs can meet one of these.
+    rows = numbered(docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row")))
     lines = distinct_lines(rows, chars, jaccard=jaccard)
     member = lines.select("id", "first").join(links(lines, jaccard, chars), F.col("id") == F.col("node"))
     least = member.groupBy("component").agg(F.min("first").alias("least"))
     lost = member.join(least, "component").where(F.col("first") != F.col("least")).select("id")
-    kept = lines.join(lost, "id", "left_anti").select(F.col("first._row").alias("_row"), F.col("first.pos").alias("pos"), "line", F.lit(1).alias("spoken"))
-    blank = split_lines(rows).where(~F.col("line").rlike(WORD)).select("_row", "pos", "line", F.lit(0).alias("spoken"))
+    kept = lines.join(lost, "id", "left_anti").select(F.col("first._row").alias("_row"), F.col("first.pos").alias("pos"), "line")
+    blank = split_lines(rows).where(~F.col("line").rlike(WORD)).select("_row", "pos", "line")
     built = kept.unionByName(blank).groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("_kept"))
     built = built.select("_row", F.array_join(F.transform("_kept", lambda x: x["line"]), "\n").alias("_text"), F.size("_kept").alias("_n"))
     n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.regexp_count("text", F.lit("\n")) + 1)
     # The long texts do not travel again: only whether there was one and how many lines it had.
-    slim = rows.select("_row", *[c for c in names if c != "text"], F.col("text").isNull().alias("_none"), n.alias("n_lines"))
+    slim = rows.select("_row", "row", F.col("text").isNull().alias("_none"), n.alias("_lines"))
     out = slim.join(built, "_row", "left")
     text = F.when(~F.col("_none"), F.coalesce("_text", F.lit(""))).alias("text")
-    return out.select(*[text if c == "text" else F.col(c) for c in names], F.col("n_lines"), (F.col("n_lines") - F.coalesce("_n", F.lit(0))).alias("n_dropped"))
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    dropped = (F.col("_lines") - F.coalesce("_n", F.lit(0))).alias("n_dropped")
+    return out.select(*[text if c == "text" else F.col("row")[c].alias(c) for c in names], F.col("_lines").alias("n_lines"), dropped)
