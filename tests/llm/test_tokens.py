@@ -1,6 +1,7 @@
 """Token encoding, packing and the id store against the library and plain loops."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tillwise.llm import idstore, packing
-from tillwise.llm.tokens import Encoder, vocabulary
+from tillwise.llm.tokens import RARE_WHITE, Encoder, vocabulary
 
 PATH = vocabulary()
 TEXTS = [
@@ -52,6 +53,11 @@ def test_encoder_any_white_space(text):
     assert ids_of(ENCODER.encode(text)) == ENCODER.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_rare_white_space_is_all_but_spaces_and_line_ends():
+    white = {chr(i) for i in range(0x110000) if re.match(r"\s", chr(i))}
+    assert {c for c in white if RARE_WHITE.match(c)} == white - {" ", "\n"}
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="abé ß \nжΩ中'.,!?;:-7", max_size=40))
 def test_encoder_letters_and_punctuation(text):

@@ -18,7 +18,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.llm.shared import WORD, components, stage_table
+from tillwise.llm.shared import STAGED, WORD, components, discard, read_by, stage_table
 from tillwise.llm.statistics import let
 
 CHARS = 8
@@ -52,7 +52,7 @@ def _dealt(n: int, seed: int = 12) -> list[int]:
 
 def numbered(docs: DataFrame) -> DataFrame:
     """The rows with a number each (_row), written down so that it never changes."""
-    return stage_table(docs.withColumn("_row", F.monotonically_increasing_id()))
+    return stage_table(docs.withColumn("_row", F.monotonically_increasing_id()), "zstd")
 
 
 def split_lines(rows: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def distinct_lines(rows: DataFrame, chars: int = CHARS, bands: int = BANDS, per_
     dealt = _dealt(len(points))
     keys = [F.xxhash64(F.lit(b), *[F.get("_v", F.lit(i)) for i in dealt[b * per_band : (b + 1) * per_band]]) for b in range(bands)]
     sketch = F.when(F.col("n") > SHORT, F.transform("_v", lambda x: (x.bitwiseAND(F.lit(255)) - 128).cast("tinyint"))).alias("sketch")
-    return stage_table(signed.select("id", "line", "first", "n", sketch, F.concat(F.array(*keys), "_e").alias("bands")))
+    return stage_table(signed.select("id", "line", "first", "n", sketch, F.concat(F.array(*keys), "_e").alias("bands")), "zstd")
 
 
 def may_reach(jaccard: float) -> Column:
@@ -132,6 +132,7 @@ def links(lines: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> Dat
     near copies in linear work. Lines still in different components of one bucket then meet where they
     share a rare shingle, which loses no link and does not pair up the bucket.
     """
+    made = len(STAGED)
     placed = lines.select("id", F.explode("bands").alias("key"))
     shared = placed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("n > 1")
     shared = stage_table(shared)
@@ -147,10 +148,12 @@ def links(lines: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> Dat
     member = member.select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = member.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b"))
     open_ = stage_table(member.join(mixed.where(F.col("_a") != F.col("_b")).select("key"), "key", "left_semi"))
-    if open_.isEmpty():
-        return found
-    more = verified(rare_pairs(open_.select("id", "component").distinct(), lines, jaccard, chars), lines, jaccard, chars)
-    return components(near.unionByName(more))
+    if not open_.isEmpty():
+        more = verified(rare_pairs(open_.select("id", "component").distinct(), lines, jaccard, chars), lines, jaccard, chars)
+        found = components(near.unionByName(more))
+    # The components lie in the last table; all others made here have been read for the last time.
+    discard(lines.sparkSession, sorted(set(STAGED[made:]) - read_by(found)))
+    return found
 
 
 def rare_pairs(members: DataFrame, lines: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> DataFrame:

@@ -20,17 +20,36 @@ def new_folder(df: DataFrame) -> str:
     return f"{shared_folder(df.sparkSession).rstrip('/')}/tillwise-{uuid.uuid4().hex}"
 
 
-def stage_table(df: DataFrame) -> DataFrame:
+STAGED: list[str] = []  # the folders of this session's staged tables, in order
+
+
+def stage_table(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     Cuts the lineage, runs the work above once for several readers, and lets a
     lost executor's share be read again by any other.
     """
     path = new_folder(df)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def read_by(df: DataFrame) -> set[str]:
+    """The staged tables that a frame reads."""
+    files = df.inputFiles()
+    return {folder for folder in STAGED if any(folder.split("/")[-1] in file for file in files)}
+
+
+def discard(spark, folders: list[str]) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if folder in STAGED:
+            STAGED.remove(folder)
+
+
 def worker_state() -> dict:
     """A dict that lives as long as the Python worker, whatever task runs in it."""
     name = "_tillwise_worker_state"

@@ -17,6 +17,8 @@ LONGEST_CACHED = 64
 RUN = re.compile(r"\s ")
 # So does a line end beside other white space.
 BREAK = re.compile(r"\s\n|\n\s")
+# White space other than spaces and line ends; without it, plain searches tell both.
+RARE_WHITE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 CLOSING = ".,;:!?"
 # Below this lie the Latin, Greek and Cyrillic letters, on which all versions of Unicode agree.
 BEYOND = "\u0530"
@@ -111,10 +113,11 @@ class Encoder:
         return ids
 
     def encode(self, text: str) -> bytes:
-        if "\0" in text or RUN.search(text):
+        rare = RARE_WHITE.search(text)
+        if "\0" in text or (RUN.search(text) if rare else "  " in text or "\n " in text):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         marked = text.replace(" ", "\0 ")
-        if self.letters_apart and "\n" in text and not BREAK.search(text):
+        if self.letters_apart and "\n" in text and not (BREAK.search(text) if rare else "\n\n" in text or " \n" in text):
             marked = marked.replace("\n", "\0\n\0")
         pieces = marked.split("\0")
         cache = self.cache
