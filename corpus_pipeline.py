@@ -8,12 +8,15 @@ or leaves out documents so that sources come near their target weights; packing
 from pyspark.sql import functions as F
 
 from tillwise.llm import fuzzylines, mixing, packing, simhash, toxicity
-from tillwise.llm.shared import stage_table
+from tillwise.llm.shared import STAGED, discard, stage_table
 from tillwise.llm.tokens import vocabulary
 
 
 def toxic_documents(spark, docs, sf_dir):
-    """The documents that the toxicity classifier, trained on this input, does not reject."""
+    """The documents that the toxicity classifier, trained on this input, does not reject.
+
+    Null and empty texts are scored as empty; repeated rows are judged each for itself; other columns pass through.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.reject(docs, toxicity.fit(docs, labels))
 
@@ -40,16 +43,39 @@ def source_mix(spark, docs, sf_dir):
 
 
 def packed(spark, docs, sf_dir):
-    """The pieces of all documents with their sequences."""
+    """The pieces of all documents, ids included, with their sequences.
+
+    Copies that the mix made share a doc_id and are told apart by row_id. A null text gives the end id alone.
+    """
     return packing.pack(docs, vocabulary())
 
 
+_behind: list[str] = []  # what the stage before staged
+
+
+def _tidy(stage):
+    """The stage, which first deletes the tables that the stage before it staged for itself.
+
+    A stage is handed the written result of the one before, so nothing reads those any more.
+    """
+
+    def run(spark, docs, sf_dir):
+        discard(spark, list(_behind))
+        made = len(STAGED)
+        out = stage(spark, docs, sf_dir)
+        _behind[:] = STAGED[made:]
+        return out
+
+    run.__name__, run.__doc__ = stage.__name__, stage.__doc__
+    return run
+
+
 STAGES = [
-    ("toxicity", toxic_documents),
-    ("line_dedup", line_dedup),
-    ("near_dedup", near_dedup),
-    ("source_mix", source_mix),
-    ("packing", packed),
+    ("toxicity", _tidy(toxic_documents)),
+    ("line_dedup", _tidy(line_dedup)),
+    ("near_dedup", _tidy(near_dedup)),
+    ("source_mix", _tidy(source_mix)),
+    ("packing", _tidy(packed)),
 ]
 # Trained scores, signatures and encodings have no SQL form; tests/llm compares with plain versions.
 ORACLE_SQL = None
