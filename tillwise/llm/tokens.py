@@ -6,12 +6,10 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterable
-from itertools import accumulate
 
 from tillwise.llm.shared import worker_state
 
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 650_000
 LONGEST_CACHED = 64
 # A space that follows other white space belongs to a run the vocabulary's pattern treats as a whole.
 RUN = re.compile(r"\s ")
@@ -38,15 +36,27 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class Pieces(dict):
+    """The ids of pieces seen before; a new one is encoded, and kept while there is room."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encode(piece)
+        if len(self) < CACHE_ENTRIES and len(piece) <= LONGEST_CACHED:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Little-endian 32-bit ids of texts.
 
     The byte-level pattern always starts a new piece at a space that follows a non-space, and at
     and after a line end between two other characters, so a text is cut there and each distinct cut piece is
     encoded by the library once while it is in the cache. In a piece of letters and closing
-    punctuation the pattern parts the two, so its letters are looked up by themselves. Other new pieces of a
-    text are encoded as one text and told apart by their bytes. Texts where a space follows
-    other white space are encoded whole. The cache is bounded and only saves time.
+    punctuation the pattern parts the two, so its letters are looked up by themselves. Texts where a space
+    follows other white space are encoded whole. The cache is bounded and only saves time.
     """
 
     def __init__(self, path: str):
@@ -55,83 +65,34 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.cache: dict[str, bytes] = {}
-        alphabet = byte_alphabet()
-        self.shown = {b: c for c, b in alphabet.items()}
-        self.lengths = [0] * self.tokenizer.get_vocab_size()
-        for token, i in self.tokenizer.get_vocab().items():
-            self.lengths[i] = len(token) if all(c in alphabet for c in token) else len(token.encode())
+        self.cache = Pieces(self._piece)
+        self.shown = {b: c for c, b in byte_alphabet().items()}
         settings = json.loads(self.tokenizer.to_str())
         first = settings.get("pre_tokenizer") or {}
         self.letters_apart = settings.get("normalizer") is None and first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space")
 
-    def _each(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
-
-    def _letters(self, stem: str) -> bytes:
-        """The ids of letters, with or without a space before them: one unit of the pattern."""
-        ids = self.cache.get(stem)
-        if ids is None:
-            unit = stem.encode().decode("latin-1").translate(self.shown)
-            ids = array("I", [t.id for t in self.model.tokenize(unit)]).tobytes()
-            if len(self.cache) < CACHE_ENTRIES and len(stem) <= LONGEST_CACHED:
-                self.cache[stem] = ids
-        return ids
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _fresh(self, pieces: Iterable[str]) -> dict[str, bytes]:
-        """The ids of pieces, each as if encoded alone."""
-        together, alone, out = [], [], {}
-        for p in pieces:
-            if self.letters_apart:
-                stem = p.rstrip(CLOSING)
-                if (stem.isalpha() or (stem[:1] == " " and stem[1:].isalpha())) and max(stem) < BEYOND:
-                    tail = p[len(stem) :]
-                    out[p] = self._letters(stem) + (self._closing(tail) if tail else b"")
-                    continue
-            (together if p[:1] == " " and not p[-1].isspace() else alone).append(p)
-        if alone:
-            out.update(zip(alone, self._each(alone)))
-        if together:
-            ids = self.tokenizer.encode_batch_fast(["".join(together)], add_special_tokens=False)[0].ids
-            starts = dict(zip(accumulate(map(self.lengths.__getitem__, ids), initial=0), range(len(ids) + 1)))
-            ends = [*map(starts.get, accumulate(len(p.encode()) for p in together))]
-            if None in ends:  # another kind of vocabulary: its tokens are not the text's bytes
-                return out | dict(zip(together, self._each(together)))
-            raw, at = array("I", ids).tobytes(), 0
-            for p, end in zip(together, ends):
-                out[p] = raw[at : 4 * end]
-                at = 4 * end
-        return out
-
-    def _closing(self, tail: str) -> bytes:
-        ids = self.cache.get(tail)
-        if ids is None:
-            ids = self._each([tail])[0]
-            if len(self.cache) < CACHE_ENTRIES and len(tail) <= LONGEST_CACHED:
-                self.cache[tail] = ids
-        return ids
+    def _piece(self, piece: str) -> bytes:
+        if self.letters_apart:
+            stem = piece.rstrip(CLOSING)
+            if (stem.isalpha() or (stem[:1] == " " and stem[1:].isalpha())) and max(stem) < BEYOND:
+                if stem != piece:
+                    return self.cache[stem] + self.cache[piece[len(stem) :]]
+                # Letters, with or without a space before them, are one unit of the pattern.
+                unit = stem.encode().decode("latin-1").translate(self.shown)
+                return array("I", [t.id for t in self.model.tokenize(unit)]).tobytes()
+        return self._whole(piece)
 
     def encode(self, text: str) -> bytes:
         rare = RARE_WHITE.search(text)
         if "\0" in text or (RUN.search(text) if rare else "  " in text or "\n " in text):
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            return self._whole(text)
         marked = text.replace(" ", "\0 ")
         if self.letters_apart and "\n" in text and not (BREAK.search(text) if rare else "\n\n" in text or " \n" in text):
             marked = marked.replace("\n", "\0\n\0")
-        pieces = marked.split("\0")
-        cache = self.cache
-        try:
-            return b"".join(map(cache.__getitem__, pieces))
-        except KeyError:
-            pass
-        fresh = self._fresh({p for p in pieces if p not in cache})
-        out = b"".join([fresh[p] if p in fresh else cache[p] for p in pieces])
-        room = CACHE_ENTRIES - len(cache)
-        if room > 0:
-            keep = [p for p in fresh if len(p) <= LONGEST_CACHED][:room]
-            cache.update((p, fresh[p]) for p in keep)
-        return out
+        return b"".join(map(self.cache.__getitem__, marked.split("\0")))
 
 
 def encoder(path: str) -> Encoder:
