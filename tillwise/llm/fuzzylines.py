@@ -1,11 +1,13 @@
 """Line dedup by MinHash: near-equal lines of the whole corpus form components, one line of each stays.
 
-Distinct lines are hashed to character shingles, seen as places on a circle of 64-bit numbers. A
+Distinct lines are hashed to character shingles, seen as places on a circle of 52-bit numbers. A
 signature value is the first hash at or after a fixed point of the circle: the least hash after a turn
 by that point, which agrees for two lines as often as their Jaccard similarity says. One sort of a line's
 hashes gives all its values. Bands of values are the join keys; lines of few shingles, whose values fail
 together, have their first hashes as keys too, which miss no pair. Candidates are verified by exact
-Jaccard, and components come from distributed union-find. All of it is DataFrame functions.
+Jaccard, and components come from distributed union-find. Joins, groups and components are DataFrame
+functions; shingles are hashed and compared in Arrow batches, because taking them by column functions
+costs more than the whole operator may (README).
 
 One character changed inside a line changes up to CHARS shingles on either side of the comparison, so with 8
 characters and 0.8 lines under 79 characters that differ in one inner character are not near copies.
@@ -15,11 +17,13 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tillwise.llm.shared import STAGED, WORD, components, discard, read_by, stage_table
-from tillwise.llm.statistics import let
+from tillwise.llm.shared import STAGED, WORD, components, discard, read_by, stage_table, sweep
 
 CHARS = 8
 JACCARD = 0.8
@@ -30,19 +34,27 @@ BANDS = 12
 # Lines of up to so many shingles have exact keys too. At 0.8 a line of 20 can match one of 25, so no pair whose shorter line has up to 20 is lost.
 SHORT = 25
 SIGMAS = 4
+# Buckets of up to so many lines are compared sketch by sketch in one task; lines of larger ones meet by rare shingles.
+CROWD = 256
 # Hash buckets whose counts order the shingles, and the share of the lines (one in so many) they are counted on.
-ORDER_BUCKETS = 1 << 16
+ORDER_BITS = 16
 SAMPLED = 16
+# Hashes have HASH_BITS bits; the bits above them number the lines that are hashed together.
+HASH_BITS = 52
+MASK = np.uint64((1 << HASH_BITS) - 1)
+GROUP_LINES = 1 << (64 - HASH_BITS)
+GROUP_CHARS = 1 << 20
+_FACTORS = [np.uint64(random.Random(k).getrandbits(64) | 1) for k in range(3)]
 
 
-def shingles(line: Column, chars: int = CHARS) -> Column:
+def shingles(line: str, chars: int = CHARS) -> set[str]:
     """All runs of ``chars`` characters; a shorter line is its own only shingle."""
-    return F.when(F.length(line) > chars, F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{chars}}}))"), F.lit(1))).otherwise(F.array(line))
+    return {line[i : i + chars] for i in range(len(line) - chars + 1)} if len(line) > chars else {line}
 
 
 def _points(n: int, seed: int = 11) -> list[int]:
     draw = random.Random(seed)
-    return sorted(draw.getrandbits(64) - (1 << 63) for _ in range(n))
+    return sorted(draw.getrandbits(HASH_BITS) for _ in range(n))
 
 
 def _dealt(n: int, seed: int = 12) -> list[int]:
@@ -50,6 +62,82 @@ def _dealt(n: int, seed: int = 12) -> list[int]:
     return random.Random(seed).sample(range(n), n)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A fixed one-to-one scrambling of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(33))) * _FACTORS[0]
+    x = (x ^ (x >> np.uint64(29))) * _FACTORS[1]
+    return x ^ (x >> np.uint64(32))
+
+
+def _groups(lines: list[str]):
+    """Slices of at most GROUP_LINES lines and GROUP_CHARS characters; a longer line is a slice of its own."""
+    start = total = 0
+    for i, line in enumerate(lines):
+        if i > start and (i - start == GROUP_LINES or total + len(line) > GROUP_CHARS):
+            yield start, i
+            start, total = i, 0
+        total += len(line)
+    if lines:
+        yield start, len(lines)
+
+
+def line_hashes(lines: list[str], chars: int = CHARS) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, starts): the different shingle hashes of line i, ascending, are hashes[starts[i]:starts[i + 1]].
+
+    Every hash carries the number of its line in the bits above HASH_BITS. Lines shorter than a shingle are filled up.
+    """
+    pad = "\0" * (chars - 1)
+    codes = np.frombuffer((pad.join(lines) + pad + "\0").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+    count = np.maximum(lengths - chars + 1, 1)
+    offset = np.cumsum(lengths + chars - 1) - (lengths + chars - 1)
+    line = np.arange(len(lines), dtype=np.uint64) << np.uint64(HASH_BITS)
+    place = np.arange(count.sum()) + np.repeat(offset - (np.cumsum(count) - count), count)
+    n = len(codes) - chars + 1
+    rolled = np.zeros(n, np.uint64)
+    for k in range(chars):
+        rolled = rolled * _FACTORS[2] + codes[k : k + n]
+    found = (_mixed(rolled[place]) & MASK) | np.repeat(line, count)
+    found.sort()
+    found = found[np.append(True, found[1:] != found[:-1])]
+    return found, np.append(np.searchsorted(found, line), len(found))
+
+
+def first_of(n: np.ndarray, jaccard: float) -> np.ndarray:
+    """n - ceil(jaccard * n) + 1: two sets that similar share one of so many first members in any common order."""
+    return n - np.ceil(n * jaccard - 1e-9).astype(np.int64) + 1
+
+
+def _within(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of the entries of consecutive rows that have so many entries."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def signatures(lines: list[str], chars: int, bands: int, per_band: int, jaccard: float):
+    """(n, sketch, keys, offsets): numbers of shingles, a byte of every signature value, and the band keys.
+
+    Lines of up to SHORT shingles have their first hashes, which miss no pair that similar, as keys too.
+    """
+    hashes, starts = line_hashes(lines, chars)
+    n = np.diff(starts)
+    points = np.array(_points(bands * per_band), np.uint64)
+    line = np.arange(len(lines), dtype=np.uint64)[:, None] << np.uint64(HASH_BITS)
+    at = np.searchsorted(hashes, (line | points).ravel()).reshape(len(lines), -1)
+    values = hashes[np.where(at < starts[1:, None], at, starts[:-1, None])] & MASK  # past the last hash the circle starts again
+    dealt = values[:, _dealt(len(points))].reshape(len(lines), bands, per_band)
+    keys = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(lines), bands))
+    for j in range(per_band):
+        keys = _mixed(keys + dealt[:, :, j])
+    exact = np.where(n <= SHORT, first_of(n, jaccard), 0)
+    offsets = np.append(0, np.cumsum(bands + exact))
+    out = np.empty(offsets[-1], np.uint64)
+    out[(offsets[:-1, None] + np.arange(bands)).ravel()] = keys.ravel()
+    row, k = _within(exact)
+    out[offsets[row] + bands + k] = _mixed(~hashes[starts[row] + k] & MASK)
+    return n, (values & np.uint64(255)).astype(np.uint8), out.view(np.int64), offsets
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """The rows with a number each (_row), written down so that it never changes."""
     return stage_table(docs.withColumn("_row", F.monotonically_increasing_id()), "zstd")
@@ -61,67 +149,89 @@ def split_lines(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("text").isNotNull()).select(*head, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
-def exact_keys(hashes: Column, jaccard: float = JACCARD) -> Column:
-    """The first n - ceil(jaccard * n) + 1 of n different sorted hashes: two sets that similar share one of them.
-
-    None for more than SHORT hashes.
-    """
-    n = F.size(hashes)
-    first = F.slice(hashes, F.lit(1), (n - F.ceil(n * jaccard - 1e-9) + 1).cast("int"))
-    return F.when(n <= SHORT, F.transform(first, lambda x: F.xxhash64(F.lit(-1), x))).otherwise(F.array().cast("array<bigint>"))
-
-
 def distinct_lines(rows: DataFrame, chars: int = CHARS, bands: int = BANDS, per_band: int = ROWS, jaccard: float = JACCARD) -> DataFrame:
     """(id, line, first, n, sketch, bands): every different line with a word, its first place, its number of
-    different shingles, a byte of each signature value (null up to SHORT shingles) and its band keys.
+    different shingles, a byte of each signature value and its band keys.
 
-    Equal lines are combined before the shuffle. A line's hashes are computed and sorted once; sorting
-    them again with the points among them tells how many hashes lie before each point, so the
-    signature needs no exchange, no row per shingle and no pass per value.
+    Equal lines are combined before the shuffle. Signatures are taken where the lines are, without an exchange.
     """
     spoken = split_lines(rows).where(F.col("line").rlike(WORD))
     once = spoken.groupBy("line").agg(F.min(F.struct("_late", "doc_id", "_row", "pos")).alias("first"))
-    points = _points(bands * per_band)
-    hashes = F.sort_array(F.transform(shingles(F.col("line"), chars), lambda x: F.xxhash64(x)))
-    hashed = once.select(F.monotonically_increasing_id().alias("id"), "line", "first", hashes.alias("_h"))
-    hashed = hashed.withColumn("_d", F.array_distinct("_h"))
-    placed = hashed.withColumn("_s", F.sort_array(F.concat("_h", F.array(*[F.lit(p) for p in points]))))
-    # Before point i in the common order lie i points; the other entries are hashes. Past the last one the circle starts again.
-    after = [F.get("_h", ((F.array_position("_s", F.lit(p)) - 1 - i) % F.size("_h")).cast("int")) for i, p in enumerate(points)]
-    # A lambda, here on the id, keeps this projection out of whole-stage code: there all values would make up
-    # one method, too large for the JVM to compile; outside it they are split into small ones.
-    signed = placed.select(let(F.col("id"), lambda x: x).alias("id"), "line", "first", F.size("_d").alias("n"), F.array(*after).alias("_v"), exact_keys(F.col("_d"), jaccard).alias("_e"))
-    dealt = _dealt(len(points))
-    keys = [F.xxhash64(F.lit(b), *[F.get("_v", F.lit(i)) for i in dealt[b * per_band : (b + 1) * per_band]]) for b in range(bands)]
-    sketch = F.when(F.col("n") > SHORT, F.transform("_v", lambda x: (x.bitwiseAND(F.lit(255)) - 128).cast("tinyint"))).alias("sketch")
-    return stage_table(signed.select("id", "line", "first", "n", sketch, F.concat(F.array(*keys), "_e").alias("bands")), "zstd")
-
-
-def may_reach(jaccard: float) -> Column:
-    """Whether lines with sizes n, _n and sketches sketch, _sketch may be that similar.
-
-    Sizes rule pairs out for certain. Equal signature values of a pair at the least similarity are a binomial
-    count; pairs more than SIGMAS deviations below its mean are ruled out, less than one in 10,000 of such pairs. Lines
-    without a sketch are never ruled out by it.
+    once = once.select(F.monotonically_increasing_id().alias("id"), "line", "first")
+
+    def run(batches):
+        for batch in batches:
+            lines = batch.column("line").to_pylist()
+            for low, high in _groups(lines):
+                n, sketch, keys, offsets = signatures(lines[low:high], chars, bands, per_band, jaccard)
+                sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(sketch.shape[1]), len(n), [None, pa.py_buffer(sketch.tobytes())])
+                listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys, pa.int64()))
+                columns = [*batch.slice(low, high - low).columns, pa.array(n, pa.int32()), sketch.cast(pa.binary()), listed]
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "n", "sketch", "bands"])
+
+    schema = StructType([*once.schema, *StructType.fromDDL("n int, sketch binary, bands array<bigint>")])
+    return stage_table(once.mapInArrow(run, schema), "zstd")
+
+
+def sizes_fit(jaccard: float) -> Column:
+    """Whether sets of sizes n and _n can be that similar; rules pairs out for certain."""
+    return F.least("n", "_n") >= F.greatest("n", "_n") * jaccard - 1e-9
+
+
+def alike(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, jaccard: float) -> np.ndarray:
+    """Whether lines with sketches x, y and sizes n, m may be that similar.
+
+    Equal signature values of a pair at the least similarity are a binomial count; pairs more than SIGMAS
+    deviations below its mean are ruled out, less than one in 10,000 of such pairs. Pairs with a line of up to SHORT
+    shingles are never ruled out by their sketches.
     """
-    sizes = F.least("n", "_n") >= F.greatest("n", "_n") * jaccard - 1e-9
-    equal = F.size(F.filter(F.zip_with("sketch", "_sketch", lambda x, y: x == y), lambda same: same))
-    of = F.size("sketch")
-    least = of * jaccard - SIGMAS * F.sqrt(of * (jaccard * (1 - jaccard)))
-    return sizes & (F.col("sketch").isNull() | F.col("_sketch").isNull() | (equal >= least))
+    of = x.shape[-1]
+    least = of * jaccard - SIGMAS * np.sqrt(of * jaccard * (1 - jaccard))
+    return (np.minimum(n, m) <= SHORT) | ((x == y).sum(axis=-1) >= least)
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def plausible(pairs: DataFrame, lines: DataFrame, jaccard: float = JACCARD) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches do not rule out; no text moves for it."""
+    left = lines.select(F.col("id").alias("a"), "n", "sketch")
+    right = lines.select(F.col("id").alias("b"), F.col("n").alias("_n"), F.col("sketch").alias("_sketch"))
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                n, m = (batch.column(c).to_numpy() for c in ("n", "_n"))
+                keep = alike(_sketches(batch.column("sketch")), _sketches(batch.column("_sketch")), n, m, jaccard)
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    met = pairs.join(left, "a").join(right, "b").where(sizes_fit(jaccard))
+    return met.select("a", "b", "n", "_n", "sketch", "_sketch").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, lines: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> DataFrame:
-    """The pairs (a, b) whose exact Jaccard similarity of shingle sets is high enough.
+    """The pairs (a, b) whose exact Jaccard similarity of shingle sets is high enough."""
 
-    Shingles are taken of those pairs only that their sizes and sketches leave.
-    """
-    left = lines.select(F.col("id").alias("a"), F.col("line").alias("_x"), "n", "sketch")
-    right = lines.select(F.col("id").alias("b"), F.col("line").alias("_y"), F.col("n").alias("_n"), F.col("sketch").alias("_sketch"))
-    met = pairs.join(left, "a").join(right, "b").where(may_reach(jaccard))
-    sets = met.select("a", "b", F.array_distinct(shingles(F.col("_x"), chars)).alias("_x"), F.array_distinct(shingles(F.col("_y"), chars)).alias("_y"))
-    both = sets.withColumn("_both", F.size(F.array_intersect("_x", "_y")))
-    return both.where(F.col("_both") >= jaccard * (F.size("_x") + F.size("_y") - F.col("_both"))).select("a", "b")
+    def run(batches):
+        last = [(None, set()), (None, set())]
+
+        def taken(side, line):
+            if last[side][0] != line:  # a line of many pairs comes row after row
+                last[side] = (line, shingles(line, chars))
+            return last[side][1]
+
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("_x").to_pylist(), batch.column("_y").to_pylist()):
+                p, q = taken(0, x), taken(1, y)
+                both = len(p & q)
+                keep.append(both >= jaccard * (len(p) + len(q) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = lines.select(F.col("id").alias("a"), F.col("line").alias("_x"))
+    right = lines.select(F.col("id").alias("b"), F.col("line").alias("_y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
 
 
 def links(lines: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> DataFrame:
@@ -129,33 +239,64 @@ def links(lines: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> Dat
 
     First every line of a bucket meets one line of it only, the one that shares most buckets with others
     (of variants of one line, most likely the original), which settles buckets of
-    near copies in linear work. Lines still in different components of one bucket then meet where they
-    share a rare shingle, which loses no link and does not pair up the bucket.
+    near copies in linear work. Lines still in different components of one bucket are then compared by
+    their sketches where the bucket has up to CROWD lines, and meet where they share a rare shingle
+    where it has more, which loses no link and does not pair up the bucket.
     """
+    spark = lines.sparkSession
     made = len(STAGED)
     placed = lines.select("id", F.explode("bands").alias("key"))
-    shared = placed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("n > 1")
-    shared = stage_table(shared)
-    twos = shared.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    many = stage_table(placed.join(shared.where("n > 2").select("key", "n"), "key"))
-    met = many.join(many.groupBy("id").agg(F.sum("n").alias("_met")), "id")
+    shared = placed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size")).where("size > 1")
+    shared = stage_table(shared, "zstd")
+    sweep(spark)
+    twos = shared.where("size = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
+    many = stage_table(placed.join(shared.where("size > 2").select("key", "size"), "key"), "zstd")
+    sweep(spark)
+    met = many.join(many.groupBy("id").agg(F.sum("size").alias("_met")), "id")
     middle = met.groupBy("key").agg(F.max(F.struct("_met", "id"))["id"].alias("middle"))
-    crowd = stage_table(many.select("key", "id").join(middle, "key"))
+    crowd = stage_table(many.join(middle, "key"), "zstd")
     star = crowd.where(F.col("id") != F.col("middle")).select(F.least("id", "middle").alias("a"), F.greatest("id", "middle").alias("b"))
-    near = stage_table(verified(twos.unionByName(star).distinct(), lines, jaccard, chars))
+    near = stage_table(verified(plausible(twos.unionByName(star).distinct(), lines, jaccard), lines, jaccard, chars), "zstd")
+    sweep(spark)
     found = components(near)
     member = crowd.join(found.withColumnRenamed("node", "id"), "id", "left")
-    member = member.select("key", "id", F.coalesce("component", "id").alias("component"))
+    member = member.select("key", "size", "id", F.coalesce("component", "id").alias("component"))
     mixed = member.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b"))
-    open_ = stage_table(member.join(mixed.where(F.col("_a") != F.col("_b")).select("key"), "key", "left_semi"))
+    open_ = stage_table(member.join(mixed.where(F.col("_a") != F.col("_b")).select("key"), "key", "left_semi"), "zstd")
+    sweep(spark)
     if not open_.isEmpty():
-        more = verified(rare_pairs(open_.select("id", "component").distinct(), lines, jaccard, chars), lines, jaccard, chars)
-        found = components(near.unionByName(more))
+        crowded = open_.where(F.col("size") > CROWD).select("id", "component").distinct()
+        more = crowd_pairs(open_.where(F.col("size") <= CROWD), lines, jaccard)
+        if not crowded.isEmpty():
+            more = more.unionByName(plausible(rare_pairs(crowded, lines, jaccard, chars), lines, jaccard)).distinct()
+        found = components(near.unionByName(verified(more, lines, jaccard, chars)))
     # The components lie in the last table; all others made here have been read for the last time.
-    discard(lines.sparkSession, sorted(set(STAGED[made:]) - read_by(found)))
+    discard(spark, sorted(set(STAGED[made:]) - read_by(found)))
+    sweep(spark)
     return found
 
 
+def crowd_pairs(members: DataFrame, lines: DataFrame, jaccard: float = JACCARD) -> DataFrame:
+    """Pairs (a, b) of lines in one bucket (key) of at most CROWD lines, in different components, that sizes and sketches leave."""
+
+    def run(batches):
+        for batch in batches:
+            for rows in batch.column("rows").to_pylist():
+                ids, groups, n = (np.array([r[c] for r in rows]) for c in ("id", "component", "n"))
+                sketch = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), -1)
+                for i in range(len(rows) - 1):
+                    a, b = np.minimum(n[i], n[i + 1 :]), np.maximum(n[i], n[i + 1 :])
+                    near = (groups[i + 1 :] != groups[i]) & (a >= b * jaccard - 1e-9)
+                    near &= alike(sketch[i], sketch[i + 1 :], n[i], n[i + 1 :], jaccard)
+                    other = ids[i + 1 :][near]
+                    if len(other):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], other)), pa.array(np.maximum(ids[i], other))], names=["a", "b"])
+
+    told = members.select("key", "id", "component").join(lines.select("id", "n", "sketch"), "id")
+    buckets = told.groupBy("key").agg(F.collect_list(F.struct("id", "component", "n", "sketch")).alias("rows"))
+    return buckets.select("rows").mapInArrow(run, "a long, b long").distinct()
+
+
 def rare_pairs(members: DataFrame, lines: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> DataFrame:
     """Pairs (a, b) of members in different components that may reach the similarity; none that does is missing.
 
@@ -164,29 +305,55 @@ def rare_pairs(members: DataFrame, lines: DataFrame, jaccard: float = JACCARD, c
     whose hash bucket is rare in a repeatable sample of the lines to common ones, so lines with text of their own
     meet few others; only the first shingles of a line ever leave its task.
     """
-    hashes = F.array_distinct(F.transform(shingles(F.col("line"), chars), lambda x: F.xxhash64(x)))
-    texts = members.join(lines.select("id", "line"), "id")
-    often = _frequencies(texts.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).select(F.explode(hashes).alias("shingle")))
-    ranked = F.sort_array(F.transform("_h", lambda h: F.struct(F.get(F.col("_often"), F.pmod(h, F.lit(ORDER_BUCKETS)).cast("int")).alias("f"), h.alias("h"))))
-    sets = texts.select("id", "component", hashes.alias("_h"), often.alias("_often"))
-    first = F.slice(ranked, F.lit(1), (F.size("_h") - F.ceil(F.size("_h") * jaccard - 1e-9) + 1).cast("int"))
-    rare = sets.select("id", "component", F.size("_h").alias("n"), F.posexplode(first).alias("at", "_r"))
-    rare = stage_table(rare.select("id", "component", "n", "at", F.col("_r.h").alias("shingle")))
+    texts = members.join(lines.select("id", "line"), "id").select("id", "component", "line")
+    order = _rarest_first(texts.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0), chars)
+
+    def run(batches):
+        low_bits = np.uint64((1 << ORDER_BITS) - 1)
+        for batch in batches:
+            lines = batch.column("line").to_pylist()
+            for low, high in _groups(lines):
+                hashes, starts = line_hashes(lines[low:high], chars)
+                n = np.diff(starts)
+                # A hash with its bucket's rank in front stands for the same shingle and sorts rare ones first.
+                ranked = (order[hashes & low_bits] << np.uint64(HASH_BITS - ORDER_BITS)) | ((hashes & MASK) >> np.uint64(ORDER_BITS))
+                ranked |= hashes & ~MASK
+                ranked.sort()
+                row, at = _within(first_of(n, jaccard))
+                ids, groups = (batch.column(c).to_numpy()[low:high][row] for c in ("id", "component"))
+                told = [ids, groups, n[row].astype(np.int32), at.astype(np.int32), (ranked[starts[row] + at] & MASK).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in told], names=["id", "component", "n", "at", "shingle"])
+
+    rare = stage_table(texts.mapInArrow(run, "id long, component long, n int, at int, shingle long"), "zstd")
     mixed = rare.groupBy("shingle").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b")
-    met = rare.join(mixed.select("shingle"), "shingle", "left_semi")
+    met = stage_table(rare.join(mixed.select("shingle"), "shingle", "left_semi"), "zstd")
+    sweep(lines.sparkSession)
     other = met.select("shingle", F.col("id").alias("b"), F.col("component").alias("_other"), F.col("n").alias("_n"), F.col("at").alias("_at"))
     needed = F.ceil((F.col("n") + F.col("_n")) * (jaccard / (1 + jaccard)) - 1e-9)
     left = F.least(F.col("n") - F.col("at"), F.col("_n") - F.col("_at"))
-    fits = (F.col("component") < F.col("_other")) & (F.least("n", "_n") >= F.greatest("n", "_n") * jaccard - 1e-9) & (left >= needed)
+    fits = (F.col("component") < F.col("_other")) & sizes_fit(jaccard) & (left >= needed)
     return met.withColumnRenamed("id", "a").join(other, "shingle").where(fits).select("a", "b").distinct()
 
 
-def _frequencies(shingles_seen: DataFrame) -> Column:
-    """How often each of ORDER_BUCKETS hash buckets occurs, as one array that is worked out once."""
-    counts = shingles_seen.groupBy(F.pmod("shingle", F.lit(ORDER_BUCKETS)).alias("id")).agg(F.count("*").alias("times"))
-    every = shingles_seen.sparkSession.range(ORDER_BUCKETS).join(counts, "id", "left")
-    listed = F.sort_array(F.collect_list(F.struct("id", F.coalesce("times", F.lit(0)).alias("times"))))
-    return every.agg(F.transform(listed, lambda x: x["times"])).scalar()
+def _rarest_first(texts: DataFrame, chars: int) -> np.ndarray:
+    """The rank of every hash bucket by how often its shingles occur; 2 ** ORDER_BITS numbers whatever the table's size."""
+
+    def run(batches):
+        for batch in batches:
+            lines = batch.column("line").to_pylist()
+            for low, high in _groups(lines):
+                hashes, _ = line_hashes(lines[low:high], chars)
+                times = np.bincount((hashes & np.uint64((1 << ORDER_BITS) - 1)).astype(np.int64), minlength=1 << ORDER_BITS)
+                seen = np.flatnonzero(times)
+                yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(times[seen])], names=["bucket", "times"])
+
+    counts = texts.select("line").mapInArrow(run, "bucket long, times long").groupBy("bucket").agg(F.sum("times").alias("times"))
+    often = np.zeros(1 << ORDER_BITS, np.int64)
+    for r in counts.collect():
+        often[r["bucket"]] = r["times"]
+    rank = np.empty(1 << ORDER_BITS, np.uint64)
+    rank[np.argsort(often, kind="stable")] = np.arange(1 << ORDER_BITS, dtype=np.uint64)
+    return rank
 
 
 def dedup(docs: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> DataFrame:
@@ -201,18 +368,27 @@ def dedup(docs: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> Data
     # The caller's columns travel in one struct, so no name of theirs can meet one of these.
     rows = numbered(docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row")))
     lines = distinct_lines(rows, chars, jaccard=jaccard)
+    sweep(docs.sparkSession)
     member = lines.select("id", "first").join(links(lines, jaccard, chars), F.col("id") == F.col("node"))
     least = member.groupBy("component").agg(F.min("first").alias("least"))
     lost = member.join(least, "component").where(F.col("first") != F.col("least")).select("id")
-    kept = lines.join(lost, "id", "left_anti").select(F.col("first._row").alias("_row"), F.col("first.pos").alias("pos"), "line")
-    blank = split_lines(rows).where(~F.col("line").rlike(WORD)).select("_row", "pos", "line")
-    built = kept.unionByName(blank).groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("_kept"))
-    built = built.select("_row", F.array_join(F.transform("_kept", lambda x: x["line"]), "\n").alias("_text"), F.size("_kept").alias("_n"))
-    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.regexp_count("text", F.lit("\n")) + 1)
-    # The long texts do not travel again: only whether there was one and how many lines it had.
-    slim = rows.select("_row", "row", F.col("text").isNull().alias("_none"), n.alias("_lines"))
-    out = slim.join(built, "_row", "left")
-    text = F.when(~F.col("_none"), F.coalesce("_text", F.lit(""))).alias("text")
+    kept = lines.select("id", "first").join(lost, "id", "left_anti").select(F.col("first._row").alias("_row"), F.col("first.pos").alias("pos"))
+    kept = kept.groupBy("_row").agg(F.collect_list("pos").alias("_kept"))
+
+    def run(batches):
+        for batch in batches:
+            texts, n_lines, n_kept = [], [], []
+            for text, kept in zip(batch.column("text").to_pylist(), batch.column("_kept").to_pylist()):
+                held = set(kept or ())
+                lines = [] if text is None else text.split("\n")
+                left = [x for k, x in enumerate(lines) if k in held or not x.strip(" \t\n\v\f\r")]
+                texts.append(None if text is None else "\n".join(left))
+                n_lines.append(len(lines))
+                n_kept.append(len(lines) - len(left))
+            columns = [batch.column("row"), pa.array(texts, pa.string()), pa.array(n_lines, pa.int32()), pa.array(n_kept, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "text", "n_lines", "n_dropped"])
+
+    schema = StructType([*rows.select("row", "text").schema, *StructType.fromDDL("n_lines int, n_dropped int")])
+    out = rows.select("_row", "row", "text").join(kept, "_row", "left").select("row", "text", "_kept").mapInArrow(run, schema)
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    dropped = (F.col("_lines") - F.coalesce("_n", F.lit(0))).alias("n_dropped")
-    return out.select(*[text if c == "text" else F.col("row")[c].alias(c) for c in names], F.col("_lines").alias("n_lines"), dropped)
+    return out.select(*[F.col(c) if c == "text" else F.col("row")[c].alias(c) for c in names], "n_lines", "n_dropped")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 import uuid
@@ -50,6 +51,15 @@ def discard(spark, folders: list[str]) -> None:
             STAGED.remove(folder)
 
 
+def sweep(spark) -> None:
+    """Let the driver's collectors run, so that Spark deletes the shuffle files of plans nobody holds any more.
+
+    Spark notices only then; on a large heap that may be long after the disk has filled.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def worker_state() -> dict:
     """A dict that lives as long as the Python worker, whatever task runs in it."""
     name = "_tillwise_worker_state"
