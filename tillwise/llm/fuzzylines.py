@@ -150,10 +150,11 @@ def split_lines(rows: DataFrame) -> DataFrame:
 
 
 def distinct_lines(rows: DataFrame, chars: int = CHARS, bands: int = BANDS, per_band: int = ROWS, jaccard: float = JACCARD) -> DataFrame:
-    """(id, line, first, n, sketch, bands): every different line with a word, its first place, its number of
+    """(id, first, n, sketch, bands): every different line with a word by its first place, its number of
     different shingles, a byte of each signature value and its band keys.
 
-    Equal lines are combined before the shuffle. Signatures are taken where the lines are, without an exchange.
+    Equal lines are combined before the shuffle. Signatures are taken where the lines are, without an exchange;
+    the texts are not written a second time (see ``line_texts``).
     """
     spoken = split_lines(rows).where(F.col("line").rlike(WORD))
     once = spoken.groupBy("line").agg(F.min(F.struct("_late", "doc_id", "_row", "pos")).alias("first"))
@@ -166,13 +167,31 @@ def distinct_lines(rows: DataFrame, chars: int = CHARS, bands: int = BANDS, per_
                 n, sketch, keys, offsets = signatures(lines[low:high], chars, bands, per_band, jaccard)
                 sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(sketch.shape[1]), len(n), [None, pa.py_buffer(sketch.tobytes())])
                 listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys, pa.int64()))
-                columns = [*batch.slice(low, high - low).columns, pa.array(n, pa.int32()), sketch.cast(pa.binary()), listed]
-                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "n", "sketch", "bands"])
+                told = batch.slice(low, high - low)
+                columns = [told.column("id"), told.column("first"), pa.array(n, pa.int32()), sketch.cast(pa.binary()), listed]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "first", "n", "sketch", "bands"])
 
-    schema = StructType([*once.schema, *StructType.fromDDL("n int, sketch binary, bands array<bigint>")])
+    schema = StructType([*once.drop("line").schema, *StructType.fromDDL("n int, sketch binary, bands array<bigint>")])
     return stage_table(once.mapInArrow(run, schema), "zstd")
 
 
+def line_texts(ids: DataFrame, lines: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, line) of the lines with these ids, cut out of the rows that hold them first."""
+
+    def run(batches):
+        for batch in batches:
+            for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
+                held = text.split("\n")
+                found = [pa.array([w["id"] for w in wanted], pa.int64()), pa.array([held[w["pos"]] for w in wanted], pa.string())]
+                yield pa.RecordBatch.from_arrays(found, names=["id", "line"])
+
+    placed = lines.select("id", F.col("first._row").alias("_row"), F.col("first.pos").alias("pos")).join(ids.select("id").distinct(), "id", "left_semi")
+    wanted = stage_table(placed.groupBy("_row").agg(F.collect_list(F.struct("id", "pos")).alias("wanted")), "zstd")
+    texts = stage_table(rows.select("_row", "text").join(wanted, "_row").select("text", "wanted").mapInArrow(run, "id long, line string"), "zstd")
+    sweep(lines.sparkSession)
+    return texts
+
+
 def sizes_fit(jaccard: float) -> Column:
     """Whether sets of sizes n and _n can be that similar; rules pairs out for certain."""
     return F.least("n", "_n") >= F.greatest("n", "_n") * jaccard - 1e-9
@@ -210,8 +229,8 @@ def plausible(pairs: DataFrame, lines: DataFrame, jaccard: float = JACCARD) -> D
     return met.select("a", "b", "n", "_n", "sketch", "_sketch").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, lines: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> DataFrame:
-    """The pairs (a, b) whose exact Jaccard similarity of shingle sets is high enough."""
+def verified(pairs: DataFrame, lines: DataFrame, rows: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> DataFrame:
+    """The pairs (a, b) whose exact Jaccard similarity of shingle sets is high enough; written down."""
 
     def run(batches):
         last = [(None, set()), (None, set())]
@@ -229,12 +248,14 @@ def verified(pairs: DataFrame, lines: DataFrame, jaccard: float = JACCARD, chars
                 keep.append(both >= jaccard * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = lines.select(F.col("id").alias("a"), F.col("line").alias("_x"))
-    right = lines.select(F.col("id").alias("b"), F.col("line").alias("_y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
+    pairs = stage_table(pairs, "zstd")
+    texts = line_texts(pairs.select(F.explode(F.array("a", "b")).alias("id")), lines, rows)
+    left = texts.select(F.col("id").alias("a"), F.col("line").alias("_x"))
+    right = texts.select(F.col("id").alias("b"), F.col("line").alias("_y"))
+    return stage_table(pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long"), "zstd")
 
 
-def links(lines: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> DataFrame:
+def links(lines: DataFrame, rows: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> DataFrame:
     """(node, component) over all lines that share a band and reach the similarity.
 
     First every line of a bucket meets one line of it only, the one that shares most buckets with others
@@ -256,7 +277,7 @@ def links(lines: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> Dat
     middle = met.groupBy("key").agg(F.max(F.struct("_met", "id"))["id"].alias("middle"))
     crowd = stage_table(many.join(middle, "key"), "zstd")
     star = crowd.where(F.col("id") != F.col("middle")).select(F.least("id", "middle").alias("a"), F.greatest("id", "middle").alias("b"))
-    near = stage_table(verified(plausible(twos.unionByName(star).distinct(), lines, jaccard), lines, jaccard, chars), "zstd")
+    near = verified(plausible(twos.unionByName(star).distinct(), lines, jaccard), lines, rows, jaccard, chars)
     sweep(spark)
     found = components(near)
     member = crowd.join(found.withColumnRenamed("node", "id"), "id", "left")
@@ -268,8 +289,9 @@ def links(lines: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> Dat
         crowded = open_.where(F.col("size") > CROWD).select("id", "component").distinct()
         more = crowd_pairs(open_.where(F.col("size") <= CROWD), lines, jaccard)
         if not crowded.isEmpty():
-            more = more.unionByName(plausible(rare_pairs(crowded, lines, jaccard, chars), lines, jaccard)).distinct()
-        found = components(near.unionByName(verified(more, lines, jaccard, chars)))
+            rare = rare_pairs(crowded, line_texts(crowded, lines, rows), jaccard, chars)
+            more = more.unionByName(plausible(rare, lines, jaccard)).distinct()
+        found = components(near.unionByName(verified(more, lines, rows, jaccard, chars)))
     # The components lie in the last table; all others made here have been read for the last time.
     discard(spark, sorted(set(STAGED[made:]) - read_by(found)))
     sweep(spark)
@@ -297,15 +319,16 @@ def crowd_pairs(members: DataFrame, lines: DataFrame, jaccard: float = JACCARD)
     return buckets.select("rows").mapInArrow(run, "a long, b long").distinct()
 
 
-def rare_pairs(members: DataFrame, lines: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> DataFrame:
-    """Pairs (a, b) of members in different components that may reach the similarity; none that does is missing.
+def rare_pairs(members: DataFrame, texts: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> DataFrame:
+    """Pairs (a, b) of members (id, component), with texts (id, line), in different components that may reach the similarity;
+    none that does is missing.
 
     In any fixed order of all shingles, two sets that similar share one of the first n - ceil(jaccard * n) + 1 of
     each, and at the first that they share enough must be left after it in both. The order goes from shingles
     whose hash bucket is rare in a repeatable sample of the lines to common ones, so lines with text of their own
     meet few others; only the first shingles of a line ever leave its task.
     """
-    texts = members.join(lines.select("id", "line"), "id").select("id", "component", "line")
+    texts = members.join(texts, "id").select("id", "component", "line")
     order = _rarest_first(texts.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0), chars)
 
     def run(batches):
@@ -327,7 +350,7 @@ def rare_pairs(members: DataFrame, lines: DataFrame, jaccard: float = JACCARD, c
     rare = stage_table(texts.mapInArrow(run, "id long, component long, n int, at int, shingle long"), "zstd")
     mixed = rare.groupBy("shingle").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b")
     met = stage_table(rare.join(mixed.select("shingle"), "shingle", "left_semi"), "zstd")
-    sweep(lines.sparkSession)
+    sweep(members.sparkSession)
     other = met.select("shingle", F.col("id").alias("b"), F.col("component").alias("_other"), F.col("n").alias("_n"), F.col("at").alias("_at"))
     needed = F.ceil((F.col("n") + F.col("_n")) * (jaccard / (1 + jaccard)) - 1e-9)
     left = F.least(F.col("n") - F.col("at"), F.col("_n") - F.col("_at"))
@@ -369,11 +392,13 @@ def dedup(docs: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> Data
     rows = numbered(docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row")))
     lines = distinct_lines(rows, chars, jaccard=jaccard)
     sweep(docs.sparkSession)
-    member = lines.select("id", "first").join(links(lines, jaccard, chars), F.col("id") == F.col("node"))
+    member = lines.select("id", "first").join(links(lines, rows, jaccard, chars), F.col("id") == F.col("node"))
     least = member.groupBy("component").agg(F.min("first").alias("least"))
     lost = member.join(least, "component").where(F.col("first") != F.col("least")).select("id")
     kept = lines.select("id", "first").join(lost, "id", "left_anti").select(F.col("first._row").alias("_row"), F.col("first.pos").alias("pos"))
-    kept = kept.groupBy("_row").agg(F.collect_list("pos").alias("_kept"))
+    kept = stage_table(kept.groupBy("_row").agg(F.collect_list("pos").alias("_kept")), "zstd")
+    discard(docs.sparkSession, sorted(read_by(lines) | read_by(member)))
+    sweep(docs.sparkSession)
 
     def run(batches):
         for batch in batches:

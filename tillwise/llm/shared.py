@@ -54,9 +54,11 @@ def discard(spark, folders: list[str]) -> None:
 def sweep(spark) -> None:
     """Let the driver's collectors run, so that Spark deletes the shuffle files of plans nobody holds any more.
 
-    Spark notices only then; on a large heap that may be long after the disk has filled.
+    Spark notices only then; on a large heap that may be long after the disk has filled. The driver's
+    event queue holds on to the last query until another one comes, hence the small one.
     """
     gc.collect()
+    spark.range(1).collect()
     spark._jvm.System.gc()
 
 
