@@ -72,6 +72,22 @@ def test_ledger_scans_unseen_pairs_only(spark, frame, tmp_path):
     assert secrets.update(more, ledger).count() == first + 1
     other = secrets.RULES[:1]
     assert secrets.update(more, ledger, other).count() == 2  # another version of the rules has seen nothing
+    both = str(tmp_path / "both")
+    blobs = secrets.addressed(more).select("blob", "text")
+    for _ in range(2):  # as two runs do that both saw an empty ledger
+        secrets.scan(blobs).write.mode("append").parquet(both)
+    assert secrets.update(more, both).count() == 2 and secrets.findings(more, both).count() == 2
+
+
+def test_long_credentials_and_key_bodies(spark):
+    link = f"postgres://{'u' * 90}:{'p' * 400}@"
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A\n\nMIIabc+/=\nQQ==\n-----END RSA PRIVATE KEY-----"
+    open_key = "-----BEGIN PRIVATE KEY-----"
+    docs = spark.createDataFrame([(1, f"é {link}host"), (2, f"x {key} y"), (3, f"{open_key}\nMII - and prose")], "doc_id long, text string")
+    spans = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secrets.findings(docs).collect()}
+    assert ("url", 2, 2 + len(link)) in spans[1]
+    assert ("pem", 2, 2 + len(key)) in spans[2]
+    assert spans[3] == [("pem", 0, len(open_key))]
 
 
 def plain_shingles(line, n=fuzzylines.CHARS):

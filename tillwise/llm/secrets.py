@@ -20,9 +20,9 @@ RULES = (
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s*(?:[A-Z][A-Za-z]+-[A-Za-z]+:[^\n]*\n){0,9}[A-Za-z0-9+/=\s]*+-----END [A-Z ]*PRIVATE KEY-----)?", 0, 1),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
-    ("url", r"[a-z][a-z0-9+.-]{0,19}://[^\s/:@]{1,64}:[^\s/:@]{1,128}@", 0, 1),
+    ("url", r"[a-z][a-z0-9+.-]{0,19}://[^\s/:@]+:[^\s/:@]+@", 0, 1),
     ("provider", r"gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,}", 0, 1),
 )
 BASE = ("assign", "access", "hex")
@@ -69,7 +69,8 @@ def update(versions: DataFrame, ledger: str | None = None, rules=RULES) -> DataF
     """Scan what the ledger (a folder of Parquet) lacks, append it, and return the ledger's rows of these rules.
 
     Equal texts are combined before they are shuffled, so a blob is scanned once
-    however many versions hold it. A run that is broken off appends nothing.
+    however many versions hold it. A run that is broken off appends nothing. Runs that append at the same
+    time may both scan a blob; their rows are equal and are read as one.
     """
     spark = versions.sparkSession
     ledger = ledger or new_folder(versions)
@@ -84,7 +85,7 @@ def update(versions: DataFrame, ledger: str | None = None, rules=RULES) -> DataF
     unseen = blobs.join(known.select("blob"), "blob", "left_anti") if not known.isEmpty() else blobs
     once = unseen.groupBy("blob").agg(F.first("text").alias("text"))
     scan(once, rules).write.mode("append").parquet(ledger)
-    return spark.read.schema(LEDGER).parquet(ledger).where(F.col("rule_version") == rule_version(rules))
+    return spark.read.schema(LEDGER).parquet(ledger).where(F.col("rule_version") == rule_version(rules)).distinct()
 
 
 def findings(documents: DataFrame, ledger: str | None = None, rules=RULES) -> DataFrame:
