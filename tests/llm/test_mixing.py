@@ -70,3 +70,11 @@ def test_edges(spark, tmp_path):
             assert abs(order[:n].count(p) - share * n) < 8
     assert mixing.mix(docs.limit(0))[2].count() == 0
     assert sorted(map(str, mixing.mix(docs.repartition(7))[2].collect())) == sorted(map(str, taken.collect()))
+
+
+def test_repeated_passes_any_column_name(spark):
+    rows = [(i, f"word{i} " * (5 + i), "ab"[i % 2], f"r{i}", i, -i) for i in range(40)] + [(99, None, None, "r", 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _row string, _copies int, _copy int")
+    out = mixing.repeated(docs)
+    assert out.columns == docs.columns
+    assert set(map(tuple, out.collect())) <= set(rows) and out.where("doc_id = 99").count() == 1

@@ -151,8 +151,9 @@ def repeated(docs: DataFrame, cycle=CYCLE, most: int = MOST_REPEATS, block_words
     own share as the chance, so sources still come near their targets and reruns agree.
     Rows without words are never taken by a mix of words; they stay once.
     """
-    rows = stage_table(docs.withColumn("_row", F.monotonically_increasing_id()))
-    numbered = rows.select(F.col("_row").alias("doc_id"), "text", "source")
+    # The caller's columns travel in one struct, so no name of theirs can meet one of these.
+    rows = stage_table(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("_row")))
+    numbered = rows.select(F.col("_row").alias("doc_id"), F.col("row.text").alias("text"), F.col("row.source").alias("source"))
     _, _, taken = mix(numbered, cycle, most, block_words, seed)
     chance = F.pmod(F.xxhash64(F.lit(f"{seed}:copy"), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     whole = F.expr("taken div size")
@@ -160,4 +161,4 @@ def repeated(docs: DataFrame, cycle=CYCLE, most: int = MOST_REPEATS, block_words
     copies = F.when(F.col("size") == 0, F.lit(1).cast("long")).otherwise(whole + (part > chance).cast("long"))
     counted = taken.select(F.col("doc_id").alias("_row"), copies.alias("_copies")).where("_copies > 0")
     again = rows.join(counted, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return again.select(*docs.columns)
+    return again.select("row.*")
