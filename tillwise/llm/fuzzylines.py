@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tillwise.llm.shared import STAGED, WORD, components, discard, read_by, stage_table, sweep
+from tillwise.llm.shared import STAGED, WORD, components, discard, read_by, stage_buckets, stage_table, sweep
 
 CHARS = 8
 JACCARD = 0.8
@@ -44,6 +44,7 @@ HASH_BITS = 52
 MASK = np.uint64((1 << HASH_BITS) - 1)
 GROUP_LINES = 1 << (64 - HASH_BITS)
 GROUP_CHARS = 1 << 20
+SLACK = 2
 _FACTORS = [np.uint64(random.Random(k).getrandbits(64) | 1) for k in range(3)]
 
 
@@ -139,8 +140,11 @@ def signatures(lines: list[str], chars: int, bands: int, per_band: int, jaccard:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """The rows with a number each (_row), written down so that it never changes."""
-    return stage_table(docs.withColumn("_row", F.monotonically_increasing_id()), "zstd")
+    """The rows with a number each (_row), written down so that it never changes.
+
+    They are dealt by their numbers, so that texts move once for all later joins on them.
+    """
+    return stage_buckets(docs.withColumn("_row", F.monotonically_increasing_id()), "_row", "zstd")
 
 
 def split_lines(rows: DataFrame) -> DataFrame:
@@ -229,24 +233,52 @@ def plausible(pairs: DataFrame, lines: DataFrame, jaccard: float = JACCARD) -> D
     return met.select("a", "b", "n", "_n", "sketch", "_sketch").mapInArrow(run, "a long, b long")
 
 
+def _pair_groups(xs: list[str], ys: list[str]):
+    """Slices of at most GROUP_LINES / 2 pairs and GROUP_CHARS characters; a longer pair is a slice of its own."""
+    start = total = 0
+    for i, (x, y) in enumerate(zip(xs, ys)):
+        size = len(x) + len(y)
+        if i > start and (2 * (i - start) >= GROUP_LINES or total + size > GROUP_CHARS):
+            yield start, i
+            start, total = i, 0
+        total += size
+    if xs:
+        yield start, len(xs)
+
+
+def near_by_hashes(xs: list[str], ys: list[str], jaccard: float, chars: int) -> np.ndarray:
+    """Whether the shingle hashes of x and y say that they may be that similar, for every pair (x, y).
+
+    Up to SLACK equal hashes of different shingles cannot hide a pair; what passes is compared by its strings.
+    """
+    at = {}
+    left = np.array([at.setdefault(x, len(at)) for x in xs])
+    right = np.array([at.setdefault(y, len(at)) for y in ys])
+    hashes, starts = line_hashes(list(at), chars)
+    n = np.diff(starts)
+    taken = np.concatenate([left, right])
+    row, k = _within(n[taken])
+    pair = row % len(xs)
+    met = (pair.astype(np.uint64) << np.uint64(HASH_BITS)) | (hashes[starts[taken[row]] + k] & MASK)
+    met.sort()
+    both = np.bincount((met[1:][met[1:] == met[:-1]] >> np.uint64(HASH_BITS)).astype(np.int64), minlength=len(xs)) + SLACK
+    return both >= jaccard * (n[left] + n[right] - both) - 1e-9
+
+
 def verified(pairs: DataFrame, lines: DataFrame, rows: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> DataFrame:
     """The pairs (a, b) whose exact Jaccard similarity of shingle sets is high enough; written down."""
 
     def run(batches):
-        last = [(None, set()), (None, set())]
-
-        def taken(side, line):
-            if last[side][0] != line:  # a line of many pairs comes row after row
-                last[side] = (line, shingles(line, chars))
-            return last[side][1]
-
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("_x").to_pylist(), batch.column("_y").to_pylist()):
-                p, q = taken(0, x), taken(1, y)
+            xs, ys = batch.column("_x").to_pylist(), batch.column("_y").to_pylist()
+            keep = np.zeros(len(xs), bool)
+            for low, high in _pair_groups(xs, ys):
+                keep[low:high] = near_by_hashes(xs[low:high], ys[low:high], jaccard, chars)
+            for i in np.flatnonzero(keep):
+                p, q = shingles(xs[i], chars), shingles(ys[i], chars)
                 both = len(p & q)
-                keep.append(both >= jaccard * (len(p) + len(q) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                keep[i] = both >= jaccard * (len(p) + len(q) - both)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     pairs = stage_table(pairs, "zstd")
     texts = line_texts(pairs.select(F.explode(F.array("a", "b")).alias("id")), lines, rows)

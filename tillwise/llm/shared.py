@@ -36,6 +36,25 @@ def stage_table(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_NAMES: dict[str, str] = {}  # the catalog names of staged tables that have one
+
+
+def stage_buckets(df: DataFrame, key: str, compression: str = "snappy") -> DataFrame:
+    """As ``stage_table``, dealt by ``key``: joins on it find these rows in place and shuffle the other side only.
+
+    ``key`` must not have hot values. As many buckets as the session has shuffle partitions, one file each.
+    """
+    spark = df.sparkSession
+    path = new_folder(df)
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key)
+    dealt.option("compression", compression).option("path", path).saveAsTable(name)
+    STAGED.append(path)
+    _NAMES[path] = name
+    return spark.table(name)
+
+
 def read_by(df: DataFrame) -> set[str]:
     """The staged tables that a frame reads."""
     files = df.inputFiles()
@@ -45,6 +64,8 @@ def read_by(df: DataFrame) -> set[str]:
 def discard(spark, folders: list[str]) -> None:
     """Delete staged tables that nothing reads any more."""
     for folder in folders:
+        if folder in _NAMES:
+            spark.sql(f"DROP TABLE IF EXISTS {_NAMES.pop(folder)}")
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
         if folder in STAGED:
