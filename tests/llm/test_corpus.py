@@ -277,3 +277,26 @@ def test_rare_pairs_hold_every_link(spark):
     sets = [plain_shingles(t) for t in texts]
     near = {(a, b) for a in range(80) for b in range(a + 1, 80) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert near and near <= found and len(found) < 80 * 79 / 2
+
+
+def test_hashes_pass_every_similar_pair():
+    """What the hashes rule out is not similar by its strings; short, empty, equal and very long lines included."""
+    draw = random.Random(5)
+    xs, ys = ["", "", "abc"], ["", "abc", "abd"]
+    for _ in range(3000):
+        x = [draw.choice("abcde é🙂") for _ in range(draw.choice([0, 3, 8, 9, 30, 100, 300]))]
+        y = list(x)
+        for _ in range(draw.choice([0, 1, 2, 5])):
+            if y:
+                y[draw.randrange(len(y))] = "z"
+        xs.append("".join(x))
+        ys.append("".join(y + list("tail" * draw.randrange(3))))
+    xs.append("q w e " * 300000)
+    ys.append(xs[-1] + "x")
+    slices = list(fuzzylines._pair_groups(xs, ys))
+    assert [i for low, high in slices for i in range(low, high)] == list(range(len(xs)))
+    passed = [bool(k) for low, high in slices for k in fuzzylines.near_by_hashes(xs[low:high], ys[low:high], 0.8, 8)]
+    for x, y, k in zip(xs, ys, passed):
+        p, q = fuzzylines.shingles(x), fuzzylines.shingles(y)
+        assert k or len(p & q) < 0.8 * len(p | q)
+    assert not all(passed)
