@@ -19,7 +19,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -45,6 +45,8 @@ MASK = np.uint64((1 << HASH_BITS) - 1)
 GROUP_LINES = 1 << (64 - HASH_BITS)
 GROUP_CHARS = 1 << 20
 SLACK = 2
+# Characters of a line that are cut into shingles at once.
+PIECE = 1024
 _FACTORS = [np.uint64(random.Random(k).getrandbits(64) | 1) for k in range(3)]
 
 
@@ -153,45 +155,80 @@ def split_lines(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("text").isNotNull()).select(*head, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
+def shingle_hashes(line: Column, chars: int = CHARS) -> Column:
+    """The hashes of the different shingles of a line; a line shorter than a shingle is its own only shingle.
+
+    Texts of one byte a character are cut as bytes, others as four-byte characters; the hash of a shingle is that
+    of its UTF-8 either way. A line is cut into pieces first, so that a shingle costs the same in lines of any length.
+    """
+    n = F.greatest(F.char_length(line) - chars + 1, F.lit(1))
+
+    def cut(raw: Column, width: int, text) -> Column:
+        starts = F.sequence(F.lit(0), n - 1, F.lit(PIECE))
+        # Each step hands its result on as a lambda's variable, which is computed once.
+        pieces = F.get(F.transform(F.array(raw), lambda r: F.transform(starts, lambda k: r.substr(k * width + 1, F.lit((PIECE + chars - 1) * width)))), F.lit(0))
+        starts_in = lambda p: F.sequence(F.lit(1), F.greatest(F.octet_length(p) - chars * width, F.lit(0)) + 1, F.lit(width))
+        hashed = lambda p, i: F.xxhash64(text(p.substr(i, F.lit(chars * width))))
+        return F.flatten(F.transform(pieces, lambda p: F.transform(starts_in(p), lambda i: hashed(p, i))))
+
+    plain = cut(line.cast("binary"), 1, lambda p: p)
+    wide = cut(F.encode(line, "UTF-32"), 4, lambda p: F.decode(p, "UTF-32"))
+    return F.array_distinct(F.when(F.octet_length(line) == F.char_length(line), plain).otherwise(wide))
+
+
+def first_count(n: Column, jaccard: float) -> Column:
+    """n - ceil(jaccard * n) + 1: two sets that similar share one of so many first members in any common order."""
+    return (n - F.ceil(n * jaccard - 1e-9) + 1).cast("int")
+
+
+def band_keys(hashed: DataFrame, bands: int, per_band: int, jaccard: float) -> DataFrame:
+    """Rows with ascending ``hashes``, with their number n and the keys (bands) in place of them: the first
+    ``per_band`` hashes at or after each of the points that cut the circle of all numbers into arcs.
+
+    Where an arc holds no hash, the next one's key says the same. Lines of up to SHORT shingles have their first
+    hashes, which miss no pair that similar, as keys too.
+    """
+    others = [c for c in hashed.columns if c != "hashes"]
+    points = [F.lit(-(1 << 63) + (j << 64) // bands).cast("bigint") for j in range(bands)]
+    # Sorted in between the hashes, the points say how many hashes lie before them.
+    placed = hashed.select(*others, "hashes", F.size("hashes").alias("n"), F.sort_array(F.concat("hashes", F.array(*points))).alias("placed"))
+    before = F.array(*[(F.array_position("placed", p) - 1 - j).cast("int") for j, p in enumerate(points)])
+    n = F.col("n")
+    keys = F.transform(before, lambda i: F.xxhash64(*[F.get("hashes", (i + k) % n) for k in range(per_band)]))
+    exact = F.when(n <= SHORT, F.slice("hashes", 1, first_count(n, jaccard))).otherwise(F.array().cast("array<bigint>"))
+    exact = F.transform(exact, lambda h: F.xxhash64(F.lit(-1), h))
+    return placed.select(*others, "n", F.array_distinct(F.concat(keys, exact)).alias("bands"))
+
+
 def distinct_lines(rows: DataFrame, chars: int = CHARS, bands: int = BANDS, per_band: int = ROWS, jaccard: float = JACCARD) -> DataFrame:
-    """(id, first, n, sketch, bands): every different line with a word by its first place, its number of
-    different shingles, a byte of each signature value and its band keys.
+    """(id, first, n, bands): every different line with a word by its first place, its number of different
+    shingles and its band keys.
 
-    Equal lines are combined before the shuffle. Signatures are taken where the lines are, without an exchange;
-    the texts are not written a second time (see ``line_texts``).
+    Equal lines meet by a digest, so no line is shuffled; signatures are taken where the texts lie (see ``cut_lines``).
     """
     spoken = split_lines(rows).where(F.col("line").rlike(WORD))
-    once = spoken.groupBy("line").agg(F.min(F.struct("_late", "doc_id", "_row", "pos")).alias("first"))
-    once = once.select(F.monotonically_increasing_id().alias("id"), "line", "first")
+    once = spoken.groupBy(F.unhex(F.md5("line")).alias("mark")).agg(F.min(F.struct("_late", "doc_id", "_row", "pos")).alias("first"))
+    once = stage_table(once.select(F.monotonically_increasing_id().alias("id"), "first"), "zstd")
+    sweep(rows.sparkSession)
+    hashed = cut_lines(once, rows).select("id", "first", F.sort_array(shingle_hashes(F.col("line"), chars)).alias("hashes"))
+    found = band_keys(hashed, bands, per_band, jaccard)
+    found = stage_table(found, "zstd")
+    discard(rows.sparkSession, sorted(read_by(once)))
+    return found
 
-    def run(batches):
-        for batch in batches:
-            lines = batch.column("line").to_pylist()
-            for low, high in _groups(lines):
-                n, sketch, keys, offsets = signatures(lines[low:high], chars, bands, per_band, jaccard)
-                sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(sketch.shape[1]), len(n), [None, pa.py_buffer(sketch.tobytes())])
-                listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys, pa.int64()))
-                told = batch.slice(low, high - low)
-                columns = [told.column("id"), told.column("first"), pa.array(n, pa.int32()), sketch.cast(pa.binary()), listed]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "first", "n", "sketch", "bands"])
 
-    schema = StructType([*once.drop("line").schema, *StructType.fromDDL("n int, sketch binary, bands array<bigint>")])
-    return stage_table(once.mapInArrow(run, schema), "zstd")
+def cut_lines(places: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, first, line) of the lines at these places (id, first), cut out of the rows that hold them."""
+    wanted = places.groupBy(F.col("first._row").alias("_row")).agg(F.collect_list(F.struct("id", "first")).alias("wanted"))
+    held = rows.select("_row", "text").join(wanted, "_row").select(F.split("text", "\n").alias("held"), "wanted")
+    told = held.select("held", F.explode("wanted").alias("w"))
+    return told.select("w.id", "w.first", F.get("held", F.col("w.first.pos")).alias("line"))
 
 
 def line_texts(ids: DataFrame, lines: DataFrame, rows: DataFrame) -> DataFrame:
-    """(id, line) of the lines with these ids, cut out of the rows that hold them first."""
-
-    def run(batches):
-        for batch in batches:
-            for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
-                held = text.split("\n")
-                found = [pa.array([w["id"] for w in wanted], pa.int64()), pa.array([held[w["pos"]] for w in wanted], pa.string())]
-                yield pa.RecordBatch.from_arrays(found, names=["id", "line"])
-
-    placed = lines.select("id", F.col("first._row").alias("_row"), F.col("first.pos").alias("pos")).join(ids.select("id").distinct(), "id", "left_semi")
-    wanted = stage_table(placed.groupBy("_row").agg(F.collect_list(F.struct("id", "pos")).alias("wanted")), "zstd")
-    texts = stage_table(rows.select("_row", "text").join(wanted, "_row").select("text", "wanted").mapInArrow(run, "id long, line string"), "zstd")
+    """(id, line) of the lines with these ids; written down."""
+    placed = lines.select("id", "first").join(ids.select("id").distinct(), "id", "left_semi")
+    texts = stage_table(cut_lines(placed, rows).select("id", "line"), "zstd")
     sweep(lines.sparkSession)
     return texts
 
@@ -201,36 +238,11 @@ def sizes_fit(jaccard: float) -> Column:
     return F.least("n", "_n") >= F.greatest("n", "_n") * jaccard - 1e-9
 
 
-def alike(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, jaccard: float) -> np.ndarray:
-    """Whether lines with sketches x, y and sizes n, m may be that similar.
-
-    Equal signature values of a pair at the least similarity are a binomial count; pairs more than SIGMAS
-    deviations below its mean are ruled out, less than one in 10,000 of such pairs. Pairs with a line of up to SHORT
-    shingles are never ruled out by their sketches.
-    """
-    of = x.shape[-1]
-    least = of * jaccard - SIGMAS * np.sqrt(of * jaccard * (1 - jaccard))
-    return (np.minimum(n, m) <= SHORT) | ((x == y).sum(axis=-1) >= least)
-
-
-def _sketches(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
-
-
 def plausible(pairs: DataFrame, lines: DataFrame, jaccard: float = JACCARD) -> DataFrame:
-    """The pairs (a, b) that sizes and sketches do not rule out; no text moves for it."""
-    left = lines.select(F.col("id").alias("a"), "n", "sketch")
-    right = lines.select(F.col("id").alias("b"), F.col("n").alias("_n"), F.col("sketch").alias("_sketch"))
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                n, m = (batch.column(c).to_numpy() for c in ("n", "_n"))
-                keep = alike(_sketches(batch.column("sketch")), _sketches(batch.column("_sketch")), n, m, jaccard)
-                yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    met = pairs.join(left, "a").join(right, "b").where(sizes_fit(jaccard))
-    return met.select("a", "b", "n", "_n", "sketch", "_sketch").mapInArrow(run, "a long, b long")
+    """The pairs (a, b) that sizes do not rule out; no text moves for it."""
+    left = lines.select(F.col("id").alias("a"), "n")
+    right = lines.select(F.col("id").alias("b"), F.col("n").alias("_n"))
+    return pairs.join(left, "a").join(right, "b").where(sizes_fit(jaccard)).select("a", "b")
 
 
 def _pair_groups(xs: list[str], ys: list[str]):
@@ -266,25 +278,15 @@ def near_by_hashes(xs: list[str], ys: list[str], jaccard: float, chars: int) ->
 
 
 def verified(pairs: DataFrame, lines: DataFrame, rows: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> DataFrame:
-    """The pairs (a, b) whose exact Jaccard similarity of shingle sets is high enough; written down."""
-
-    def run(batches):
-        for batch in batches:
-            xs, ys = batch.column("_x").to_pylist(), batch.column("_y").to_pylist()
-            keep = np.zeros(len(xs), bool)
-            for low, high in _pair_groups(xs, ys):
-                keep[low:high] = near_by_hashes(xs[low:high], ys[low:high], jaccard, chars)
-            for i in np.flatnonzero(keep):
-                p, q = shingles(xs[i], chars), shingles(ys[i], chars)
-                both = len(p & q)
-                keep[i] = both >= jaccard * (len(p) + len(q) - both)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
+    """The pairs (a, b) whose Jaccard similarity of shingle sets, told by their 64-bit hashes, is high enough; written down."""
     pairs = stage_table(pairs, "zstd")
     texts = line_texts(pairs.select(F.explode(F.array("a", "b")).alias("id")), lines, rows)
     left = texts.select(F.col("id").alias("a"), F.col("line").alias("_x"))
     right = texts.select(F.col("id").alias("b"), F.col("line").alias("_y"))
-    return stage_table(pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long"), "zstd")
+    sets = pairs.join(left, "a").join(right, "b").select("a", "b", *[shingle_hashes(F.col(c), chars).alias(c) for c in ("_x", "_y")])
+    shared = sets.select("a", "b", F.size(F.array_intersect("_x", "_y")).alias("both"), (F.size("_x") + F.size("_y")).alias("all"))
+    # The counts are written before they are compared, so that no filter repeats the sets' work.
+    return stage_table(shared, "zstd").where(F.col("both") >= jaccard * (F.col("all") - F.col("both"))).select("a", "b")
 
 
 def links(lines: DataFrame, rows: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> DataFrame:
@@ -318,11 +320,8 @@ def links(lines: DataFrame, rows: DataFrame, jaccard: float = JACCARD, chars: in
     open_ = stage_table(member.join(mixed.where(F.col("_a") != F.col("_b")).select("key"), "key", "left_semi"), "zstd")
     sweep(spark)
     if not open_.isEmpty():
-        crowded = open_.where(F.col("size") > CROWD).select("id", "component").distinct()
-        more = crowd_pairs(open_.where(F.col("size") <= CROWD), lines, jaccard)
-        if not crowded.isEmpty():
-            rare = rare_pairs(crowded, line_texts(crowded, lines, rows), jaccard, chars)
-            more = more.unionByName(plausible(rare, lines, jaccard)).distinct()
+        left = open_.select("id", "component").distinct()
+        more = rare_pairs(left, line_texts(left, lines, rows), jaccard, chars)
         found = components(near.unionByName(verified(more, lines, rows, jaccard, chars)))
     # The components lie in the last table; all others made here have been read for the last time.
     discard(spark, sorted(set(STAGED[made:]) - read_by(found)))
@@ -330,27 +329,6 @@ def links(lines: DataFrame, rows: DataFrame, jaccard: float = JACCARD, chars: in
     return found
 
 
-def crowd_pairs(members: DataFrame, lines: DataFrame, jaccard: float = JACCARD) -> DataFrame:
-    """Pairs (a, b) of lines in one bucket (key) of at most CROWD lines, in different components, that sizes and sketches leave."""
-
-    def run(batches):
-        for batch in batches:
-            for rows in batch.column("rows").to_pylist():
-                ids, groups, n = (np.array([r[c] for r in rows]) for c in ("id", "component", "n"))
-                sketch = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), -1)
-                for i in range(len(rows) - 1):
-                    a, b = np.minimum(n[i], n[i + 1 :]), np.maximum(n[i], n[i + 1 :])
-                    near = (groups[i + 1 :] != groups[i]) & (a >= b * jaccard - 1e-9)
-                    near &= alike(sketch[i], sketch[i + 1 :], n[i], n[i + 1 :], jaccard)
-                    other = ids[i + 1 :][near]
-                    if len(other):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], other)), pa.array(np.maximum(ids[i], other))], names=["a", "b"])
-
-    told = members.select("key", "id", "component").join(lines.select("id", "n", "sketch"), "id")
-    buckets = told.groupBy("key").agg(F.collect_list(F.struct("id", "component", "n", "sketch")).alias("rows"))
-    return buckets.select("rows").mapInArrow(run, "a long, b long").distinct()
-
-
 def rare_pairs(members: DataFrame, texts: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> DataFrame:
     """Pairs (a, b) of members (id, component), with texts (id, line), in different components that may reach the similarity;
     none that does is missing.
@@ -358,28 +336,19 @@ def rare_pairs(members: DataFrame, texts: DataFrame, jaccard: float = JACCARD, c
     In any fixed order of all shingles, two sets that similar share one of the first n - ceil(jaccard * n) + 1 of
     each, and at the first that they share enough must be left after it in both. The order goes from shingles
     whose hash bucket is rare in a repeatable sample of the lines to common ones, so lines with text of their own
-    meet few others; only the first shingles of a line ever leave its task.
+    meet few others.
     """
-    texts = members.join(texts, "id").select("id", "component", "line")
-    order = _rarest_first(texts.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0), chars)
-
-    def run(batches):
-        low_bits = np.uint64((1 << ORDER_BITS) - 1)
-        for batch in batches:
-            lines = batch.column("line").to_pylist()
-            for low, high in _groups(lines):
-                hashes, starts = line_hashes(lines[low:high], chars)
-                n = np.diff(starts)
-                # A hash with its bucket's rank in front stands for the same shingle and sorts rare ones first.
-                ranked = (order[hashes & low_bits] << np.uint64(HASH_BITS - ORDER_BITS)) | ((hashes & MASK) >> np.uint64(ORDER_BITS))
-                ranked |= hashes & ~MASK
-                ranked.sort()
-                row, at = _within(first_of(n, jaccard))
-                ids, groups = (batch.column(c).to_numpy()[low:high][row] for c in ("id", "component"))
-                told = [ids, groups, n[row].astype(np.int32), at.astype(np.int32), (ranked[starts[row] + at] & MASK).view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in told], names=["id", "component", "n", "at", "shingle"])
-
-    rare = stage_table(texts.mapInArrow(run, "id long, component long, n int, at int, shingle long"), "zstd")
+    bucket = F.shiftrightunsigned("shingle", 64 - ORDER_BITS).alias("bucket")
+    sets = members.join(texts, "id").select("id", "component", shingle_hashes(F.col("line"), chars).alias("hashes"))
+    sets = stage_table(sets, "zstd")
+    told = sets.select("id", "component", F.size("hashes").alias("n"), F.explode("hashes").alias("shingle"))
+    sampled = told.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0)
+    often = stage_table(sampled.groupBy(bucket).agg(F.count("*").alias("times")))
+    # One row for each of the 2 ** ORDER_BITS buckets at most, whatever the table's size.
+    ranked = told.withColumn("bucket", bucket).join(F.broadcast(often), "bucket", "left")
+    order = Window.partitionBy("id").orderBy(F.coalesce("times", F.lit(0)), "bucket", "shingle")
+    ranked = ranked.select("id", "component", "n", "shingle", (F.row_number().over(order) - 1).alias("at"))
+    rare = stage_table(ranked.where(F.col("at") < first_count(F.col("n"), jaccard)), "zstd")
     mixed = rare.groupBy("shingle").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b")
     met = stage_table(rare.join(mixed.select("shingle"), "shingle", "left_semi"), "zstd")
     sweep(members.sparkSession)
@@ -390,27 +359,6 @@ def rare_pairs(members: DataFrame, texts: DataFrame, jaccard: float = JACCARD, c
     return met.withColumnRenamed("id", "a").join(other, "shingle").where(fits).select("a", "b").distinct()
 
 
-def _rarest_first(texts: DataFrame, chars: int) -> np.ndarray:
-    """The rank of every hash bucket by how often its shingles occur; 2 ** ORDER_BITS numbers whatever the table's size."""
-
-    def run(batches):
-        for batch in batches:
-            lines = batch.column("line").to_pylist()
-            for low, high in _groups(lines):
-                hashes, _ = line_hashes(lines[low:high], chars)
-                times = np.bincount((hashes & np.uint64((1 << ORDER_BITS) - 1)).astype(np.int64), minlength=1 << ORDER_BITS)
-                seen = np.flatnonzero(times)
-                yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(times[seen])], names=["bucket", "times"])
-
-    counts = texts.select("line").mapInArrow(run, "bucket long, times long").groupBy("bucket").agg(F.sum("times").alias("times"))
-    often = np.zeros(1 << ORDER_BITS, np.int64)
-    for r in counts.collect():
-        often[r["bucket"]] = r["times"]
-    rank = np.empty(1 << ORDER_BITS, np.uint64)
-    rank[np.argsort(often, kind="stable")] = np.arange(1 << ORDER_BITS, dtype=np.uint64)
-    return rank
-
-
 def dedup(docs: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> DataFrame:
     """The documents with all their columns; of every component of lines only the first line stays.
 
@@ -422,6 +370,7 @@ def dedup(docs: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> Data
     """
     # The caller's columns travel in one struct, so no name of theirs can meet one of these.
     rows = numbered(docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row")))
+    sweep(docs.sparkSession)
     lines = distinct_lines(rows, chars, jaccard=jaccard)
     sweep(docs.sparkSession)
     member = lines.select("id", "first").join(links(lines, rows, jaccard, chars), F.col("id") == F.col("node"))
@@ -432,20 +381,15 @@ def dedup(docs: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> Data
     discard(docs.sparkSession, sorted(read_by(lines) | read_by(member)))
     sweep(docs.sparkSession)
 
-    def run(batches):
-        for batch in batches:
-            texts, n_lines, n_kept = [], [], []
-            for text, kept in zip(batch.column("text").to_pylist(), batch.column("_kept").to_pylist()):
-                held = set(kept or ())
-                lines = [] if text is None else text.split("\n")
-                left = [x for k, x in enumerate(lines) if k in held or not x.strip(" \t\n\v\f\r")]
-                texts.append(None if text is None else "\n".join(left))
-                n_lines.append(len(lines))
-                n_kept.append(len(lines) - len(left))
-            columns = [batch.column("row"), pa.array(texts, pa.string()), pa.array(n_lines, pa.int32()), pa.array(n_kept, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "text", "n_lines", "n_dropped"])
-
-    schema = StructType([*rows.select("row", "text").schema, *StructType.fromDDL("n_lines int, n_dropped int")])
-    out = rows.select("_row", "row", "text").join(kept, "_row", "left").select("row", "text", "_kept").mapInArrow(run, schema)
+    # One row a document, so the work on its lines is linear: positions kept, and those without a word, in order.
+    told = rows.join(kept, "_row", "left").select("row", "text", F.split("text", "\n").alias("held"), "_kept")
+    places = F.sequence(F.lit(0), F.size("held") - 1)
+    mute = F.filter(places, lambda k: ~F.get("held", k).rlike(WORD))
+    stay = F.sort_array(F.array_union(F.coalesce("_kept", F.array().cast("array<int>")), mute)).alias("stay")
+    told = told.select("row", "text", "held", F.when(F.col("text").isNotNull(), stay).alias("stay"))
+    text = F.array_join(F.transform("stay", lambda k: F.get("held", k)), "\n").alias("text")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("held"))
+    n_dropped = F.when(F.col("text").isNull(), 0).otherwise(F.size("held") - F.size("stay"))
+    out = told.select("row", text, n_lines.cast("int").alias("n_lines"), n_dropped.cast("int").alias("n_dropped"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return out.select(*[F.col(c) if c == "text" else F.col("row")[c].alias(c) for c in names], "n_lines", "n_dropped")
