@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tillwise.llm import caps, declist, fuzzylines, rulefit, secrets, simhash, toxicity
 from tillwise.llm.statistics import features, measures
@@ -300,3 +301,34 @@ def test_hashes_pass_every_similar_pair():
         p, q = fuzzylines.shingles(x), fuzzylines.shingles(y)
         assert k or len(p & q) < 0.8 * len(p | q)
     assert not all(passed)
+
+
+def test_fuzzy_lines_use_column_functions_only(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a line of text here\nanother line"), (2, "a line of text here"), (3, None)], "doc_id long, text string")
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(docs), name, lambda *_: pytest.fail("Python on the executors"))
+    assert sorted(r["n_dropped"] for r in fuzzylines.dedup(docs).collect()) == [0, 0, 1]
+
+
+def test_shingle_hashes_are_those_of_the_plain_shingles(spark):
+    """Short, long, ASCII and other lines alike, also where pieces of a line meet."""
+    draw = random.Random(1)
+    lines = ["", "abc", "abcdefgh", "\u00e9abcdefghij", "x" * 3000]
+    lines += ["".join(draw.choices(kind, k=n)) for kind in ("abcdefgh ", "abcd\u00e9\U0001f642 ") for n in (9, 50, 1024, 1031, 1032, 1033, 2060)]
+    rows = spark.createDataFrame(list(enumerate(lines)), "i int, line string")
+    found = {r["i"]: r["h"] for r in rows.select("i", fuzzylines.shingle_hashes(F.col("line")).alias("h")).collect()}
+    plain = spark.createDataFrame([(i, x) for i, line in enumerate(lines) for x in plain_shingles(line)], "i int, x string")
+    wanted = {r["i"]: r["h"] for r in plain.groupBy("i").agg(F.collect_set(F.xxhash64("x")).alias("h")).collect()}
+    assert {i: sorted(h) for i, h in found.items()} == {i: sorted(h) for i, h in wanted.items()}
+
+
+def test_unlike_variants_of_one_line_are_not_paired_up(spark, monkeypatch):
+    """Variants that share a bucket but are not similar make few pairs, not the square of their number."""
+    draw = random.Random(7)
+    base = "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=240))
+    lines = [base + "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=80)) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    checked, verified = [], fuzzylines.verified
+    monkeypatch.setattr(fuzzylines, "verified", lambda pairs, *rest: checked.append(pairs.count()) or verified(pairs, *rest))
+    assert fuzzylines.dedup(docs).agg(F.sum("n_dropped")).first()[0] == 0
+    assert sum(checked) <= 12 * len(lines)

@@ -1,13 +1,10 @@
 """Line dedup by MinHash: near-equal lines of the whole corpus form components, one line of each stays.
 
-Distinct lines are hashed to character shingles, seen as places on a circle of 52-bit numbers. A
-signature value is the first hash at or after a fixed point of the circle: the least hash after a turn
-by that point, which agrees for two lines as often as their Jaccard similarity says. One sort of a line's
-hashes gives all its values. Bands of values are the join keys; lines of few shingles, whose values fail
-together, have their first hashes as keys too, which miss no pair. Candidates are verified by exact
-Jaccard, and components come from distributed union-find. Joins, groups and components are DataFrame
-functions; shingles are hashed and compared in Arrow batches, because taking them by column functions
-costs more than the whole operator may (README).
+Distinct lines are hashed to character shingles, seen as places on a circle of 64-bit numbers. Evenly
+spaced points cut the circle into arcs; the first hashes at or after a point form a band, which two lines
+share as often as their Jaccard similarity says. Bands are the join keys; lines of few shingles have their
+first hashes as keys too, which miss no pair. Candidates are verified by the Jaccard similarity of all
+hashes, and components come from distributed union-find. All of it is DataFrame functions.
 
 One character changed inside a line changes up to CHARS shingles on either side of the comparison, so with 8
 characters and 0.8 lines under 79 characters that differ in one inner character are not near copies.
@@ -18,28 +15,22 @@ from __future__ import annotations
 import random
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from tillwise.llm.shared import STAGED, WORD, components, discard, read_by, stage_buckets, stage_table, sweep
 
 CHARS = 8
 JACCARD = 0.8
 ROWS = 4
-# 1 - (1 - 0.8^4)^12 = 99.8 % of pairs at the least similarity would meet if values were independent. Simulated
-# with shared hashes: 96 to 98.7 % for 10 to 20 shingles, 99.3 % for 50, 99.6 % for 200, more above 0.8.
+# 1 - (1 - 0.8^4)^12 = 99.8 % of pairs at the least similarity. Simulated: 99.8 to 100 % for 26 to 400 shingles.
 BANDS = 12
 # Lines of up to so many shingles have exact keys too. At 0.8 a line of 20 can match one of 25, so no pair whose shorter line has up to 20 is lost.
 SHORT = 25
-SIGMAS = 4
-# Buckets of up to so many lines are compared sketch by sketch in one task; lines of larger ones meet by rare shingles.
-CROWD = 256
 # Hash buckets whose counts order the shingles, and the share of the lines (one in so many) they are counted on.
 ORDER_BITS = 16
 SAMPLED = 16
-# Hashes have HASH_BITS bits; the bits above them number the lines that are hashed together.
+# In near_by_hashes, hashes have HASH_BITS bits; the bits above them number the lines that are hashed together.
 HASH_BITS = 52
 MASK = np.uint64((1 << HASH_BITS) - 1)
 GROUP_LINES = 1 << (64 - HASH_BITS)
@@ -55,16 +46,6 @@ def shingles(line: str, chars: int = CHARS) -> set[str]:
     return {line[i : i + chars] for i in range(len(line) - chars + 1)} if len(line) > chars else {line}
 
 
-def _points(n: int, seed: int = 11) -> list[int]:
-    draw = random.Random(seed)
-    return sorted(draw.getrandbits(HASH_BITS) for _ in range(n))
-
-
-def _dealt(n: int, seed: int = 12) -> list[int]:
-    """A fixed shuffle of the points, so that a band's points lie apart."""
-    return random.Random(seed).sample(range(n), n)
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A fixed one-to-one scrambling of 64-bit numbers."""
     x = (x ^ (x >> np.uint64(33))) * _FACTORS[0]
@@ -106,41 +87,12 @@ def line_hashes(lines: list[str], chars: int = CHARS) -> tuple[np.ndarray, np.nd
     return found, np.append(np.searchsorted(found, line), len(found))
 
 
-def first_of(n: np.ndarray, jaccard: float) -> np.ndarray:
-    """n - ceil(jaccard * n) + 1: two sets that similar share one of so many first members in any common order."""
-    return n - np.ceil(n * jaccard - 1e-9).astype(np.int64) + 1
-
-
 def _within(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, place) of the entries of consecutive rows that have so many entries."""
     row = np.repeat(np.arange(len(counts)), counts)
     return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def signatures(lines: list[str], chars: int, bands: int, per_band: int, jaccard: float):
-    """(n, sketch, keys, offsets): numbers of shingles, a byte of every signature value, and the band keys.
-
-    Lines of up to SHORT shingles have their first hashes, which miss no pair that similar, as keys too.
-    """
-    hashes, starts = line_hashes(lines, chars)
-    n = np.diff(starts)
-    points = np.array(_points(bands * per_band), np.uint64)
-    line = np.arange(len(lines), dtype=np.uint64)[:, None] << np.uint64(HASH_BITS)
-    at = np.searchsorted(hashes, (line | points).ravel()).reshape(len(lines), -1)
-    values = hashes[np.where(at < starts[1:, None], at, starts[:-1, None])] & MASK  # past the last hash the circle starts again
-    dealt = values[:, _dealt(len(points))].reshape(len(lines), bands, per_band)
-    keys = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(lines), bands))
-    for j in range(per_band):
-        keys = _mixed(keys + dealt[:, :, j])
-    exact = np.where(n <= SHORT, first_of(n, jaccard), 0)
-    offsets = np.append(0, np.cumsum(bands + exact))
-    out = np.empty(offsets[-1], np.uint64)
-    out[(offsets[:-1, None] + np.arange(bands)).ravel()] = keys.ravel()
-    row, k = _within(exact)
-    out[offsets[row] + bands + k] = _mixed(~hashes[starts[row] + k] & MASK)
-    return n, (values & np.uint64(255)).astype(np.uint8), out.view(np.int64), offsets
-
-
 def numbered(docs: DataFrame) -> DataFrame:
     """The rows with a number each (_row), written down so that it never changes.
 
@@ -294,9 +246,8 @@ def links(lines: DataFrame, rows: DataFrame, jaccard: float = JACCARD, chars: in
 
     First every line of a bucket meets one line of it only, the one that shares most buckets with others
     (of variants of one line, most likely the original), which settles buckets of
-    near copies in linear work. Lines still in different components of one bucket are then compared by
-    their sketches where the bucket has up to CROWD lines, and meet where they share a rare shingle
-    where it has more, which loses no link and does not pair up the bucket.
+    near copies in linear work. Lines still in different components of one bucket meet where they share
+    a rare shingle, which loses no link and does not pair up the bucket.
     """
     spark = lines.sparkSession
     made = len(STAGED)
