@@ -332,3 +332,21 @@ def test_unlike_variants_of_one_line_are_not_paired_up(spark, monkeypatch):
     monkeypatch.setattr(fuzzylines, "verified", lambda pairs, *rest: checked.append(pairs.count()) or verified(pairs, *rest))
     assert fuzzylines.dedup(docs).agg(F.sum("n_dropped")).first()[0] == 0
     assert sum(checked) <= 12 * len(lines)
+
+
+def test_hashes_in_rows_tell_the_plain_shingles_apart(spark):
+    """Short, long, ASCII and other lines alike: as many different hashes as shingles, and the same for the same shingle."""
+    draw = random.Random(2)
+    lines = ["", "abc", "abcdefgh", "éabcdefghij", "x" * 3000]
+    lines += ["".join(draw.choices(kind, k=n)) for kind in ("abcdefgh ", "abcdé\U0001f642 ") for n in (9, 38, 39, 40, 70, 71, 72, 500)]
+    lines += [line[3:] + "tail" for line in lines]
+    rows = spark.createDataFrame(list(enumerate(lines)), "i int, line string")
+    hashed = fuzzylines.line_hashes_in_rows(rows)
+    found = {r["i"]: set(r["hashes"]) for r in hashed.collect()}
+    for i, line in enumerate(lines):
+        assert len(found[i]) == len(plain_shingles(line))
+        for j in range(i):
+            assert len(found[i] & found[j]) == len(plain_shingles(line) & plain_shingles(lines[j]))
+    assert len(found) == len(lines)
+    plan = hashed._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan  # no shingle is hashed by interpreted code

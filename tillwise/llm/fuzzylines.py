@@ -27,9 +27,8 @@ ROWS = 4
 BANDS = 12
 # Lines of up to so many shingles have exact keys too. At 0.8 a line of 20 can match one of 25, so no pair whose shorter line has up to 20 is lost.
 SHORT = 25
-# Hash buckets whose counts order the shingles, and the share of the lines (one in so many) they are counted on.
-ORDER_BITS = 16
-SAMPLED = 16
+# Hash buckets whose counts order the shingles.
+ORDER_BITS = 20
 # In near_by_hashes, hashes have HASH_BITS bits; the bits above them number the lines that are hashed together.
 HASH_BITS = 52
 MASK = np.uint64((1 << HASH_BITS) - 1)
@@ -38,6 +37,10 @@ GROUP_CHARS = 1 << 20
 SLACK = 2
 # Characters of a line that are cut into shingles at once.
 PIECE = 1024
+# Shingles of a line that are hashed in one row.
+RUN = 32
+# Bits of the slots that say which buckets may hold more than two lines.
+SLOT_BITS = 20
 _FACTORS = [np.uint64(random.Random(k).getrandbits(64) | 1) for k in range(3)]
 
 
@@ -142,18 +145,39 @@ def band_keys(hashed: DataFrame, bands: int, per_band: int, jaccard: float) -> D
     """
     others = [c for c in hashed.columns if c != "hashes"]
     points = [F.lit(-(1 << 63) + (j << 64) // bands).cast("bigint") for j in range(bands)]
-    # Sorted in between the hashes, the points say how many hashes lie before them.
-    placed = hashed.select(*others, "hashes", F.size("hashes").alias("n"), F.sort_array(F.concat("hashes", F.array(*points))).alias("placed"))
-    before = F.array(*[(F.array_position("placed", p) - 1 - j).cast("int") for j, p in enumerate(points)])
-    n = F.col("n")
-    keys = F.transform(before, lambda i: F.xxhash64(*[F.get("hashes", (i + k) % n) for k in range(per_band)]))
-    exact = F.when(n <= SHORT, F.slice("hashes", 1, first_count(n, jaccard))).otherwise(F.array().cast("array<bigint>"))
+    n = F.size("hashes")
+    # Sorted in between the hashes, the points say how many hashes lie before them. The first hashes follow the last ones.
+    circle = F.when(n < per_band, F.flatten(F.array_repeat("hashes", per_band + 1))).otherwise(F.concat("hashes", F.slice("hashes", 1, per_band)))
+    placed = hashed.select(*others, "hashes", n.alias("n"), F.sort_array(F.concat("hashes", F.array(*points))).alias("placed"), circle.alias("circle"))
+    # Written out for each point and not as a lambda, so that it is compiled; the hash of an array is that of its members.
+    keys = F.array(*[F.xxhash64(F.slice("circle", (F.array_position("placed", p) - j).cast("int"), per_band)) for j, p in enumerate(points)])
+    exact = F.when(F.col("n") <= SHORT, F.slice("hashes", 1, first_count(F.col("n"), jaccard))).otherwise(F.array().cast("array<bigint>"))
     exact = F.transform(exact, lambda h: F.xxhash64(F.lit(-1), h))
     return placed.select(*others, "n", F.array_distinct(F.concat(keys, exact)).alias("bands"))
 
 
-def distinct_lines(rows: DataFrame, chars: int = CHARS, bands: int = BANDS, per_band: int = ROWS, jaccard: float = JACCARD) -> DataFrame:
-    """(id, first, n, bands): every different line with a word by its first place, its number of different
+def line_hashes_in_rows(lines: DataFrame, chars: int = CHARS) -> DataFrame:
+    """Rows with a ``line`` and, in its place, the hashes of its shingles, repeats included; rows are told apart by
+    their other columns.
+
+    As ``shingle_hashes``, but compiled: a row for each run of shingles, gathered again where it lies if the rows were
+    dealt by some of the columns. The hash is that of a shingle's UTF-32.
+    """
+    others = [c for c in lines.columns if c != "line"]
+    n = F.greatest(F.char_length("line") - chars + 1, F.lit(1))
+    runs = lines.select(*others, F.encode("line", "UTF-32").alias("raw"), n.alias("n"))
+    runs = runs.select(*others, "raw", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(RUN))).alias("at"))
+    # The last run ends with the line, so it may hold shingles of the one before again.
+    at, size = F.least(F.col("at"), F.greatest(F.col("n") - RUN, F.lit(0))), RUN + chars - 1
+    runs = runs.select(*others, F.substr("raw", at * 4 + 1, F.lit(size * 4)).alias("run"), F.least(F.col("n"), F.lit(RUN)).alias("n"))
+    # Little code for a shingle: Java does not compile a method that grows too long.
+    told = F.array(*[F.xxhash64(F.col("run").substr(4 * k + 1, 4 * chars)) for k in range(RUN)])
+    hashed = runs.select(*others, F.slice(told, F.lit(1), F.col("n")).alias("hashes"))
+    return hashed.groupBy(*others).agg(F.flatten(F.collect_list("hashes")).alias("hashes"))
+
+
+def distinct_lines(rows: DataFrame, chars: int = CHARS, bands: int = BANDS, per_band: int = ROWS, jaccard: float = JACCARD) -> tuple[DataFrame, DataFrame]:
+    """(id, first) and (id, n, bands): every different line with a word by its first place, its number of different
     shingles and its band keys.
 
     Equal lines meet by a digest, so no line is shuffled; signatures are taken where the texts lie (see ``cut_lines``).
@@ -162,26 +186,24 @@ def distinct_lines(rows: DataFrame, chars: int = CHARS, bands: int = BANDS, per_
     once = spoken.groupBy(F.unhex(F.md5("line")).alias("mark")).agg(F.min(F.struct("_late", "doc_id", "_row", "pos")).alias("first"))
     once = stage_table(once.select(F.monotonically_increasing_id().alias("id"), "first"), "zstd")
     sweep(rows.sparkSession)
-    hashed = cut_lines(once, rows).select("id", "first", F.sort_array(shingle_hashes(F.col("line"), chars)).alias("hashes"))
-    found = band_keys(hashed, bands, per_band, jaccard)
-    found = stage_table(found, "zstd")
-    discard(rows.sparkSession, sorted(read_by(once)))
-    return found
+    hashed = line_hashes_in_rows(cut_lines(once, rows).drop("first"), chars)
+    hashed = hashed.select("id", F.array_distinct(F.sort_array("hashes")).alias("hashes"))
+    return once, stage_table(band_keys(hashed, bands, per_band, jaccard), "zstd")
 
 
 def cut_lines(places: DataFrame, rows: DataFrame) -> DataFrame:
-    """(id, first, line) of the lines at these places (id, first), cut out of the rows that hold them."""
+    """(_row, id, first, line) of the lines at these places (id, first), cut out of the rows that hold them; dealt by _row."""
     wanted = places.groupBy(F.col("first._row").alias("_row")).agg(F.collect_list(F.struct("id", "first")).alias("wanted"))
-    held = rows.select("_row", "text").join(wanted, "_row").select(F.split("text", "\n").alias("held"), "wanted")
-    told = held.select("held", F.explode("wanted").alias("w"))
-    return told.select("w.id", "w.first", F.get("held", F.col("w.first.pos")).alias("line"))
+    held = rows.select("_row", "text").join(wanted, "_row").select("_row", F.split("text", "\n").alias("held"), "wanted")
+    told = held.select("_row", "held", F.explode("wanted").alias("w"))
+    return told.select("_row", "w.id", "w.first", F.get("held", F.col("w.first.pos")).alias("line"))
 
 
-def line_texts(ids: DataFrame, lines: DataFrame, rows: DataFrame) -> DataFrame:
+def line_texts(ids: DataFrame, places: DataFrame, rows: DataFrame) -> DataFrame:
     """(id, line) of the lines with these ids; written down."""
-    placed = lines.select("id", "first").join(ids.select("id").distinct(), "id", "left_semi")
+    placed = places.join(ids.select("id").distinct(), "id", "left_semi")
     texts = stage_table(cut_lines(placed, rows).select("id", "line"), "zstd")
-    sweep(lines.sparkSession)
+    sweep(rows.sparkSession)
     return texts
 
 
@@ -229,25 +251,30 @@ def near_by_hashes(xs: list[str], ys: list[str], jaccard: float, chars: int) ->
     return both >= jaccard * (n[left] + n[right] - both) - 1e-9
 
 
-def verified(pairs: DataFrame, lines: DataFrame, rows: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> DataFrame:
-    """The pairs (a, b) whose Jaccard similarity of shingle sets, told by their 64-bit hashes, is high enough; written down."""
-    pairs = stage_table(pairs, "zstd")
-    texts = line_texts(pairs.select(F.explode(F.array("a", "b")).alias("id")), lines, rows)
+def verified(pairs: DataFrame, texts: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> DataFrame:
+    """The pairs (a, b) whose Jaccard similarity of shingle sets, told by their 64-bit hashes, is high enough; written down.
+
+    ``texts`` holds (id, line) of their lines.
+    """
     left = texts.select(F.col("id").alias("a"), F.col("line").alias("_x"))
     right = texts.select(F.col("id").alias("b"), F.col("line").alias("_y"))
-    sets = pairs.join(left, "a").join(right, "b").select("a", "b", *[shingle_hashes(F.col(c), chars).alias(c) for c in ("_x", "_y")])
-    shared = sets.select("a", "b", F.size(F.array_intersect("_x", "_y")).alias("both"), (F.size("_x") + F.size("_y")).alias("all"))
+    sides = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(c).alias("line")) for k, c in enumerate(("_x", "_y"))]))
+    told = pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y").repartition("a", "b")
+    told = line_hashes_in_rows(told.select("a", "b", sides.alias("s")).select("a", "b", "s.side", "s.line"), chars)
+    sets = told.select("a", "b", F.array_distinct("hashes").alias("hashes")).groupBy("a", "b").agg(F.collect_list("hashes").alias("sets"))
+    x, y = F.get("sets", F.lit(0)), F.get("sets", F.lit(1))
+    shared = sets.select("a", "b", F.size(F.array_intersect(x, y)).alias("both"), (F.size(x) + F.size(y)).alias("all"))
     # The counts are written before they are compared, so that no filter repeats the sets' work.
     return stage_table(shared, "zstd").where(F.col("both") >= jaccard * (F.col("all") - F.col("both"))).select("a", "b")
 
 
-def links(lines: DataFrame, rows: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> DataFrame:
+def links(lines: DataFrame, places: DataFrame, rows: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> DataFrame:
     """(node, component) over all lines that share a band and reach the similarity.
 
     First every line of a bucket meets one line of it only, the one that shares most buckets with others
     (of variants of one line, most likely the original), which settles buckets of
     near copies in linear work. Lines still in different components of one bucket meet where they share
-    a rare shingle, which loses no link and does not pair up the bucket.
+    a bucket and a rare shingle, which loses no link and does not pair up the bucket.
     """
     spark = lines.sparkSession
     made = len(STAGED)
@@ -256,13 +283,21 @@ def links(lines: DataFrame, rows: DataFrame, jaccard: float = JACCARD, chars: in
     shared = stage_table(shared, "zstd")
     sweep(spark)
     twos = shared.where("size = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    many = stage_table(placed.join(shared.where("size > 2").select("key", "size"), "key"), "zstd")
+    large = shared.where("size > 2").select("key", "size")
+    # Most lines are in no such bucket; the slots, 2 ** SLOT_BITS at most whatever the table's size, spare them the way.
+    slot = F.shiftrightunsigned("key", 64 - SLOT_BITS).alias("slot")
+    wanted = stage_table(large.select(slot).distinct())
+    few = placed.select("id", "key", slot).join(F.broadcast(wanted), "slot", "left_semi").drop("slot")
+    many = stage_table(few.join(large, "key"), "zstd")
     sweep(spark)
     met = many.join(many.groupBy("id").agg(F.sum("size").alias("_met")), "id")
     middle = met.groupBy("key").agg(F.max(F.struct("_met", "id"))["id"].alias("middle"))
     crowd = stage_table(many.join(middle, "key"), "zstd")
     star = crowd.where(F.col("id") != F.col("middle")).select(F.least("id", "middle").alias("a"), F.greatest("id", "middle").alias("b"))
-    near = verified(plausible(twos.unionByName(star).distinct(), lines, jaccard), lines, rows, jaccard, chars)
+    pairs = stage_table(plausible(twos.unionByName(star).distinct(), lines, jaccard), "zstd")
+    # Whoever meets others later is in one of these pairs or in a bucket of more than two.
+    texts = line_texts(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowd.select("id")), places, rows)
+    near = verified(pairs, texts, jaccard, chars)
     sweep(spark)
     found = components(near)
     member = crowd.join(found.withColumnRenamed("node", "id"), "id", "left")
@@ -272,8 +307,12 @@ def links(lines: DataFrame, rows: DataFrame, jaccard: float = JACCARD, chars: in
     sweep(spark)
     if not open_.isEmpty():
         left = open_.select("id", "component").distinct()
-        more = rare_pairs(left, line_texts(left, lines, rows), jaccard, chars)
-        found = components(near.unionByName(verified(more, lines, rows, jaccard, chars)))
+        keys = stage_table(open_.groupBy("id").agg(F.collect_list("key").alias("keys")), "zstd")
+        more = rare_pairs(left, texts, jaccard, chars)
+        for c in ("a", "b"):
+            more = more.join(keys.select(F.col("id").alias(c), F.col("keys").alias(f"_{c}")), c)
+        more = stage_table(more.where(F.arrays_overlap("_a", "_b")).select("a", "b"), "zstd")
+        found = components(near.unionByName(verified(more, texts, jaccard, chars)))
     # The components lie in the last table; all others made here have been read for the last time.
     discard(spark, sorted(set(STAGED[made:]) - read_by(found)))
     sweep(spark)
@@ -285,29 +324,32 @@ def rare_pairs(members: DataFrame, texts: DataFrame, jaccard: float = JACCARD, c
     none that does is missing.
 
     In any fixed order of all shingles, two sets that similar share one of the first n - ceil(jaccard * n) + 1 of
-    each, and at the first that they share enough must be left after it in both. The order goes from shingles
-    whose hash bucket is rare in a repeatable sample of the lines to common ones, so lines with text of their own
-    meet few others.
+    each, and at the first that they share enough must be left after it in both; in the smaller set it is one of the
+    first n - ceil(2 * jaccard / (1 + jaccard) * n) + 1. The order goes from shingles whose hash bucket is rare in the
+    lines to common ones, so lines with text of their own meet few others, and what many lines have in common is
+    behind the first shingles of those that are not similar.
     """
     bucket = F.shiftrightunsigned("shingle", 64 - ORDER_BITS).alias("bucket")
-    sets = members.join(texts, "id").select("id", "component", shingle_hashes(F.col("line"), chars).alias("hashes"))
-    sets = stage_table(sets, "zstd")
+    # Dealt by id, so that hashes, counts and ranks are taken where the texts lie; taken twice and never written.
+    held = stage_buckets(members.join(texts, "id").select("id", "component", "line"), "id", "zstd")
+    sets = line_hashes_in_rows(held, chars).select("id", "component", F.array_distinct("hashes").alias("hashes"))
     told = sets.select("id", "component", F.size("hashes").alias("n"), F.explode("hashes").alias("shingle"))
-    sampled = told.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0)
-    often = stage_table(sampled.groupBy(bucket).agg(F.count("*").alias("times")))
+    often = stage_table(told.groupBy(bucket).agg(F.count("*").alias("times")))
     # One row for each of the 2 ** ORDER_BITS buckets at most, whatever the table's size.
-    ranked = told.withColumn("bucket", bucket).join(F.broadcast(often), "bucket", "left")
-    order = Window.partitionBy("id").orderBy(F.coalesce("times", F.lit(0)), "bucket", "shingle")
+    ranked = told.withColumn("bucket", bucket).join(F.broadcast(often), "bucket")
+    order = Window.partitionBy("id").orderBy("times", "bucket", "shingle")
     ranked = ranked.select("id", "component", "n", "shingle", (F.row_number().over(order) - 1).alias("at"))
     rare = stage_table(ranked.where(F.col("at") < first_count(F.col("n"), jaccard)), "zstd")
     mixed = rare.groupBy("shingle").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b")
     met = stage_table(rare.join(mixed.select("shingle"), "shingle", "left_semi"), "zstd")
     sweep(members.sparkSession)
+    small = met.withColumnRenamed("id", "a").where(F.col("at") < first_count(F.col("n"), 2 * jaccard / (1 + jaccard)))
     other = met.select("shingle", F.col("id").alias("b"), F.col("component").alias("_other"), F.col("n").alias("_n"), F.col("at").alias("_at"))
     needed = F.ceil((F.col("n") + F.col("_n")) * (jaccard / (1 + jaccard)) - 1e-9)
     left = F.least(F.col("n") - F.col("at"), F.col("_n") - F.col("_at"))
-    fits = (F.col("component") < F.col("_other")) & sizes_fit(jaccard) & (left >= needed)
-    return met.withColumnRenamed("id", "a").join(other, "shingle").where(fits).select("a", "b").distinct()
+    smaller = (F.col("n") < F.col("_n")) | ((F.col("n") == F.col("_n")) & (F.col("a") < F.col("b")))
+    fits = (F.col("component") != F.col("_other")) & smaller & sizes_fit(jaccard) & (left >= needed)
+    return small.join(other, "shingle").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def dedup(docs: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> DataFrame:
@@ -322,14 +364,14 @@ def dedup(docs: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> Data
     # The caller's columns travel in one struct, so no name of theirs can meet one of these.
     rows = numbered(docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row")))
     sweep(docs.sparkSession)
-    lines = distinct_lines(rows, chars, jaccard=jaccard)
+    places, lines = distinct_lines(rows, chars, jaccard=jaccard)
     sweep(docs.sparkSession)
-    member = lines.select("id", "first").join(links(lines, rows, jaccard, chars), F.col("id") == F.col("node"))
+    member = places.join(links(lines, places, rows, jaccard, chars), F.col("id") == F.col("node"))
     least = member.groupBy("component").agg(F.min("first").alias("least"))
     lost = member.join(least, "component").where(F.col("first") != F.col("least")).select("id")
-    kept = lines.select("id", "first").join(lost, "id", "left_anti").select(F.col("first._row").alias("_row"), F.col("first.pos").alias("pos"))
+    kept = places.join(lost, "id", "left_anti").select(F.col("first._row").alias("_row"), F.col("first.pos").alias("pos"))
     kept = stage_table(kept.groupBy("_row").agg(F.collect_list("pos").alias("_kept")), "zstd")
-    discard(docs.sparkSession, sorted(read_by(lines) | read_by(member)))
+    discard(docs.sparkSession, sorted(read_by(lines) | read_by(places) | read_by(member)))
     sweep(docs.sparkSession)
 
     # One row a document, so the work on its lines is linear: positions kept, and those without a word, in order.
