@@ -350,3 +350,26 @@ def test_hashes_in_rows_tell_the_plain_shingles_apart(spark):
     assert len(found) == len(lines)
     plan = hashed._jdf.queryExecution().executedPlan().toString()
     assert "lambda" not in plan  # no shingle is hashed by interpreted code
+
+
+def test_variants_of_a_family_meet_where_they_may_be_similar(spark, monkeypatch):
+    """Lines of few words share most of their shingles by chance; no link is missing, few others are found, in small and large families."""
+    draw = random.Random(11)
+    words = ["".join(draw.choices("abcdefgh", k=draw.randrange(2, 6))) for _ in range(60)]
+    texts, family = [], []
+    for f in range(10):
+        base = draw.choices(words, k=70)
+        for _ in range(12):
+            rate = draw.choice([0.02, 0.12])
+            texts.append(" ".join(draw.choice(words) if draw.random() < rate else w for w in base))
+            family.append(f)
+    sets = [plain_shingles(t) for t in texts]
+    pairs = [(a, b) for a in range(120) for b in range(a + 1, 120) if family[a] == family[b]]
+    near = {(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    lines = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
+    members = spark.createDataFrame([(i, i, f) for i, f in enumerate(family)], "id long, component long, family long")
+    found = {tuple(r) for r in fuzzylines.rare_pairs(members, lines).collect()}
+    assert near and near <= found and len(found) < len(near) + len(pairs) / 4
+    monkeypatch.setattr(fuzzylines, "FAMILY", 2)
+    found = {tuple(r) for r in fuzzylines.rare_pairs(members, lines).collect()}
+    assert near <= found <= set(pairs)

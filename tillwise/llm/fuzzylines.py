@@ -27,7 +27,8 @@ ROWS = 4
 BANDS = 12
 # Lines of up to so many shingles have exact keys too. At 0.8 a line of 20 can match one of 25, so no pair whose shorter line has up to 20 is lost.
 SHORT = 25
-# Hash buckets whose counts order the shingles.
+# Lines of a family that are ranked in one task, and the hash buckets whose counts order the shingles of larger ones.
+FAMILY = 4096
 ORDER_BITS = 20
 # In near_by_hashes, hashes have HASH_BITS bits; the bits above them number the lines that are hashed together.
 HASH_BITS = 52
@@ -301,12 +302,14 @@ def links(lines: DataFrame, places: DataFrame, rows: DataFrame, jaccard: float =
     sweep(spark)
     found = components(near)
     member = crowd.join(found.withColumnRenamed("node", "id"), "id", "left")
-    member = member.select("key", "size", "id", F.coalesce("component", "id").alias("component"))
+    member = member.select("key", "id", "middle", F.coalesce("component", "id").alias("component"))
     mixed = member.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b"))
     open_ = stage_table(member.join(mixed.where(F.col("_a") != F.col("_b")).select("key"), "key", "left_semi"), "zstd")
     sweep(spark)
     if not open_.isEmpty():
-        left = open_.select("id", "component").distinct()
+        # Lines that share a bucket, or are joined by lines that do, are a family.
+        family = components(open_, "id", "middle").select(F.col("node").alias("id"), F.col("component").alias("family"))
+        left = open_.select("id", "component").distinct().join(family, "id")
         keys = stage_table(open_.groupBy("id").agg(F.collect_list("key").alias("keys")), "zstd")
         more = rare_pairs(left, texts, jaccard, chars)
         for c in ("a", "b"):
@@ -321,35 +324,53 @@ def links(lines: DataFrame, places: DataFrame, rows: DataFrame, jaccard: float =
 
 def rare_pairs(members: DataFrame, texts: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> DataFrame:
     """Pairs (a, b) of members (id, component), with texts (id, line), in different components that may reach the similarity;
-    none that does is missing.
+    none that does is missing. If the members have a ``family``, only its lines are paired.
 
     In any fixed order of all shingles, two sets that similar share one of the first n - ceil(jaccard * n) + 1 of
     each, and at the first that they share enough must be left after it in both; in the smaller set it is one of the
-    first n - ceil(2 * jaccard / (1 + jaccard) * n) + 1. The order goes from shingles whose hash bucket is rare in the
-    lines to common ones, so lines with text of their own meet few others, and what many lines have in common is
-    behind the first shingles of those that are not similar.
+    first n - ceil(2 * jaccard / (1 + jaccard) * n) + 1. The order goes from shingles rare in the family to
+    common ones (in families of more than FAMILY lines, by the counts of hash buckets), so lines with text of their own
+    meet few others, and what many lines have in common is behind the first shingles of those that are not similar.
     """
-    bucket = F.shiftrightunsigned("shingle", 64 - ORDER_BITS).alias("bucket")
-    # Dealt by id, so that hashes, counts and ranks are taken where the texts lie; taken twice and never written.
-    held = stage_buckets(members.join(texts, "id").select("id", "component", "line"), "id", "zstd")
-    sets = line_hashes_in_rows(held, chars).select("id", "component", F.array_distinct("hashes").alias("hashes"))
-    told = sets.select("id", "component", F.size("hashes").alias("n"), F.explode("hashes").alias("shingle"))
-    often = stage_table(told.groupBy(bucket).agg(F.count("*").alias("times")))
-    # One row for each of the 2 ** ORDER_BITS buckets at most, whatever the table's size.
-    ranked = told.withColumn("bucket", bucket).join(F.broadcast(often), "bucket")
-    order = Window.partitionBy("id").orderBy("times", "bucket", "shingle")
-    ranked = ranked.select("id", "component", "n", "shingle", (F.row_number().over(order) - 1).alias("at"))
-    rare = stage_table(ranked.where(F.col("at") < first_count(F.col("n"), jaccard)), "zstd")
-    mixed = rare.groupBy("shingle").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b")
-    met = stage_table(rare.join(mixed.select("shingle"), "shingle", "left_semi"), "zstd")
+    if "family" not in members.columns:
+        members = members.withColumn("family", F.lit(0))
+    sizes = members.groupBy("family").agg(F.count("*").alias("size"))
+    held = members.join(sizes, "family").join(texts, "id").select("id", "component", "family", "line", (F.col("size") > FAMILY).alias("large"))
+    held = stage_table(held, "zstd")
+
+    def told(part: DataFrame, key: str) -> DataFrame:
+        # Dealt by the key, so that hashes, counts and ranks are taken where the texts lie and never written.
+        sets = line_hashes_in_rows(stage_buckets(part.drop("large"), key, "zstd"), chars)
+        sets = sets.select("id", "component", "family", F.array_distinct("hashes").alias("hashes"))
+        return sets.select("id", "component", "family", F.size("hashes").alias("n"), F.explode("hashes").alias("shingle"))
+
+    def first(ranked: DataFrame) -> DataFrame:
+        return ranked.where(F.col("at") < first_count(F.col("n"), jaccard)).select("id", "component", "family", "n", "shingle", "at")
+
+    one = Window.partitionBy("family", "shingle")
+    order = Window.partitionBy("family", "id").orderBy("times", "shingle")
+    near = told(held.where("not large"), "family")
+    near = near.select("*", F.count("*").over(one).alias("times"), F.min("component").over(one).alias("_a"), F.max("component").over(one).alias("_b"))
+    rare = first(near.withColumn("at", F.row_number().over(order) - 1).where("_a <> _b"))
+    if held.where("large").limit(1).count():
+        # One row for each of the 2 ** ORDER_BITS buckets at most, whatever the table's size.
+        bucket = F.shiftrightunsigned("shingle", 64 - ORDER_BITS).alias("bucket")
+        far = told(held.where("large"), "id")
+        often = stage_table(far.groupBy(bucket).agg(F.count("*").alias("times")))
+        far = far.withColumn("bucket", bucket).join(F.broadcast(often), "bucket")
+        order = Window.partitionBy("id").orderBy("times", "bucket", "shingle")
+        rare = rare.unionByName(first(far.withColumn("at", F.row_number().over(order) - 1)))
+    rare = stage_table(rare, "zstd")
+    mixed = rare.groupBy("family", "shingle").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b")
+    met = stage_table(rare.join(mixed.select("family", "shingle"), ["family", "shingle"], "left_semi"), "zstd")
     sweep(members.sparkSession)
     small = met.withColumnRenamed("id", "a").where(F.col("at") < first_count(F.col("n"), 2 * jaccard / (1 + jaccard)))
-    other = met.select("shingle", F.col("id").alias("b"), F.col("component").alias("_other"), F.col("n").alias("_n"), F.col("at").alias("_at"))
+    other = met.select("family", "shingle", F.col("id").alias("b"), F.col("component").alias("_other"), F.col("n").alias("_n"), F.col("at").alias("_at"))
     needed = F.ceil((F.col("n") + F.col("_n")) * (jaccard / (1 + jaccard)) - 1e-9)
     left = F.least(F.col("n") - F.col("at"), F.col("_n") - F.col("_at"))
     smaller = (F.col("n") < F.col("_n")) | ((F.col("n") == F.col("_n")) & (F.col("a") < F.col("b")))
     fits = (F.col("component") != F.col("_other")) & smaller & sizes_fit(jaccard) & (left >= needed)
-    return small.join(other, "shingle").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return small.join(other, ["family", "shingle"]).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def dedup(docs: DataFrame, jaccard: float = JACCARD, chars: int = CHARS) -> DataFrame:
